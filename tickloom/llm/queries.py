@@ -16,18 +16,62 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), least=0.8)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    out = mix(read(spark, sf_dir, "documents"), keep=0.5)
+    return out.withColumns({x: F.round(x, 6) for x in ("weight", "probability")})
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs, read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), size=2048)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vecdedup import duplicates
+
+    return duplicates(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
