@@ -48,6 +48,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").cast("bigint").alias("n_passages"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import digest
+
+    return digest(read(spark, sf_dir, "documents"), length=200)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 

@@ -26,8 +26,8 @@ from .flat import Known, blocks, per_text, prefix, runs, span_hash
 
 #: The bounded sample: labelled rows that are learnt from, and words that the model keeps.
 FIT_ROWS, MAX_WORDS = 30_000, 20_000
-#: Total mass of the Dirichlet prior in documents; least documents and z-score of a word of the model; score of any other word.
-PRIOR, LEAST, LEAST_Z, DRIFT = 10.0, 3, 2.5, -0.1
+#: Mass of the Dirichlet prior as a share of the sample; least toxic documents of a word of the model, and its least log-odds two standard errors down; score of any other word.
+PRIOR, LEAST, LEAST_ODDS, DRIFT = 0.1, 3, math.log(3), -0.1
 #: A passage is significant if fewer than so many are expected by chance.
 EXPECTED = 0.05
 
@@ -123,13 +123,13 @@ def _words(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """Words that stand in more toxic documents than their rate explains, with their shrunk log-odds."""
     each = train.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([A-Za-z\\x{80}-\\x{10FFFF}]+)")))).alias("word"))
     counts = each.groupBy("word").agg(F.sum("toxic").cast("double").alias("x"), F.sum(1 - F.col("toxic")).cast("double").alias("y")).where(F.col("x") >= LEAST)
-    mass = F.lit(PRIOR / (toxic + clean)) * (F.col("x") + F.col("y"))
-    x, y = F.col("x") + mass, F.col("y") + mass
-    odds = F.log(x / (toxic + PRIOR - x + 1)) - F.log(y / (clean + PRIOR - y + 1))
+    own = F.lit(PRIOR) * (F.col("x") + F.col("y"))  # pseudo-documents of each class, in number as the word is frequent in both together
+    x, y = F.col("x") + own * F.lit(toxic / (toxic + clean)), F.col("y") + own * F.lit(clean / (toxic + clean))
+    odds = F.log(x / F.lit(toxic * (1 + PRIOR))) - F.log(y / F.lit(clean * (1 + PRIOR)))
     error = F.sqrt(1 / x + 1 / y)
-    kept = counts.select("word", odds.alias("odds"), error.alias("error")).where(F.col("odds") > LEAST_Z * F.col("error"))
-    best = kept.orderBy((F.col("odds") / F.col("error")).desc(), "word").limit(MAX_WORDS).collect()
-    return {r["word"]: max(r["odds"] - r["error"], 0.1) for r in best}
+    kept = counts.select("word", odds.alias("odds"), error.alias("error")).where(F.col("odds") - 2 * F.col("error") > LEAST_ODDS)
+    best = kept.orderBy((F.col("odds") - 2 * F.col("error")).desc(), "word").limit(MAX_WORDS).collect()
+    return {r["word"]: r["odds"] - r["error"] for r in best}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -160,9 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     segs = [[(s, 0, 0) for s in r["segs"]] for r in got]
     best = np.array([max((s for s, _, _ in x), default=0.0) for x in segs])
     n, y = np.array([r["n"] for r in got], float), np.array([r["toxic"] for r in got], float)
-    law = best[(y == 0) & (n > 0)]
-    if len(law) >= 20:
-        model.scale, model.log_k = _extreme(law, np.log(n[(y == 0) & (n > 0)]))
+    model.scale, model.log_k = _extreme(best[y == 0], n[y == 0])
     if y.min(initial=1) == y.max(initial=0):
         return model
     x = np.array([_features(model, int(k), s)[0] for k, s in zip(n, segs, strict=True)])
@@ -170,14 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def _extreme(best: np.ndarray, log_n: np.ndarray) -> tuple[float, float]:
-    """lambda and ln K of P(best > x) = 1 - exp(-K n exp(-lambda x)), by trimmed moments of best - ln(n) / lambda."""
-    scale = 1.0
-    for _ in range(30):
-        z = best - log_n / scale
-        z = z[z <= np.quantile(z, 0.98)]  # mislabelled texts are no chance maxima
-        scale = float(np.clip(math.pi / (math.sqrt(6) * max(z.std(), 1e-3)), 0.2, 5.0))
-    return scale, float(scale * z.mean() - 0.5772156649)
+def _extreme(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """lambda and ln K of P(best > x) = 1 - exp(-K n exp(-lambda x)), from the clean texts that have a segment at all.
+
+    lambda is from the median excess over the least (some clean texts are
+    mislabelled, so the mean would not do), K from how many words it takes for one.
+    """
+    over = best[best > 0]
+    least = float(over.min()) if len(over) else 1.0
+    scale = float(np.clip(math.log(2) / max(float(np.median(over)) - least, 1e-3), 0.3, 3.0)) if len(over) else 1.0
+    return scale, math.log(max(len(over), 0.5) / max(float(n.sum()), 1.0)) + scale * least
 
 
 def _best(words: dict[str, float]):
