@@ -75,9 +75,18 @@ def mix(docs: DataFrame, keep: float = KEEP, goals: dict[str, DataFrame] | None
     doc_id is hashed as the empty text; repeated rows share their fate. An
     empty table gives no rows; other columns are not read.
     """
+    return _drawn(docs, keep, goals, rounds, seed).select("row.doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled")
+
+
+def sample(docs: DataFrame, keep: float = KEEP, goals: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+    """The sampled documents, all columns; nulls and repeated rows as in ``mix``."""
+    return _drawn(docs, keep, goals, rounds, seed).where("sampled").select("row.*")
+
+
+def _drawn(docs: DataFrame, keep: float, goals: dict[str, DataFrame] | None, rounds: int, seed: str) -> DataFrame:
     text = text_or_empty()
     base = docs.select(
-        "doc_id",
+        F.struct("*").alias("row"),
         F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
         topic_of(text).alias("topic"),
@@ -85,14 +94,10 @@ def mix(docs: DataFrame, keep: float = KEEP, goals: dict[str, DataFrame] | None
     )
     cells = materialize(base.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     goals = goals or {m: targets(cells, m) for m in MARGINS}
-    fitted = rake(cells, goals, rounds)
-    ranked = materialize(calibrate(fitted, keep), "cells")  # small enough, Spark broadcasts it by its own check
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    at = [base[m] == ranked[m] for m in MARGINS]
-    return base.join(ranked, at).select(
-        "doc_id", base.source, base.lang, base.topic, "n_tokens", "weight",
-        F.when(F.col("n_tokens") > 0, F.col("p")).otherwise(0.0).alias("probability"), ((F.col("n_tokens") > 0) & (u < F.col("p"))).alias("sampled"),
-    )
+    ranked = materialize(calibrate(rake(cells, goals, rounds), keep), "cells").drop("tokens")  # small enough, Spark broadcasts it by its own check
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    p = F.when(F.col("n_tokens") > 0, F.col("p")).otherwise(0.0)
+    return base.join(ranked, list(MARGINS)).select("row", *MARGINS, "n_tokens", "weight", p.alias("probability"), ((F.col("n_tokens") > 0) & (u < F.col("p"))).alias("sampled"))
 
 
 def calibrate(fitted: DataFrame, keep: float) -> DataFrame:

@@ -228,3 +228,15 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
     lost = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("copy_of"), F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("kept"))
     return out.unionByName(lost)
+
+
+def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """The documents, all columns, of which one of each class stays: that with the smallest doc_id.
+
+    Of repeated rows with one doc_id one stays; rows without doc_id stay all.
+    """
+    classes = materialize(near_duplicates(docs.select("doc_id", "text"), least).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")), "dup-kept")
+    kept = docs.join(classes.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if classes.where("times > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -28,6 +28,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .webtext import extract
+
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 

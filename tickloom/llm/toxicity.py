@@ -220,3 +220,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(
         run, "doc_id bigint, score double, predicted int, n_words bigint, passages array<struct<first_word: bigint, last_word: bigint, excess: double>>"
     )
+
+
+def reject(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
+    """The documents, all columns, whose score is below ``at``. Nulls and repeated rows as in ``score``."""
+    weights, where = model.weights, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scanner(model.words)
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for i, size, found, value in scan.texts(pc.utf8_lower(pc.fill_null(batch.column(where), ""))):
+                x, _ = _features(model, size, segments(found, value))
+                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(weights, x, strict=True)))))) if weights else model.rate
+                keep[i] = p < at
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
