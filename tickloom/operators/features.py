@@ -17,7 +17,8 @@ def _w(n: int | None = None):
     return w.rowsBetween(Window.unboundedPreceding if n is None else 1 - n, 0)
 
 
-ORDER = Window.partitionBy("symbol").orderBy("seq")
+def order():
+    return Window.partitionBy("symbol").orderBy("seq")
 
 
 def _hour() -> Column:
@@ -34,12 +35,12 @@ def features(t: DataFrame) -> DataFrame:
     """Quotes with mid, spread, its z-score, order book imbalance and change, depth change, volatilities, session and cost columns."""
     x = t.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid"), "depth": F.col("bid_size") + F.col("ask_size"), "session": session()})
     x = x.withColumn("obi", F.when(F.col("depth") > 0, (F.col("ask_size") - F.col("bid_size")) / F.col("depth")).otherwise(0.0))
-    before_mid, before_depth = F.lag("mid").over(ORDER), F.lag("depth").over(ORDER)
+    before_mid, before_depth = F.lag("mid").over(order()), F.lag("depth").over(order())
     x = x.withColumns({
         "ret": F.when(before_mid.isNotNull(), F.when((before_mid > 0) & (F.col("mid") > 0), F.log(F.col("mid") / before_mid)).otherwise(0.0)),
-        "delta_obi": F.col("obi") - F.coalesce(F.lag("obi").over(ORDER), F.col("obi")),
+        "delta_obi": F.col("obi") - F.coalesce(F.lag("obi").over(order()), F.col("obi")),
         "depth_change_rate": F.when(before_depth > 0, (F.col("depth") - before_depth) / before_depth).otherwise(0.0),
-        "new_run": F.when(F.col("session") == F.lag("session").over(ORDER), 0).otherwise(1),
+        "new_run": F.when(F.col("session") == F.lag("session").over(order()), 0).otherwise(1),
     })
     spread_sd = F.stddev_samp("spread").over(_w(SPREAD_WINDOW))
     x = x.withColumns({
@@ -47,7 +48,7 @@ def features(t: DataFrame) -> DataFrame:
         "rv": F.coalesce(F.stddev_pop("ret").over(_w(VOL_SHORT)), F.lit(0.0)), "rv_long": F.coalesce(F.stddev_pop("ret").over(_w(VOL_LONG)), F.lit(0.0)),
         "run": F.sum("new_run").over(_w()),
     })
-    before_rv = F.lag("rv").over(ORDER)
+    before_rv = F.lag("rv").over(order())
     opened = F.min("ts_ns").over(Window.partitionBy("symbol", "run"))
     x = x.withColumns({
         "volatility_ratio": F.when(F.col("rv_long") > EPS, F.col("rv") / F.col("rv_long")).otherwise(1.0),
@@ -76,19 +77,14 @@ f AS (SELECT *, spread * (1 + 0.5 * abs(obi) + 10 * rv) AS dynamic_cost, least(1
 """
 
 
-def _rounded(cols: dict[str, int]) -> tuple[list[Column], str]:
-    return [F.round(c, n).alias(c) for c, n in cols.items()], ", ".join(f"round(CAST({c} AS DOUBLE), {n}) AS {c}" for c, n in cols.items())
-
-
 def _feature_query(name: str, cols: dict[str, int], exact: tuple[str, ...] = (), doc: str = "") -> None:
-    spark_cols, sql_cols = _rounded(cols)
-    more = "".join(f", {c}" for c in exact)
+    sql_cols = ", ".join([f"round(CAST({c} AS DOUBLE), {n}) AS {c}" for c, n in cols.items()] + list(exact))
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return features(ticks(spark, sf_dir)).select("symbol", "seq", *spark_cols, *[F.col(c).cast("bigint").alias(c) for c in exact])
+        return features(ticks(spark, sf_dir)).select("symbol", "seq", *[F.round(c, n).alias(c) for c, n in cols.items()], *[F.col(c).cast("bigint").alias(c) for c in exact])
 
     f.__name__, f.__doc__ = name, doc
-    query(FEATURES + f"SELECT symbol, seq, {sql_cols}{more} FROM f".replace(", ,", ","))(f)
+    query(FEATURES + f"SELECT symbol, seq, {sql_cols} FROM f")(f)
 
 
 _feature_query("mid_spread", {"mid": 9, "spread": 9}, doc="Mid price and spread.")
@@ -198,6 +194,6 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chronological split and standardisation by the training part's mean and deviation."""
     t = ticks(spark, sf_dir).select("symbol", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
     n = t.groupBy("symbol").agg(F.count("*").alias("n"))
-    x = t.withColumn("i", F.row_number().over(ORDER)).join(n, "symbol").withColumn("train", F.col("i") <= F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.8))))
+    x = t.withColumn("i", F.row_number().over(order())).join(n, "symbol").withColumn("train", F.col("i") <= F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.8))))
     m = x.where("train").groupBy("symbol").agg(F.avg("mid").alias("mu"), F.greatest(F.stddev_pop("mid"), F.lit(1e-9)).alias("sd"))
     return x.join(m, "symbol").select("symbol", "seq", "train", F.round((F.col("mid") - F.col("mu")) / F.col("sd"), 6).alias("z"))

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequential import ema_fold
 from ..plans.registry import query
 from ..sources.views import SQL, decisions, ticks, trades
 
-ORDER = Window.partitionBy("symbol").orderBy("seq")
+
+def order():
+    return Window.partitionBy("symbol").orderBy("seq")
 
 
 @query(SQL + """, g AS (SELECT symbol, seq, seq - lag(seq) OVER (PARTITION BY symbol ORDER BY seq) - 1 AS gap FROM ticks)
 SELECT symbol, seq, gap, CASE WHEN gap >= 3 THEN 'Severe' ELSE 'Minor' END AS severity FROM g WHERE gap >= 1""")
 def seq_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps in the sequence: three or more missing are severe."""
-    x = ticks(spark, sf_dir).select("symbol", "seq", (F.col("seq") - F.lag("seq").over(ORDER) - 1).alias("gap")).where("gap >= 1")
+    x = ticks(spark, sf_dir).select("symbol", "seq", (F.col("seq") - F.lag("seq").over(order()) - 1).alias("gap")).where("gap >= 1")
     return x.withColumn("severity", F.when(F.col("gap") >= 3, "Severe").otherwise("Minor"))
 
 
@@ -28,8 +27,8 @@ z AS (SELECT *, count(d) OVER w AS n, (d - avg(d) OVER w) / stddev_samp(d) OVER
 SELECT symbol, seq, round(z, 4) AS z FROM z WHERE n >= 100 AND abs(z) > 3""")
 def tick_interval_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kill switch: intervals more than three deviations off those of the last two thousand, which it does not include."""
-    w = ORDER.rowsBetween(-2000, -1)
-    x = ticks(spark, sf_dir).withColumn("d", (F.col("ts_ns") - F.lag("ts_ns").over(ORDER)).cast("double"))
+    w = order().rowsBetween(-2000, -1)
+    x = ticks(spark, sf_dir).withColumn("d", (F.col("ts_ns") - F.lag("ts_ns").over(order())).cast("double"))
     x = x.select("symbol", "seq", F.count("d").over(w).alias("n"), ((F.col("d") - F.avg("d").over(w)) / F.stddev_samp("d").over(w)).alias("z"))
     return x.where((F.col("n") >= 100) & (F.abs("z") > 3)).select("symbol", "seq", F.round("z", 4).alias("z"))
 
@@ -156,24 +155,9 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.groupBy("seq").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("kept"))
 
 
-def _fold(alpha: float):
-    """An exponential mean in order, a day's rows at a time with the state carried over."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[str, float] = {}
-        for f in frames:
-            out = np.empty(len(f))
-            for i, (key, x) in enumerate(zip(f["lp_id"], f["x"], strict=True)):
-                state[key] = state.get(key, 0.8) + alpha * (x - state.get(key, 0.8))
-                out[i] = state[key]
-            yield f.assign(ema=out)[["lp_id", "seq", "ema"]]
-
-    return run
-
-
 @query()
 def exec_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential mean of a provider's fills, from 0.8: a streaming fold over rows sorted within the provider's partition."""
     t = trades(spark, sf_dir).select("lp_id", "ts_ns", "seq", (F.col("k") < 90).cast("double").alias("x"))
     x = t.repartition("lp_id").sortWithinPartitions("lp_id", "ts_ns", "seq")
-    return x.mapInPandas(_fold(0.1), "lp_id string, seq bigint, ema double").withColumn("ema", F.round("ema", 9))
+    return x.mapInPandas(ema_fold(0.1), "lp_id string, seq bigint, ema double").withColumn("ema", F.round("ema", 9))

@@ -9,6 +9,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..plans.registry import query
 from ..sources.views import SQL, returns
@@ -16,7 +17,7 @@ from ..sources.views import SQL, returns
 GROUPS, TEST, PURGE, EMBARGO = 6, 2, 10, 5
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function."""
     return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v == v else None)
