@@ -28,6 +28,8 @@ from .flat import Known, blocks, per_text, prefix, runs, span_hash
 FIT_ROWS, MAX_WORDS = 30_000, 20_000
 #: Mass of the Dirichlet prior as a share of the sample; least toxic documents of a word of the model, and its least log-odds two standard errors down; score of any other word.
 PRIOR, LEAST, LEAST_ODDS, DRIFT = 0.1, 3, math.log(3), -0.1
+#: Highest score of a model that has not seen both classes: it predicts nothing.
+UNSURE = 0.49
 #: A passage is significant if fewer than so many are expected by chance.
 EXPECTED = 0.05
 
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     At most ``rows`` of them are used, those with the least hash of the id, so
     what is collected and broadcast is bounded. Of these, three quarters give
     the words and a quarter the calibration. Without labelled texts of both
-    classes the model is their rate alone.
+    classes the model is their rate alone, at most ``UNSURE``.
     """
     crc = F.crc32(F.col("doc_id").cast("string"))
     chosen = labels.where("doc_id is not null and toxic is not null").where(crc % 5 != 0).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -150,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         size = {(bool(r["first"]), r["toxic"]): r["n"] for r in own.groupBy((F.col("fold") == 0).alias("first"), "toxic").agg(F.count("*").alias("n")).collect()}
         toxic, clean = size.get((False, 1), 0), size.get((False, 0), 0)
         everything = sum(size.values())
-        model = Model(rate=(sum(n for (_, t), n in size.items() if t == 1) / everything) if everything else 0.0)
+        model = Model(rate=min(UNSURE, sum(n for (_, t), n in size.items() if t == 1) / everything) if everything else 0.0)
         if not toxic or not clean:
             return model
         model.words = _words(own.where("fold <> 0"), toxic, clean)
