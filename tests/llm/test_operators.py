@@ -176,8 +176,8 @@ def test_main_text(spark):
     rows, want = [], {}
     for n in range(30):
         paras = [prose(rng, 30) for _ in range(3)]
-        rows.append((n, f"http://a.example/{n}", PAGE.format(n=n, body="".join(f"<p>{p[:20]}<b>{p[20:]}</b>\n<br>x&lt;y" for p in paras))))
-        want[n] = f"Head {n} & co " + " ".join(f"{p} x<y" for p in paras)
+        rows.append((n, f"http://a.example/{n}", PAGE.format(n=n, body="".join(f"<p>{p[:20]}<b>{p[20:]}</b>\n<br>x&lt;{n}y" for p in paras))))
+        want[n] = f"Head {n} & co " + " ".join(f"{p} x<{n}y" for p in paras)
     rows += [(100, None, None), (101, "", ""), (102, "http://b.example/", "just text <b>here"), (103, "http://c.example", "<body><main><p>One<p>Two</main>Out")]
     want |= {100: "", 101: "", 102: "just text here", 103: "One Two"}
     got = {r["page_id"]: r for r in webtext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -131,10 +131,11 @@ class WordIds:
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text with the end id after them."""
         lower = pc.utf8_lower(texts)
+        dotted = pc.match_substring(texts, "İ").to_numpy(zero_copy_only=False)  # the one letter whose lower case is two
         for i, j, buf, off in blocks(lower):
             ids, bounds, odd = self.block(buf, off)
             for k in range(i, j):
-                own = np.array(self.full.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) if odd[k - i] else ids[bounds[k - i] : bounds[k - i + 1]]
+                own = np.array(self.full.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) if odd[k - i] or dotted[k] else ids[bounds[k - i] : bounds[k - i + 1]]
                 yield np.append(own, np.uint32(self.end)).astype("<u4", copy=False)
 
 
