@@ -9,10 +9,11 @@ weights. Registers are cut into bands; texts that share a band are candidates,
 and each link is verified by the exact probability Jaccard similarity.
 
 Equal multisets are first reduced to one representative. In a band's bucket
-every text meets the bucket's leader, then texts still apart meet leaders drawn
-by hash, and what then remains in different components of one bucket is
-compared exhaustively, so large groups of copies cost pairs in proportion to
-their size and no link between components is lost.
+every text meets the bucket's leader. Buckets whose texts are then still in
+different components are cut into chunks, every two chunks meet in a tile, and
+a tile counts common shingles of all its texts by matrix products and hands on
+one link for each two components that it joins. So no pairs of a group are
+ever listed, and no link between components of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from .common import components, discard, materialize, text_or_empty
 from .flat import blocks, mix, per_text, prefix, runs, span_hash
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
-#: Leaders drawn by hash that texts still apart meet in each bucket.
-DRAWN = 3
+#: Texts of a chunk; columns of a matrix product.
+TILE, COLUMNS = 512, 4096
 _U = np.uint64
 
 
@@ -175,6 +176,74 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("src", "dst", "sh1", "n1", "sh2", "n2").mapInArrow(run, "src bigint, dst bigint, same boolean")
 
 
+def _tile_links(h: list[np.ndarray], weight: list[np.ndarray | None], comp: np.ndarray, chunk: np.ndarray, across: bool, least: float) -> list[tuple[int, int]]:
+    """Pairs of texts of a tile that reach the similarity, one for each two components; shingles are 32-bit hashes here."""
+    n = len(h)
+    size = np.fromiter(map(len, h), np.int64, n)
+    flat, doc = np.concatenate(h), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, doc = flat[order], doc[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    col = np.cumsum(new) - 1
+    shared = np.bincount(col)[col] > 1
+    col, doc = np.unique(col[shared], return_inverse=True)[1], doc[shared]
+    common = np.zeros((n, n), np.float32)
+    for a in range(0, int(col.max(initial=-1)) + 1, COLUMNS):
+        i, j = np.searchsorted(col, (a, a + COLUMNS))
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[doc[i:j], col[i:j] - a] = 1
+        common += m @ m.T
+    apart = comp[:, None] != comp[None, :]
+    apart &= (chunk[:, None] < chunk[None, :]) if across else (np.arange(n)[:, None] < np.arange(n)[None, :])
+    plain = np.array([w is None for w in weight])
+    both = plain[:, None] & plain[None, :]
+    same = common >= (least - 1e-9) * (size[:, None] + size[None, :] - common)
+    i, j = np.nonzero(apart & both & same)
+    code = np.unique(np.minimum(comp[i], comp[j]).astype(np.int64) * n + np.maximum(comp[i], comp[j]), return_index=True)[1]
+    out = list(zip(i[code].tolist(), j[code].tolist(), strict=True))
+    i, j = np.nonzero(apart & ~both & (common >= 0.3 * np.minimum(size[:, None], size[None, :])))
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = (weight[k] if weight[k] is not None else np.ones(size[k]) for k in (a, b))
+        if probability_jaccard(h[a], x, h[b], y) >= least - 1e-6:
+            out.append((a, b))
+    return out
+
+
+def _tiles(least: float):
+    """Work tiles of sorted rows (tile, across, chunk, rep, component, sh, n)."""
+
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        t = pa.Table.from_batches(held).combine_chunks()
+        comp = np.unique(t["component"].to_numpy(), return_inverse=True)[1]
+        if len(comp) < 2 or comp.max() == 0:
+            return None
+        h = [np.unique(x.values.to_numpy()) if not w.is_valid else x.values.to_numpy() for x, w in zip(t["sh"], t["n"], strict=True)]
+        pairs = _tile_links(h, [w.values.to_numpy() if w.is_valid else None for w in t["n"]], comp, t["chunk"].to_numpy(), t["across"][0].as_py(), least)
+        ids = t["rep"].to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in pairs], pa.int64()), pa.array([ids[b] for _, b in pairs], pa.int64())], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            tile = batch.column(0).to_numpy()
+            if not len(tile):
+                continue
+            cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if last is not None and tile[a] != last:
+                    if (out := one(held)) is not None:
+                        yield out
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tile[a]
+        if held and (out := one(held)) is not None:
+            yield out
+
+    return run
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     return df.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
@@ -197,8 +266,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     banded = materialize(
         own.where("doc_id = rep").select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key")).distinct(), "dup-bands"
     )
-    drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(k)), F.col("rep").alias("rep")))["rep"] for k in range(DRAWN)]
-    buckets = materialize(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader"), F.array(*drawn).alias("drawn")).where("n > 1"), "dup-buckets")
+    buckets = materialize(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1"), "dup-buckets")
     member = materialize(banded.join(buckets.select("key"), "key"), "dup-members")
     wanted = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(_sets(docs.join(wanted, "doc_id")).join(ids.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "sh", "n"), "dup-sets")
@@ -207,21 +275,21 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     pairs = materialize(_ordered(member.join(buckets.select("key", "leader"), "key").select(F.col("rep").alias("src"), F.col("leader").alias("dst"))), "dup-pairs")
     checked = materialize(_verify(pairs, sets, least), "dup-checked")
     discard(pairs)
-    for step in ("drawn", "rest"):
-        comp = components(checked.where("same").select("src", "dst"), "dup-cc")
-        at = materialize(member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "dup-at")
-        most = at.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("most")).where("parts > 1")
-        most = materialize(most, "dup-mixed")
-        minor = at.join(most, "key").where("component <> most").select("key", "rep", "component")
-        if step == "drawn":
-            more = minor.join(buckets.select("key", F.explode("drawn").alias("other")), "key").select(F.col("rep").alias("src"), F.col("other").alias("dst"))
-        else:
-            more = minor.join(at.select("key", F.col("rep").alias("other"), F.col("component").alias("other_component")), "key").where("component <> other_component").select(F.col("rep").alias("src"), F.col("other").alias("dst"))
-        more = materialize(_ordered(more).join(checked.select("src", "dst"), ["src", "dst"], "left_anti"), "dup-pairs")
-        now = materialize(checked.union(_verify(more, sets, least)), "dup-checked")
-        for old in (comp, at, most, more, checked):
-            discard(old)
-        checked = now
+    comp = components(checked.where("same").select("src", "dst"), "dup-cc")
+    at = materialize(member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "dup-at")
+    mixed = materialize(at.groupBy("key").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("mixed")).where("mixed and n > 2").select("key", "n"), "dup-mixed")  # of two, both have met
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    chunk = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    tiles = at.join(mixed, "key").select("key", "rep", "component", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    tile = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    short = sets.select(F.col("doc_id").alias("rep"), F.transform("sh", lambda x: F.shiftright(x, 32).cast("int")).alias("sh"), F.when(F.exists("n", lambda x: x > 1), F.col("n")).alias("n"))
+    rows = tiles.select(tile.alias("tile"), (F.col("chunk") != F.col("other")).alias("across"), "chunk", "rep", "component").join(short, "rep").select("tile", "across", "chunk", "rep", "component", "sh", "n")
+    found = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(least), "src bigint, dst bigint")
+    more = materialize(_ordered(found), "dup-pairs")
+    now = materialize(checked.union(_verify(more, sets, least)), "dup-checked")
+    for old in (at, mixed, more, checked):
+        discard(old)
+    checked = now
     comp = components(checked.where("same").select("src", "dst"), "dup-cc")
     out = sig.select("doc_id", "f1", "f2").join(ids, ["f1", "f2"]).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
