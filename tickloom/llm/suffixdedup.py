@@ -12,15 +12,18 @@ place, and only about one position in eighty is an anchor:
    that compares two suffixes through prefix hashes and binary search for their
    common extension; common extensions to both sides of neighbours in that order
    give the repeated strings. Bytes are compared before a match counts.
-3. Grams with very many different contexts are split by ranges of string
-   positions, whose common cores are counted, then single strings; no group of
-   contexts meets in one task.
+3. Grams with very many different contexts are split like a suffix tree: all
+   are compared with the commonest of them; what a context does not share with
+   it holds the first byte on either side where they part, so contexts that may
+   still repeat each other agree up to there and meet in a smaller bucket. Most
+   are alone in theirs and done; no large group of contexts meets in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ from .common import discard, materialize, text_or_empty
 from .flat import INVERSE, blocks, gather, mix, powers, prefix, span_hash
 
 LENGTH, GRAM = 200, 40
-#: Different contexts of a gram that one task sorts; grams with more go by counts. Contexts that are sorted at once; positions of a range.
-CROWD, CHUNK, RANGE = 64, 20_000, 12
+#: Different contexts of a bucket that one task sorts; larger ones are split. Contexts that are sorted at once.
+CROWD, CHUNK = 64, 20_000
 _U = np.uint64
 
 
@@ -205,6 +208,15 @@ def _same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) ->
     return at[end] == at[end - n]
 
 
+def _by_bytes(buf: np.ndarray, a: int, b: int, gram: int, left: int, right: int) -> tuple[int, int]:
+    """Common extensions of two grams found byte by byte; without a common gram what they share is too short to count."""
+    if (buf[a : a + gram] != buf[b : b + gram]).any():
+        return 0, 0
+    x = buf[a - left : a][::-1] != buf[b - left : b][::-1]
+    y = buf[a + gram : a + gram + right] != buf[b + gram : b + gram + right]
+    return int(np.argmax(x)) if x.any() else left, int(np.argmax(y)) if y.any() else right
+
+
 CONTEXT = "g bigint, n bigint, key bigint, pos bigint, left int, right int, crowd boolean, ctx binary"
 
 
@@ -228,7 +240,7 @@ def _contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Repeated spans (key, lo, hi) of contexts whose grams have few of them."""
+    """Repeated spans (key, lo, hi) of contexts in buckets (b) with few of them."""
 
     def work(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -237,7 +249,7 @@ def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
             ctx = pa.concat_arrays(ctx.chunks)
         _, _, buf, off = next(blocks(ctx, 1 << 60))
         left, right = t["left"].to_numpy().astype(np.int64), t["right"].to_numpy().astype(np.int64)
-        l, r = repeats(buf, off, left, right, t["g"].to_numpy(), length, gram)
+        l, r = repeats(buf, off, left, right, t["b"].to_numpy(), length, gram)
         keep = (l >= 0) & (t["n"].to_numpy() == 1)
         pos = t["pos"].to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(t["key"].to_numpy()[keep]), pa.array((pos - l)[keep]), pa.array((pos + gram + r)[keep])], names=["key", "lo", "hi"])
@@ -263,54 +275,61 @@ def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from work(held)
 
-    few = contexts.where("not crowd").repartition("g").sortWithinPartitions("g")
+    few = contexts.select("b", "n", "key", "pos", "left", "right", "ctx").repartition("b").sortWithinPartitions("b")
     return few.mapInArrow(run, "key bigint, lo bigint, hi bigint")
 
 
-def _counted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Repeated spans of contexts whose grams have very many of them, by counts of cores and of single strings."""
+def _parted(pairs: DataFrame, length: int, gram: int) -> DataFrame:
+    """Compare contexts with their bucket's pivot: repeated spans (b null; x, y: the span), and the buckets (b) where what is left may still repeat (x, y: bytes of its core left and right of the gram)."""
     reach = length - gram
 
-    def pieces(single: bool):
-        """Hashes of the cores of all ranges of string positions, or of all single strings of the wanted ranges."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, j, buf, off in blocks(batch.column(3), 1 << 20):
-                    c = prefix(buf)
-                    left, right = (batch.column(k).to_numpy()[i:j].astype(np.int64) for k in (1, 2))
-                    low, high = np.maximum(reach - right, 0), np.minimum(left, reach)  # positions of the gram in strings that fit
-                    if single:
-                        r = batch.column(4).to_numpy()[i:j]
-                        a, b = np.maximum(low, r * RANGE), np.minimum(high, r * RANGE + RANGE - 1)
-                        size = np.maximum(b - a + 1, 0)
-                        row = np.repeat(np.arange(j - i), size)
-                        o = gather(a, size)
-                        s = off[row] + left[row] - o
-                        cols = [o, span_hash(c, s, s + length).view(np.int64)]
-                    else:
-                        size = np.where(high >= low, high // RANGE - low // RANGE + 1, 0)
-                        row = np.repeat(np.arange(j - i), size)
-                        r = gather(low // RANGE, size)
-                        s = off[row] + left[row]
-                        core = span_hash(c, s - r * RANGE, s - np.minimum(r * RANGE + RANGE - 1, reach) + length)  # whatever string of the range fits, it holds this
-                        cols = [r, core.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).take(pa.array(row)), *(pa.array(x) for x in cols)], names=["id", "at", "h"])
-
-        return run
-
-    many = contexts.where("crowd").withColumn("id", F.struct("key", "pos"))
-    many = materialize(many.select("id", "g", "n", "left", "right", "ctx"), "sfx-crowd")
-    about = many.select("id", "g", "n")
-    kind = "id struct<key: bigint, pos: bigint>, at bigint, h bigint"
-    ranges = materialize(many.select("id", "left", "right", "ctx").mapInArrow(pieces(False), kind).join(about, "id"), "sfx-ranges")
-    again = materialize(ranges.groupBy("g", "at", "h").agg(F.sum("n").alias("all")).where("`all` > 1").select("g", "at", "h"), "sfx-cores")
-    wanted = ranges.join(again, ["g", "at", "h"]).select("id", "at")
-    ones = many.join(wanted, "id").select("id", "left", "right", "ctx", "at").mapInArrow(pieces(True), kind).join(about, "id")
-    ones = materialize(ones, "sfx-strings")
-    twice = materialize(ones.groupBy("g", "at", "h").agg(F.sum("n").alias("all")).where("`all` > 1").select("g", "at", "h"), "sfx-twice")
-    out = ones.where("n = 1").join(twice, ["g", "at", "h"])
-    return out.groupBy("id").agg(F.min("at").alias("a"), F.max("at").alias("b")).select("id.key", (F.col("id.pos") - F.col("b")).alias("lo"), (F.col("id.pos") - F.col("a") + length).alias("hi"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            col = {k: batch.column(i) for i, k in enumerate(batch.schema.names)}
+            _, _, own, off1 = next(blocks(col["ctx"], 1 << 60))
+            _, _, other, off2 = next(blocks(col["p_ctx"], 1 << 60))
+            srt = Sorter(np.concatenate((own, other)))
+            num = {k: col[k].to_numpy().astype(np.int64) for k in ("n", "key", "pos", "left", "right", "cl", "cr", "p_n", "p_key", "p_pos", "p_left", "p_right")}
+            a, b = off1[:-1] + num["left"], len(own) + off2[:-1] + num["p_left"]
+            l = srt.common_left(a, b, np.minimum(num["left"], num["p_left"]))
+            r = srt.common(a + gram, b + gram, np.minimum(num["right"], num["p_right"]))
+            for i in np.flatnonzero(~_same_bytes(srt.buf, a - l, b - l, l + gram + r)):  # different strings of one hash: by bytes
+                l[i], r[i] = _by_bytes(srt.buf, int(a[i]), int(b[i]), gram, int(l[i]), int(r[i]))
+            new = (num["key"] != num["p_key"]) | (num["pos"] != num["p_pos"])
+            out: list[tuple] = []
+            hit = new & (l + gram + r >= length)
+            for one, which in (("", hit & (num["n"] == 1)), ("p_", hit & (num["p_n"] == 1))):
+                k, p = num[one + "key"][which], num[one + "pos"][which]
+                out.append((k, p, np.zeros(len(k), np.int64), np.ones(len(k), bool), p - l[which], p + gram + r[which]))
+            for cl, cr, more in ((np.maximum(num["cl"], l + 1), num["cr"], l < num["left"]), (num["cl"], np.maximum(num["cr"], r + 1), r < num["right"])):
+                i = np.flatnonzero(new & more & (cl + cr <= reach))
+                bucket = mix(span_hash(srt.c, a[i] - cl[i], a[i] + gram + cr[i]) + cl[i].astype(np.uint64) * _U(0xD1342543DE82EF95))
+                out.append((num["key"][i], num["pos"][i], bucket.view(np.int64), np.zeros(len(i), bool), cl[i], cr[i]))
+            k, p, bucket, span, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(bucket, mask=span), pa.array(x), pa.array(y)], names=["key", "pos", "b", "x", "y"])
+
+    return pairs.mapInArrow(run, "key bigint, pos bigint, b bigint, x bigint, y bigint")
+
+
+def _spans(contexts: DataFrame, length: int, gram: int) -> list[DataFrame]:
+    """Repeated spans (key, lo, hi) of contexts, as frames to be put together."""
+    found: list[DataFrame] = []
+    fields = ("key", "pos", "left", "right", "n", "ctx")
+    now = contexts.select(F.col("g").alias("b"), F.lit(0).cast("bigint").alias("cl"), F.lit(0).cast("bigint").alias("cr"), "crowd", *fields)
+    while True:
+        found.append(_sorted_spans(now.where("not crowd"), length, gram))
+        many = now.where("crowd")
+        if not many.limit(1).count():
+            return found
+        pivot = materialize(many.groupBy("b").agg(F.max_by(F.struct(*[F.col(c).alias(f"p_{c}") for c in fields]), "n").alias("p")).select("b", "p.*"), "sfx-pivots")
+        got = materialize(_parted(many.join(pivot, "b"), length, gram), "sfx-parted")
+        found.append(got.where("b is null").select("key", F.col("x").alias("lo"), F.col("y").alias("hi")))
+        rest = got.where("b is not null").select("key", "pos", "b", F.col("x").alias("cl"), F.col("y").alias("cr"))
+        again = materialize(rest.groupBy("b").agg(F.count("*").alias("all")).where("`all` > 1").select("b", (F.col("all") > CROWD).alias("crowd")), "sfx-again")
+        texts = contexts.where("crowd").select(*fields)  # one row for each place
+        now = materialize(rest.join(again, "b").join(texts, ["key", "pos"]).select("b", "cl", "cr", "crowd", *fields), "sfx-now")
 
 
 def _cut(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -352,7 +371,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry
     )
     texts = materialize(texts, "sfx-texts")
     contexts = materialize(_contexts(texts.where("wanted is not null"), length, gram), "sfx-contexts")
-    more = _sorted_spans(contexts, length, gram).union(_counted_spans(contexts, length, gram))
+    more = reduce(DataFrame.union, _spans(contexts, length, gram))
     more = materialize(more.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("more")), "sfx-more")
     empty = F.array().cast("array<struct<lo: bigint, hi: bigint>>")
     done = texts.where("wanted is null").select("row", "n_bytes", "sha", "text", F.coalesce("full", empty).alias("spans"))
