@@ -54,11 +54,15 @@ class Codebooks:
         out = cls(np.array(books))
         for _ in range(rounds):
             codes = out.encode(x, beam)
-            hot = np.zeros((len(x), m * k), np.float32)
-            hot[np.arange(len(x))[:, None], codes + np.arange(m) * k] = 1
-            normal = hot.T @ hot + 1.0 * np.eye(m * k, dtype=np.float32)
             now = out.books.reshape(m * k, -1)
-            out = cls((now + np.linalg.solve(normal, hot.T @ (x - hot @ now))).reshape(m, k, -1))
+            normal, right = np.eye(m * k, dtype=np.float32), np.zeros_like(now)
+            for s in range(0, len(x), 1024):
+                part = codes[s : s + 1024]
+                hot = np.zeros((len(part), m * k), np.float32)
+                hot[np.arange(len(part))[:, None], part + np.arange(m) * k] = 1
+                normal += hot.T @ hot
+                right += hot.T @ (x[s : s + 1024] - hot @ now)
+            out = cls((now + np.linalg.solve(normal, right)).reshape(m, k, -1))
         return out
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
