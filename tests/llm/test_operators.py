@@ -67,6 +67,28 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts)
 
 
+def joined(n, links):
+    low = list(range(n))
+    for _ in range(n):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    return low
+
+
+def test_tiles_link_repetitive_texts():
+    rng = np.random.default_rng(4)
+    h = [np.sort(np.append(rng.integers(-(1 << 31), 1 << 31, 100), 7)).astype(np.int32) for _ in range(3)]
+    weight = [np.where(x == 7, 996, 1) for x in h[:2]] + [None]
+    assert neardup.probability_jaccard(h[0], weight[0], h[1], weight[1]) > 0.8
+    assert neardup._tile_links(h, weight, np.arange(3), np.zeros(3, int), False, 0.8) == [(0, 1)]
+    for _ in range(200):  # the links of a tile join what all exact similarities join
+        h = [np.unique(rng.integers(0, 12, 10)).astype(np.int32) for _ in range(6)]
+        weight = [rng.integers(1, 50, len(x)) for x in h]
+        links = neardup._tile_links(h, weight, np.arange(6), np.zeros(6, int), False, 0.5)
+        want = [(i, j) for i in range(6) for j in range(i + 1, 6) if neardup.probability_jaccard(h[i], weight[i], h[j], weight[j]) >= 0.5]
+        assert set(links) <= set(want) and joined(6, links) == joined(6, want)
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     a = rng.integers(1, 1 << 62, 300).astype(np.uint64)

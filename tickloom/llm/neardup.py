@@ -11,9 +11,9 @@ and each link is verified by the exact probability Jaccard similarity.
 Equal multisets are first reduced to one representative. In a band's bucket
 every text meets the bucket's leader. Buckets whose texts are then still in
 different components are cut into chunks, every two chunks meet in a tile, and
-a tile counts common shingles of all its texts by matrix products and hands on
-one link for each two components that it joins. So no pairs of a group are
-ever listed, and no link between components of a bucket is lost.
+a tile compares all its texts by matrix products (common shingles, or for texts
+with repeated ones a bound, then exactly) and hands on a forest of the links
+between components. So no pairs of a group are ever listed, and no link between components of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _tile_links(h: list[np.ndarray], weight: list[np.ndarray | None], comp: np.ndarray, chunk: np.ndarray, across: bool, least: float) -> list[tuple[int, int]]:
-    """Pairs of texts of a tile that reach the similarity, one for each two components; shingles are 32-bit hashes here."""
+    """Pairs of texts of a tile that reach the similarity: a forest over components (numbered from 0), for pairs that it has joined need no more links."""
     n = len(h)
     size = np.fromiter(map(len, h), np.int64, n)
     flat, doc = np.concatenate(h), np.repeat(np.arange(n), size)
@@ -198,14 +198,36 @@ def _tile_links(h: list[np.ndarray], weight: list[np.ndarray | None], comp: np.n
     apart &= (chunk[:, None] < chunk[None, :]) if across else (np.arange(n)[:, None] < np.arange(n)[None, :])
     plain = np.array([w is None for w in weight])
     both = plain[:, None] & plain[None, :]
-    same = common >= (least - 1e-9) * (size[:, None] + size[None, :] - common)
+    same = common / (size[:, None] + size[None, :] - common) >= least
     i, j = np.nonzero(apart & both & same)
     code = np.unique(np.minimum(comp[i], comp[j]).astype(np.int64) * n + np.maximum(comp[i], comp[j]), return_index=True)[1]
-    out = list(zip(i[code].tolist(), j[code].tolist(), strict=True))
-    i, j = np.nonzero(apart & ~both & (common >= 0.3 * np.minimum(size[:, None], size[None, :])))
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+    pairs = [(a, b, True) for a, b in zip(i[code].tolist(), j[code].tolist(), strict=True)]
+    if not plain.all():
+        # no term of probability Jaccard exceeds the lesser of the two shares, which does not exceed the root of their product
+        part = np.concatenate([np.sqrt((w if w is not None else np.ones(k)) / (w.sum() if w is not None else k)) for w, k in zip(weight, size.tolist(), strict=True)])[order][shared].astype(np.float32)
+        bound = np.zeros((n, n), np.float32)
+        for a in range(0, int(col.max(initial=-1)) + 1, COLUMNS):
+            i, j = np.searchsorted(col, (a, a + COLUMNS))
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[doc[i:j], col[i:j] - a] = part[i:j]
+            bound += m @ m.T
+        i, j = np.nonzero(apart & ~both & (bound >= least - 1e-4))
+        pairs += [(a, b, False) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    low = list(range(int(comp.max(initial=-1)) + 1))
+
+    def root(x: int) -> int:
+        while low[x] != x:
+            low[x] = x = low[low[x]]
+        return x
+
+    out = []
+    for a, b, sure in pairs:
+        s, t = root(comp[a]), root(comp[b])
+        if s == t:
+            continue
         x, y = (weight[k] if weight[k] is not None else np.ones(size[k]) for k in (a, b))
-        if probability_jaccard(h[a], x, h[b], y) >= least - 1e-6:
+        if sure or probability_jaccard(h[a], x, h[b], y) >= least:
+            low[s] = t
             out.append((a, b))
     return out
 
@@ -282,11 +304,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     chunk = F.pmod(F.xxhash64("rep"), parts).cast("int")
     tiles = at.join(mixed, "key").select("key", "rep", "component", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     tile = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    short = sets.select(F.col("doc_id").alias("rep"), F.transform("sh", lambda x: F.shiftright(x, 32).cast("int")).alias("sh"), F.when(F.exists("n", lambda x: x > 1), F.col("n")).alias("n"))
+    short = sets.select(F.col("doc_id").alias("rep"), "sh", F.when(F.exists("n", lambda x: x > 1), F.col("n")).alias("n"))
     rows = tiles.select(tile.alias("tile"), (F.col("chunk") != F.col("other")).alias("across"), "chunk", "rep", "component").join(short, "rep").select("tile", "across", "chunk", "rep", "component", "sh", "n")
     found = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(least), "src bigint, dst bigint")
     more = materialize(_ordered(found), "dup-pairs")
-    now = materialize(checked.union(_verify(more, sets, least)), "dup-checked")
+    now = materialize(checked.union(more.select("src", "dst", F.lit(True).alias("same"))), "dup-checked")  # tiles compare exactly
     for old in (at, mixed, more, checked):
         discard(old)
     checked = now
