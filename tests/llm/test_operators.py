@@ -365,6 +365,21 @@ def test_neighbours_recall_and_scores(spark):
     assert got.query_id.nunique() == 15 and hit / 150 >= 0.9
 
 
+def test_neighbours_in_a_hot_group_are_all_found(spark):
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((6000, 16)).astype(np.float32)
+    x[1000:2500] = x[0]  # equal ones
+    x[3000:4500] = x[1] + 1e-3 * rng.standard_normal((1500, 16))  # the codes can't tell these apart
+    shuffled = rng.permutation(6000)
+    df = vectors(spark, [(int(i), x[i].tolist(), 0) for i in shuffled]).coalesce(1)
+    got = ann.nearest(df, every=500, sample=600).toPandas()
+    assert got.query_id.nunique() == 12
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        assert g.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(6000), d))[:10].tolist()
+
+
 def test_codes_approach_the_vectors():
     x = np.random.default_rng(13).standard_normal((600, 16))
     b = ann.Codebooks.fit(x, m=6, k=32, rounds=1)

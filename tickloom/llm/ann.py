@@ -4,7 +4,10 @@ A vector is written as the sum of one codeword from each of M codebooks of the
 full dimension. Codebooks start from k-means on residuals and are then solved
 again by least squares for the codes that beam search finds. With the stored
 norm of the sum, the distance to a query is M table lookups; the best by that
-score are ranked again by exact distances of the original vectors.
+score are ranked again by exact distances of the original vectors. The length
+of what the sum leaves over is stored too: by the triangle inequality it tells
+which other rows may still be among the nearest, and all these get an exact
+distance. So the result is exact, whatever the codes.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from .vectors import matrix, usable
 
 #: The bounded sample that codebooks are fitted on; codebooks, their words, beam width.
 FIT_ROWS, BOOKS, WORDS, BEAM = 8192, 16, 256, 4
-#: Queries of a block (what is sent to the executors at once), and exact distances of a batch: a floor and a share of its rows.
+#: Queries of a block (what is sent to the executors at once), and first exact distances of a batch: a floor and a share of its rows.
 BLOCK, LEAST, SHARE = 1024, 100, 0.03
 
 
@@ -109,21 +112,41 @@ def index(rows: DataFrame, books: Codebooks) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            codes = books.encode(matrix(batch.column(1)))
-            norm = (books.decode(codes) ** 2).sum(1)
+            x = matrix(batch.column(1))
+            codes = books.encode(x)
+            coded = books.decode(codes)
+            norm = (coded**2).sum(1)
+            rest = np.sqrt(((x - coded) ** 2).sum(1))
             m = codes.shape[1]
-            cols = [*batch.columns, pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), len(batch), [None, pa.py_buffer(codes.astype(np.uint8).tobytes())]).cast(pa.binary()), pa.array(norm.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "embedding", "codes", "norm"])
+            cols = [*batch.columns, pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), len(batch), [None, pa.py_buffer(codes.astype(np.uint8).tobytes())]).cast(pa.binary()), pa.array(norm.astype(np.float32)), pa.array(rest)]
+            yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "embedding", "codes", "norm", "rest"])
 
-    return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, codes binary, norm float")
+    return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, codes binary, norm float, rest double")
+
+
+def _merge(best: list[np.ndarray], vec: np.ndarray, x: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k nearest (ids, distances, nearest first) of those so far and these rows, the query's own id left out; ties go to the smaller id."""
+    rows = rows[vec[rows] != own]
+    d = np.concatenate((best[1], np.sqrt(((x[rows] - query) ** 2).sum(1))))
+    v = np.concatenate((best[0], vec[rows]))
+    order = np.lexsort((d, v))
+    v, d = v[order], d[order]
+    first = np.ones(len(v), bool)  # a repeated id counts once, by its nearest row
+    first[1:] = v[1:] != v[:-1]
+    v, d = v[first], d[first]
+    keep = np.lexsort((v, d))[:k]
+    return [v[keep], d[keep]]
 
 
 def _search(table: DataFrame, books: Codebooks, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """For each query of a block the k nearest of each partition."""
     send = table.sparkSession.sparkContext.broadcast((books.tables(q), ids, q))
+    reach = float(np.sqrt((books.books.astype(np.float64) ** 2).sum(2)).max(1).sum())  # no sum of words is longer
+    fuzz = (q.shape[1] + books.books.shape[0]) * 2.0**-22  # of 32-bit sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lut, own, queries = send.value
+        length = np.sqrt((queries**2).sum(1))
         best: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0)] for _ in own]
         for batch in batches:
             n = len(batch)
@@ -131,23 +154,31 @@ def _search(table: DataFrame, books: Codebooks, ids: np.ndarray, q: np.ndarray,
                 continue
             vec, x = batch.column(0).to_numpy(), matrix(batch.column(1))
             codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
-            norm = batch.column(3).to_numpy()
+            norm, rest = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            square = (x * x).sum(1)
             top = min(n, max(LEAST, int(SHARE * n)))
             for i in range(len(own)):
                 score = norm - 2 * lut[i][np.arange(codes.shape[1])[:, None], codes.T].sum(0)
                 near = np.argpartition(score, top - 1)[:top] if top < n else np.arange(n)
-                near = near[vec[near] != own[i]]
-                d = np.sqrt(((x[near] - queries[i]) ** 2).sum(1))
-                v, d = np.concatenate((best[i][0], vec[near])), np.concatenate((best[i][1], d))
-                v, first = np.unique(v, return_index=True)  # a repeated row counts once
-                d = d[first]
-                keep = np.lexsort((v, d))[:k]
-                best[i] = [v[keep], d[keep]]
+                best[i] = _merge(best[i], vec, x, near, own[i], queries[i], k)
+                if top == n:
+                    continue
+                # rows that the codes can't rule out: distance to the sum of words, less what that leaves over, within the k-th so far
+                worst = best[i][1][-1] if len(best[i][1]) == k else np.inf
+                slack = fuzz * (reach + length[i]) ** 2
+                out = np.sqrt(np.maximum(score + length[i] ** 2 - slack, 0)) - rest * (1 + 1e-9) - fuzz * reach > worst
+                out[near] = True
+                more = np.flatnonzero(~out)
+                if len(more) > top:  # and of many, those that 64-bit products can't
+                    far = square[more] - 2 * x[more] @ queries[i] + length[i] ** 2 - 1e-11 * (np.sqrt(square[more]) + length[i]) ** 2 > worst**2
+                    more = more[~far]
+                if len(more):
+                    best[i] = _merge(best[i], vec, x, more, own[i], queries[i], k)
         size = [len(b[0]) for b in best]
         if sum(size):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, size)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "vec_id", "score"])
 
-    return table.select("vec_id", "embedding", "codes", "norm").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return table.select("vec_id", "embedding", "codes", "norm", "rest").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = FIT_ROWS) -> DataFrame:
@@ -158,7 +189,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = FIT
     components, have no vec_id or not the commonest length of the sample take
     no part. A repeated vec_id counts once, by its nearest row; the first of
     repeated queries is used. Ties go to the smaller vec_id. Queries are sent
-    out in blocks of about ``BLOCK``; every row is coded and scored.
+    out in blocks of about ``BLOCK``; every row is coded and scored. The result
+    is exact and doesn't depend on batches.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
