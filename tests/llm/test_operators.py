@@ -408,6 +408,15 @@ def test_vector_links_equal_brute_force(spark, monkeypatch, tile):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
 
 
+@pytest.mark.parametrize("cosine", [0.999, 0.93, 0.8, 0.5, 0.0, -0.5, -1.0])
+def test_bands_keep_the_chance_of_a_miss(cosine):
+    agree = 1 - math.acos(cosine) / math.pi
+    for largest in (1, 10**3, 3 * 10**6, 6 * 10**6, 12 * 10**6, 50 * 10**6, 10**9):
+        width, bands = vecdedup.plan(largest, cosine)
+        assert 0 < bands and width * bands <= vecdedup.BITS and (1 - agree**width) ** bands <= vecdedup.MISS
+    assert (vecdedup.band_keys(np.ones((3, 8)), 0, 1) == 0).all()  # a band of no bits is one bucket
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(15)
     x = rng.standard_normal((400, 32))

@@ -37,10 +37,17 @@ def rotation(dim: int, bits: int = BITS, seed: int = 11) -> np.ndarray:
 
 
 def plan(largest: int, cosine: float) -> tuple[int, int]:
-    """Bits of a band and number of bands for labels of at most so many rows."""
+    """Bits of a band and number of bands for labels of at most so many rows; bands narrow until as many as needed fit in the code."""
     agree = 1 - math.acos(cosine) / math.pi
+
+    def bands(width: int) -> int:
+        lost = 1 - agree**width
+        return math.ceil(math.log(MISS) / math.log(lost)) if 0 < lost < 1 else 1 if lost <= 0 else BITS + 1
+
     width = int(np.clip(round(math.log2(max(largest, 1) / 64)), 4, 20))
-    return width, min(math.ceil(math.log(MISS) / math.log(1 - agree**width)), BITS // width)
+    while width * bands(width) > BITS:  # down to 0 bits: one bucket that holds all
+        width -= 1
+    return width, bands(width)
 
 
 def codes(x: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
