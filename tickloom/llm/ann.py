@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .vectors import matrix, usable
 
 #: The bounded sample that codebooks are fitted on; codebooks, their words, beam width.
@@ -121,7 +121,7 @@ def index(rows: DataFrame, books: Codebooks) -> DataFrame:
             cols = [*batch.columns, pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), len(batch), [None, pa.py_buffer(codes.astype(np.uint8).tobytes())]).cast(pa.binary()), pa.array(norm.astype(np.float32)), pa.array(rest)]
             yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "embedding", "codes", "norm", "rest"])
 
-    return rows.mapInArrow(run, "vec_id bigint, embedding array<double>, codes binary, norm float, rest double")
+    return map_arrow(rows, run, "vec_id bigint, embedding array<double>, codes binary, norm float, rest double")
 
 
 def _merge(best: list[np.ndarray], vec: np.ndarray, x: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int) -> list[np.ndarray]:
@@ -178,7 +178,7 @@ def _search(table: DataFrame, books: Codebooks, ids: np.ndarray, q: np.ndarray,
         if sum(size):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, size)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "vec_id", "score"])
 
-    return table.select("vec_id", "embedding", "codes", "norm", "rest").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return map_arrow(table.select("vec_id", "embedding", "codes", "norm", "rest"), run, "query_id bigint, vec_id bigint, score double")
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = FIT_ROWS) -> DataFrame:

@@ -3,20 +3,49 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
 _OWN: dict[str, str] = {}
+#: Bytes of an Arrow batch (or one longer row) between the JVM and Python, where the session sets no bound of its own; parts of all rows from which on a key is hot.
+BATCH, HOT = 2 << 20, 1000
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over batches that are bounded by bytes, since texts differ in length by orders of magnitude."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], spread: list[str], count: str = "n") -> DataFrame:
+    """Inner join of rows with a frame of one row a key, in which ``count`` is the number of the key's rows.
+
+    A key with more than 1 / ``HOT`` of all rows is dealt over as many parts
+    as its share needs, by the hash of the columns ``spread``. There are fewer
+    than ``HOT`` such keys, so the list of them is broadcast.
+    """
+    total = int(keyed.agg(F.sum(count)).first()[0] or 0)
+    parts = F.ceil(F.col(count) * HOT / F.lit(max(total, 1))).cast("int")
+    hot = keyed.where(F.col(count) * HOT > total).select(*on, parts.alias("__parts"))
+    dealt = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(F.col(count) * HOT > total, parts).otherwise(1) - 1)))
+    part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__parts")).cast("int"), F.lit(0))
+    return rows.join(F.broadcast(hot), on, "left").withColumn("__part", part).drop("__parts").join(dealt, [*on, "__part"]).drop("__part")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and all run on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         key = spark.sparkContext.applicationId
         if key not in _OWN:
             _OWN[key] = tempfile.mkdtemp(prefix="tickloom-")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 #: An odd base, so that its powers can be inverted modulo 2**64.
 BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, text_or_empty
+from .common import components, discard, map_arrow, materialize, text_or_empty
 from .flat import blocks, mix, per_text, prefix, runs, span_hash
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 f1, f2 = _print(h, count, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(to, pa.array(band.reshape(-1).view(np.int64)))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id bigint, f1 bigint, f2 bigint, bands array<bigint>")
+    return map_arrow(docs, run, "doc_id bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(to, pa.array(x)) for x in (h.view(np.int64), count.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(f1), pa.array(f2), *lists], names=["doc_id", "f1", "f2", "sh", "n"])
 
-    return docs.mapInArrow(run, "doc_id bigint, f1 bigint, f2 bigint, sh array<bigint>, n array<int>")
+    return map_arrow(docs, run, "doc_id bigint, f1 bigint, f2 bigint, sh array<bigint>, n array<int>")
 
 
 def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
@@ -173,7 +173,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("sh").alias("sh1"), F.col("n").alias("n1")), "src").join(
         sets.select(F.col("doc_id").alias("dst"), F.col("sh").alias("sh2"), F.col("n").alias("n2")), "dst"
     )
-    return both.select("src", "dst", "sh1", "n1", "sh2", "n2").mapInArrow(run, "src bigint, dst bigint, same boolean")
+    return map_arrow(both.select("src", "dst", "sh1", "n1", "sh2", "n2"), run, "src bigint, dst bigint, same boolean")
 
 
 def _tile_links(h: list[np.ndarray], weight: list[np.ndarray | None], comp: np.ndarray, chunk: np.ndarray, across: bool, least: float) -> list[tuple[int, int]]:
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     tile = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
     short = sets.select(F.col("doc_id").alias("rep"), "sh", F.when(F.exists("n", lambda x: x > 1), F.col("n")).alias("n"))
     rows = tiles.select(tile.alias("tile"), (F.col("chunk") != F.col("other")).alias("across"), "chunk", "rep", "component").join(short, "rep").select("tile", "across", "chunk", "rep", "component", "sh", "n")
-    found = rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(least), "src bigint, dst bigint")
+    found = map_arrow(rows.repartition("tile").sortWithinPartitions("tile"), _tiles(least), "src bigint, dst bigint")
     more = materialize(_ordered(found), "dup-pairs")
     now = materialize(checked.union(more.select("src", "dst", F.lit(True).alias("same"))), "dup-checked")  # tiles compare exactly
     for old in (at, mixed, more, checked):

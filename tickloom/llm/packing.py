@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_arrow, text_or_empty
 from .flat import Known, Store, blocks, per_text, prefix, runs, segment_sum, span_hash
 
 #: Bits of a sequence id that count the windows of one partition.
@@ -237,7 +237,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bool = Fal
                 cols.append(pa.array([x.astype(np.int64) for x in cuts[j]], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(cols, schema=_arrow(with_ids))
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")), run, schema)
 
 
 def _arrow(with_ids: bool) -> pa.Schema:

@@ -8,6 +8,8 @@ place, and only about one position in eighty is an anchor:
 1. Anchors that share neither their gram nor, then, their whole context (all
    strings that can have this anchor) are settled by counts alone: a gram that
    stands once has no repeat, a context that stands again is repeated as a whole.
+   Whole contexts count as equal only if their prefix hash and a BLAKE2b digest
+   of their bytes agree.
 2. For the rest, contexts of one gram are put in suffix order by a mergesort
    that compares two suffixes through prefix hashes and binary search for their
    common extension; common extensions to both sides of neighbours in that order
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_or_empty
+from .common import discard, join_hot, map_arrow, materialize, text_or_empty
 from .flat import INVERSE, blocks, gather, mix, powers, prefix, span_hash
 
 LENGTH, GRAM = 200, 40
-#: Different contexts of a bucket that one task sorts; larger ones are split. Contexts that are sorted at once.
-CROWD, CHUNK = 64, 20_000
+#: A row of the input is known by two 64-bit hashes of all its columns.
+KEY = ["key", "twin"]
+#: Different contexts of a bucket that one task sorts; larger ones are split. Contexts that are sorted at once. Parts over which the contexts of a large bucket meet its pivot.
+CROWD, CHUNK, SALTS = 64, 8_000, 64
 _U = np.uint64
 
 
@@ -74,20 +78,22 @@ def _context(doc: np.ndarray, at: np.ndarray, off: np.ndarray, length: int, gram
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, pos, left, right, g (hash of the gram), u (hash of the context) of every anchor."""
-    schema = pa.schema([("key", pa.int64()), ("pos", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("g", pa.int64()), ("u", pa.int64())])
+    """key, twin, pos, left, right, g (hash of the gram), u and v (prefix hash and digest of the context) of every anchor."""
+    names = [*KEY, "pos", "left", "right", "g", "u", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for i, _, buf, off in blocks(batch.column(1)):
+            keys, twins = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, _, buf, off in blocks(batch.column(2)):
                 doc, at, c = anchors(buf, off, length, gram)
                 left, right = _context(doc, at, off, length, gram)
                 g = span_hash(c, at, at + gram)
                 u = mix(span_hash(c, at - left, at + gram + right) + left.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i + doc]), pa.array(at - off[doc]), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(u.view(np.int64))], schema=schema)
+                raw, digest = buf.tobytes(), hashlib.blake2b
+                v = np.frombuffer(b"".join([digest(raw[a:b], digest_size=8).digest() for a, b in zip((at - left).tolist(), (at + gram + right).tolist(), strict=True)]), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[i + doc], twins[i + doc], at - off[doc], left.astype(np.int32), right.astype(np.int32), g.view(np.int64), u.view(np.int64), v)], names=names)
 
-    return docs.select("key", "text").mapInArrow(run, "key bigint, pos bigint, left int, right int, g bigint, u bigint")
+    return map_arrow(docs.select(*KEY, "text"), run, "key bigint, twin bigint, pos bigint, left int, right int, g bigint, u bigint, v bigint")
 
 
 class Sorter:
@@ -217,30 +223,30 @@ def _by_bytes(buf: np.ndarray, a: int, b: int, gram: int, left: int, right: int)
     return int(np.argmax(x)) if x.any() else left, int(np.argmax(y)) if y.any() else right
 
 
-CONTEXT = "g bigint, n bigint, key bigint, pos bigint, left int, right int, crowd boolean, ctx binary"
+CONTEXT = "g bigint, n bigint, key bigint, twin bigint, pos bigint, left int, right int, crowd boolean, ctx binary"
 
 
 def _contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """The bytes around wanted anchors: a row for each, from texts with the list of them."""
-    names = ["g", "n", "key", "pos", "left", "right", "crowd", "ctx"]
+    names = ["g", "n", *KEY, "pos", "left", "right", "crowd", "ctx"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in names]
-            for key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
+            for key, twin, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw = memoryview(text.as_buffer())
                 for w in wanted:
                     p = w["pos"]
-                    for to, x in zip(rows, (w["g"], w["n"], key, p, w["left"], w["right"], w["crowd"], raw[p - w["left"] : p + gram + w["right"]]), strict=True):
+                    for to, x in zip(rows, (w["g"], w["n"], key, twin, p, w["left"], w["right"], w["crowd"], bytes(raw[p - w["left"] : p + gram + w["right"]])), strict=True):
                         to.append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            types = (*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
 
-    return docs.select("key", "text", "wanted").mapInArrow(run, CONTEXT)
+    return map_arrow(docs.select(*KEY, "text", "wanted"), run, CONTEXT)
 
 
 def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Repeated spans (key, lo, hi) of contexts in buckets (b) with few of them."""
+    """Repeated spans (key, twin, lo, hi) of contexts in buckets (b) with few of them."""
 
     def work(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -252,7 +258,7 @@ def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
         l, r = repeats(buf, off, left, right, t["b"].to_numpy(), length, gram)
         keep = (l >= 0) & (t["n"].to_numpy() == 1)
         pos = t["pos"].to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(t["key"].to_numpy()[keep]), pa.array((pos - l)[keep]), pa.array((pos + gram + r)[keep])], names=["key", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(t[k].to_numpy()[keep]) for k in KEY), pa.array((pos - l)[keep]), pa.array((pos + gram + r)[keep])], names=[*KEY, "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -275,8 +281,8 @@ def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from work(held)
 
-    few = contexts.select("b", "n", "key", "pos", "left", "right", "ctx").repartition("b").sortWithinPartitions("b")
-    return few.mapInArrow(run, "key bigint, lo bigint, hi bigint")
+    few = contexts.select("b", "n", *KEY, "pos", "left", "right", "ctx").repartition("b").sortWithinPartitions("b")
+    return map_arrow(few, run, "key bigint, twin bigint, lo bigint, hi bigint")
 
 
 def _parted(pairs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -291,45 +297,60 @@ def _parted(pairs: DataFrame, length: int, gram: int) -> DataFrame:
             _, _, own, off1 = next(blocks(col["ctx"], 1 << 60))
             _, _, other, off2 = next(blocks(col["p_ctx"], 1 << 60))
             srt = Sorter(np.concatenate((own, other)))
-            num = {k: col[k].to_numpy().astype(np.int64) for k in ("n", "key", "pos", "left", "right", "cl", "cr", "p_n", "p_key", "p_pos", "p_left", "p_right")}
+            num = {k: col[k].to_numpy().astype(np.int64) for k in ("n", *KEY, "pos", "left", "right", "cl", "cr", "p_n", "p_key", "p_twin", "p_pos", "p_left", "p_right")}
             a, b = off1[:-1] + num["left"], len(own) + off2[:-1] + num["p_left"]
             l = srt.common_left(a, b, np.minimum(num["left"], num["p_left"]))
             r = srt.common(a + gram, b + gram, np.minimum(num["right"], num["p_right"]))
             for i in np.flatnonzero(~_same_bytes(srt.buf, a - l, b - l, l + gram + r)):  # different strings of one hash: by bytes
                 l[i], r[i] = _by_bytes(srt.buf, int(a[i]), int(b[i]), gram, int(l[i]), int(r[i]))
-            new = (num["key"] != num["p_key"]) | (num["pos"] != num["p_pos"])
+            new = (num["key"] != num["p_key"]) | (num["twin"] != num["p_twin"]) | (num["pos"] != num["p_pos"])
             out: list[tuple] = []
             hit = new & (l + gram + r >= length)
             for one, which in (("", hit & (num["n"] == 1)), ("p_", hit & (num["p_n"] == 1))):
-                k, p = num[one + "key"][which], num[one + "pos"][which]
-                out.append((k, p, np.zeros(len(k), np.int64), np.ones(len(k), bool), p - l[which], p + gram + r[which]))
+                k, t, p = (num[one + x][which] for x in (*KEY, "pos"))
+                out.append((k, t, p, np.zeros(len(k), np.int64), np.ones(len(k), bool), p - l[which], p + gram + r[which]))
             for cl, cr, more in ((np.maximum(num["cl"], l + 1), num["cr"], l < num["left"]), (num["cl"], np.maximum(num["cr"], r + 1), r < num["right"])):
                 i = np.flatnonzero(new & more & (cl + cr <= reach))
                 bucket = mix(span_hash(srt.c, a[i] - cl[i], a[i] + gram + cr[i]) + cl[i].astype(np.uint64) * _U(0xD1342543DE82EF95))
-                out.append((num["key"][i], num["pos"][i], bucket.view(np.int64), np.zeros(len(i), bool), cl[i], cr[i]))
-            k, p, bucket, span, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(p), pa.array(bucket, mask=span), pa.array(x), pa.array(y)], names=["key", "pos", "b", "x", "y"])
+                out.append((num["key"][i], num["twin"][i], num["pos"][i], bucket.view(np.int64), np.zeros(len(i), bool), cl[i], cr[i]))
+            k, t, p, bucket, span, x, y = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(t), pa.array(p), pa.array(bucket, mask=span), pa.array(x), pa.array(y)], names=[*KEY, "pos", "b", "x", "y"])
 
-    return pairs.mapInArrow(run, "key bigint, pos bigint, b bigint, x bigint, y bigint")
+    return map_arrow(pairs, run, "key bigint, twin bigint, pos bigint, b bigint, x bigint, y bigint")
 
 
 def _spans(contexts: DataFrame, length: int, gram: int) -> list[DataFrame]:
-    """Repeated spans (key, lo, hi) of contexts, as frames to be put together."""
+    """Repeated spans (key, twin, lo, hi) of contexts, as frames to be put together.
+
+    At each level a bucket's contexts agree in at least one byte more, so there
+    are at most ``length - gram`` levels; those not needed any more are deleted.
+    """
     found: list[DataFrame] = []
-    fields = ("key", "pos", "left", "right", "n", "ctx")
+    fields = (*KEY, "pos", "left", "right", "n", "ctx")
+    salt = F.pmod(F.xxhash64(*KEY, "pos"), F.lit(SALTS)).cast("int")
     now = contexts.select(F.col("g").alias("b"), F.lit(0).cast("bigint").alias("cl"), F.lit(0).cast("bigint").alias("cr"), "crowd", *fields)
+    own = None
     while True:
-        found.append(_sorted_spans(now.where("not crowd"), length, gram))
         many = now.where("crowd")
         if not many.limit(1).count():
+            found.append(_sorted_spans(now.where("not crowd"), length, gram))
             return found
+        if own is None:
+            found.append(_sorted_spans(now.where("not crowd"), length, gram))
+        else:
+            found.append(materialize(_sorted_spans(now.where("not crowd"), length, gram), "sfx-spans"))
         pivot = materialize(many.groupBy("b").agg(F.max_by(F.struct(*[F.col(c).alias(f"p_{c}") for c in fields]), "n").alias("p")).select("b", "p.*"), "sfx-pivots")
-        got = materialize(_parted(many.join(pivot, "b"), length, gram), "sfx-parted")
-        found.append(got.where("b is null").select("key", F.col("x").alias("lo"), F.col("y").alias("hi")))
-        rest = got.where("b is not null").select("key", "pos", "b", F.col("x").alias("cl"), F.col("y").alias("cr"))
-        again = materialize(rest.groupBy("b").agg(F.count("*").alias("all")).where("`all` > 1").select("b", (F.col("all") > CROWD).alias("crowd")), "sfx-again")
+        met = many.withColumn("salt", salt).join(pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["b", "salt"])
+        got = materialize(_parted(met, length, gram), "sfx-parted")
+        found.append(got.where("b is null").select(*KEY, F.col("x").alias("lo"), F.col("y").alias("hi")))
+        rest = got.where("b is not null").select(*KEY, "pos", "b", F.col("x").alias("cl"), F.col("y").alias("cr"))
+        again = materialize(rest.groupBy("b").agg(F.count("*").alias("all")).where("`all` > 1").select("b", "all", (F.col("all") > CROWD).alias("crowd")), "sfx-again")
         texts = contexts.where("crowd").select(*fields)  # one row for each place
-        now = materialize(rest.join(again, "b").join(texts, ["key", "pos"]).select("b", "cl", "cr", "crowd", *fields), "sfx-now")
+        met = join_hot(rest, again, ["b"], [*KEY, "pos"], "all").drop("all")
+        new = materialize(met.join(texts, [*KEY, "pos"]).select("b", "cl", "cr", "crowd", *fields), "sfx-now")
+        for old in (own, pivot, again):
+            discard(old)
+        now = own = new
 
 
 def _cut(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -349,34 +370,39 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry
     ``carry`` keeps all texts.
     """
     base = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), text_or_empty().alias("text"))
-    base = base.withColumn("key", F.xxhash64("row", "text"))
+    base = base.withColumns({"key": F.xxhash64("row", "text"), "twin": F.xxhash64(F.lit(1), "row", "text")})
     rows = _anchor_rows(base.where(F.octet_length("text") >= length), length, gram)
-    grams = rows.groupBy("g").agg(F.count("*").alias("n"), (F.min("u") == F.max("u")).alias("alike")).where("n > 1").select("g", "alike")
+    alike = (F.min("u") == F.max("u")) & (F.min("v") == F.max("v"))
+    grams = rows.groupBy("g").agg(F.count("*").alias("n"), alike.alias("alike")).where("n > 1")
     grams = materialize(grams, "sfx-grams")
-    met = materialize(rows.join(grams, "g"), "sfx-anchors")
-    kinds = met.where("not alike").groupBy("g", "u").agg(F.count("*").alias("n"), F.max("key").alias("key"), *[F.max_by(c, "key").alias(c) for c in ("pos", "left", "right")])
+    met = materialize(join_hot(rows, grams, ["g"], [*KEY, "pos"]).drop("n"), "sfx-anchors")
+    place = ("twin", "pos", "left", "right")
+    kinds = met.where("not alike").groupBy("g", "u", "v").agg(F.count("*").alias("n"), F.max("key").alias("key"), *[F.max_by(c, "key").alias(c) for c in place])
     kinds = materialize(kinds, "sfx-kinds")
-    crowd = kinds.groupBy("g").agg((F.count("*") > CROWD).alias("crowd"))
-    again = met.where("not alike").join(kinds.where("n > 1").select("g", "u"), ["g", "u"]).select("key", "pos", "left", "right")
-    full = met.where("alike").select("key", "pos", "left", "right").union(again)
-    full = full.groupBy("key").agg(F.collect_list(F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + gram + F.col("right")).alias("hi"))).alias("full"))
-    wanted = kinds.join(crowd, "g").groupBy("key").agg(F.collect_list(F.struct("g", "n", "pos", "left", "right", "crowd")).alias("wanted"))
-    notes = materialize(full.join(wanted, "key", "full"), "sfx-notes")
-    discard(met)
+    crowd = materialize(kinds.groupBy("g").agg(F.count("*").alias("all")).select("g", "all", (F.col("all") > CROWD).alias("crowd")), "sfx-crowds")
+    more = kinds.where("n > 1").select("g", "u", "v", "n")
+    again = join_hot(met.where("not alike"), more, ["g", "u", "v"], [*KEY, "pos"]).select(*KEY, "pos", "left", "right")
+    full = met.where("alike").select(*KEY, "pos", "left", "right").union(again)
+    full = full.groupBy(*KEY).agg(F.collect_list(F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + gram + F.col("right")).alias("hi"))).alias("full"))
+    wanted = join_hot(kinds, crowd, ["g"], [*KEY, "pos"], "all").groupBy(*KEY).agg(F.collect_list(F.struct("g", "n", "pos", "left", "right", "crowd")).alias("wanted"))
+    notes = materialize(full.join(wanted, KEY, "full"), "sfx-notes")
+    for old in (met, grams, kinds, crowd):
+        discard(old)
     some = F.col("full").isNotNull() | F.col("wanted").isNotNull()
-    texts = base.join(notes, "key", "left").select(
-        "key", "row", "full", "wanted", F.octet_length("text").cast("bigint").alias("n_bytes"),
+    texts = base.join(notes, KEY, "left").select(
+        *KEY, "row", "full", "wanted", F.octet_length("text").cast("bigint").alias("n_bytes"),
         F.when(~some, F.sha2(F.col("text").cast("binary"), 256)).alias("sha"),
         F.when(some | F.lit(carry), F.col("text")).alias("text"),
     )
     texts = materialize(texts, "sfx-texts")
+    discard(notes)
     contexts = materialize(_contexts(texts.where("wanted is not null"), length, gram), "sfx-contexts")
     more = reduce(DataFrame.union, _spans(contexts, length, gram))
-    more = materialize(more.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("more")), "sfx-more")
+    more = materialize(more.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("more")), "sfx-more")
     empty = F.array().cast("array<struct<lo: bigint, hi: bigint>>")
     done = texts.where("wanted is null").select("row", "n_bytes", "sha", "text", F.coalesce("full", empty).alias("spans"))
     both = F.concat(F.coalesce("full", empty), F.coalesce("more", empty))
-    return texts.where("wanted is not null").join(more, "key", "left").select("row", "n_bytes", "sha", "text", both.alias("spans")).union(done)
+    return texts.where("wanted is not null").join(more, KEY, "left").select("row", "n_bytes", "sha", "text", both.alias("spans")).union(done)
 
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -385,7 +411,8 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256. A null text is
     empty. Repeated rows are documents of their own and so repeat each other; a
     null doc_id is kept. An empty table gives no rows; other columns are not
-    read.
+    read. Texts of any length are worked whole: a task holds one text and the
+    anchors of about ``flat.BLOCK`` bytes, or of one longer text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +432,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = removed_spans(docs.select("doc_id", "text"), length, gram)
-    return found.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "sha", "text", "spans").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return map_arrow(found.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "sha", "text", "spans"), run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -433,5 +460,5 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
                 out.append("".join(part))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "text"])
 
-    cut = found.mapInArrow(run, f"row {row}, text string")
+    cut = map_arrow(found, run, f"row {row}, text string")
     return cut.select(*[F.when(~F.col(f"row.{null}"), F.col("text")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import map_arrow, text_or_empty
 from .flat import INVERSE, Known, Store, blocks, mix, per_text, powers, prefix, span_hash
 
 #: Chunks whose counts a worker keeps, and the longest (in characters) that are worked in one matrix.
@@ -217,7 +217,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
             size = pc.cast(pc.binary_length(batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(total), pa.array(total > limit), pa.array(keep)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, keep_chars bigint")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")), run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, keep_chars bigint")
 
 
 def prefix_table(docs: DataFrame, model: str) -> DataFrame:
@@ -234,4 +234,4 @@ def prefix_table(docs: DataFrame, model: str) -> DataFrame:
             got = [(chars[1:] - 1, tokens[1:]) for _, chars, tokens, _ in c.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], kind), pa.array([x[1] for x in got], kind)], names=["doc_id", "chars", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(run, "doc_id bigint, chars array<bigint>, tokens array<bigint>")
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")), run, "doc_id bigint, chars array<bigint>, tokens array<bigint>")

@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import discard, map_arrow, materialize, text_or_empty
 from .flat import Known, blocks, per_text, prefix, runs, span_hash
 
-#: The bounded sample: labelled rows that are learnt from, and words that the model keeps.
-FIT_ROWS, MAX_WORDS = 30_000, 20_000
+#: The bounded sample: labelled rows that are learnt from.
+FIT_ROWS = 30_000
 #: Mass of the Dirichlet prior as a share of the sample; least toxic documents of a word of the model, and its least log-odds two standard errors down; score of any other word.
 PRIOR, LEAST, LEAST_ODDS, DRIFT = 0.1, 3, math.log(3), -0.1
 #: Highest score of a model that has not seen both classes: it predicts nothing.
@@ -45,7 +45,7 @@ LETTER = _letters()
 
 @dataclass
 class Model:
-    """What ``fit`` learns; its size is bounded by MAX_WORDS."""
+    """What ``fit`` learns; its words are those of a bounded sample that stand in enough of its toxic documents."""
 
     words: dict[str, float] = field(default_factory=dict)
     rate: float = 0.0
@@ -121,17 +121,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the words of a block: how many toxic and how many clean documents hold each."""
+    for batch in batches:
+        toxic = batch.column(1).to_numpy().astype(bool)
+        for i, _, buf, off in blocks(pc.utf8_lower(batch.column(0))):
+            start, end, _ = runs(LETTER[buf], off)
+            doc = np.searchsorted(off, start, "right") - 1
+            word, first, at = np.unique(span_hash(prefix(buf), start, end), return_index=True, return_inverse=True)
+            own = np.unique(at * (doc.max(initial=0) + 1) + doc)  # a word of a document once
+            at, own = np.divmod(own, doc.max(initial=0) + 1)
+            bad = toxic[i + own]
+            raw = buf.tobytes()
+            names = [raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            n = [pa.array(np.bincount(at[which], minlength=len(word)).astype(float)) for which in (bad, ~bad)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *n], names=["word", "x", "y"])
+
+
 def _words(train: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """Words that stand in more toxic documents than their rate explains, with their shrunk log-odds."""
-    each = train.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([A-Za-z\\x{80}-\\x{10FFFF}]+)")))).alias("word"))
-    counts = each.groupBy("word").agg(F.sum("toxic").cast("double").alias("x"), F.sum(1 - F.col("toxic")).cast("double").alias("y")).where(F.col("x") >= LEAST)
+    each = map_arrow(train.select("text", "toxic"), _count_words, "word string, x double, y double")
+    counts = each.groupBy("word").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).where(F.col("x") >= LEAST)
     own = F.lit(PRIOR) * (F.col("x") + F.col("y"))  # pseudo-documents of each class, in number as the word is frequent in both together
     x, y = F.col("x") + own * F.lit(toxic / (toxic + clean)), F.col("y") + own * F.lit(clean / (toxic + clean))
     odds = F.log(x / F.lit(toxic * (1 + PRIOR))) - F.log(y / F.lit(clean * (1 + PRIOR)))
     error = F.sqrt(1 / x + 1 / y)
     kept = counts.select("word", odds.alias("odds"), error.alias("error")).where(F.col("odds") - 2 * F.col("error") > LEAST_ODDS)
-    best = kept.orderBy((F.col("odds") - 2 * F.col("error")).desc(), "word").limit(MAX_WORDS).collect()
-    return {r["word"]: r["odds"] - r["error"] for r in best}
+    return {r["word"]: r["odds"] - r["error"] for r in sorted(kept.collect())}  # words of the bounded sample
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -147,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     order = F.xxhash64(F.col("label_id"), F.lit(5))
     chosen = chosen.orderBy(order, "label_id").limit(rows).withColumn("fold", F.pmod(F.xxhash64(F.col("label_id"), F.lit(7)), F.lit(4)))
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # bounded by rows
-    own = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "fold").persist()
+    own = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic", "fold")
+    own = materialize(own, "tox-sample")
     try:
         size = {(bool(r["first"]), r["toxic"]): r["n"] for r in own.groupBy((F.col("fold") == 0).alias("first"), "toxic").agg(F.count("*").alias("n")).collect()}
         toxic, clean = size.get((False, 1), 0), size.get((False, 0), 0)
@@ -156,9 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         if not toxic or not clean:
             return model
         model.words = _words(own.where("fold <> 0"), toxic, clean)
-        got = own.where("fold = 0").mapInArrow(_best(model.words), "toxic int, n bigint, segs array<double>").collect()  # a quarter of the bounded sample
+        got = map_arrow(own.where("fold = 0"), _best(model.words), "toxic int, n bigint, segs array<double>").collect()  # a quarter of the bounded sample
     finally:
-        own.unpersist()
+        discard(own)
     segs = [[(s, 0, 0) for s in r["segs"]] for r in got]
     best = np.array([max((s for s, _, _ in x), default=0.0) for x in segs])
     n, y = np.array([r["n"] for r in got], float), np.array([r["toxic"] for r in got], float)
@@ -196,7 +213,7 @@ def _best(words: dict[str, float]):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Score whole texts: doc_id, score, predicted, n_words, passages (first and last word, excess over chance) of every significant passage.
+    """Score whole texts, of any length: doc_id, score, predicted, n_words, passages (first and last word, excess over chance) of every significant passage.
 
     A null or empty text has no passage and the score of such texts; a null
     doc_id stays null, repeated rows are scored each, an empty table gives no
@@ -219,7 +236,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = np.array(out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(n, pa.int64()), pa.array(spans, kind)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")).mapInArrow(
+    return map_arrow(
+        docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")),
         run, "doc_id bigint, score double, predicted int, n_words bigint, passages array<struct<first_word: bigint, last_word: bigint, excess: double>>"
     )
 
@@ -238,4 +256,4 @@ def reject(docs: DataFrame, model: Model, at: float = 0.5) -> DataFrame:
                 keep[i] = p < at
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
