@@ -62,8 +62,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tickloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return scratch(spark, path, df.schema)
+
+
+def scratch(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A written table that goes when the application ends, or with ``discard``."""
     _SCRATCH.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._tickloom_path = path
     return out
 

@@ -43,17 +43,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
-    """C with C[i] = sum of (buf[j] + 1) * BASE**j over j < i; its length is len(buf) + 1."""
+def prefix(buf: np.ndarray, base: int = BASE) -> np.ndarray:
+    """C with C[i] = sum of (buf[j] + 1) * base**j over j < i; its length is len(buf) + 1."""
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + _U(1)) * powers(len(buf)), out=out[1:])
+    np.cumsum((buf.astype(np.uint64) + _U(1)) * powers(len(buf), base), out=out[1:])
     return out
 
 
-def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of buf[start:end] that does not depend on where it stands."""
+def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A hash of buf[start:end] that does not depend on where it stands; c is ``prefix`` by the same base."""
     n = len(c)
-    return mix((c[end] - c[start]) * powers(n, INVERSE)[start] + (end - start).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+    return mix((c[end] - c[start]) * powers(n, pow(base, -1, 2**64))[start] + (end - start).astype(np.uint64) * _U(0x2545F4914F6CDD1D))
 
 
 def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

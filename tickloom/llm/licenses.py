@@ -5,8 +5,9 @@ the same k-grams in a small, fixed set of templates (its size is the source
 text below, so it may be broadcast). A hit at word p of a text and word t of a
 template votes for the diagonal p - t; votes are counted by text, template and
 diagonal, neighbouring diagonals (a word put in or left out) are merged, and a
-merged span is verified: a second, independent hash of every k-gram must agree,
-and the template words that it covers must reach a share of the template.
+merged span is verified: a second hash of every k-gram, over hashes of its
+words that are made from the bytes by another base, must agree, and the
+template words that it covers must reach a share of the template.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-from .flat import blocks, mix, per_text, prefix, runs, span_hash
+from .common import map_arrow, text_or_empty
+from .flat import BASE, blocks, mix, per_text, prefix, runs, span_hash
 
 K = 3
 #: Diagonals at most so far apart are one span.
@@ -28,6 +29,8 @@ NEIGHBOURS = 3
 #: Share of a template's words that a span must cover: short templates (under LONG words) and long ones.
 SHORT_SHARE, LONG_SHARE, LONG = 0.9, 0.6, 20
 _U = np.uint64
+#: Base of the second word hash; a row of the input is known by two 64-bit hashes of id and text.
+OTHER_BASE, KEY = 0xC2B2AE3D27D4EB4F, ["key", "twin"]
 
 #: Phrases whose every place is counted, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -79,55 +82,56 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
 
 
-def _words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(buf: np.ndarray, off: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a block, and the bounds of each text's."""
     low = LOWER[buf]
     start, end, _ = runs(WORD[low], off)
-    return span_hash(prefix(low), start, end), per_text(start, off)
+    return span_hash(prefix(low, base), start, end, base), per_text(start, off)
 
 
-def _grams(h: np.ndarray, salt: int) -> np.ndarray:
+def _grams(h: np.ndarray) -> np.ndarray:
     """Hash of the k words from each word on (the last k - 1 have none)."""
     n = max(0, len(h) - K + 1)
-    out = np.full(n, salt, np.uint64)
+    out = np.full(n, K, np.uint64)
     for i in range(K):
         out = mix(out * _U(0x9E3779B97F4A7C15) + h[i : i + n])
     return out
 
 
-def _hash_words(words: list[str]) -> np.ndarray:
+def _hash_words(words: list[str], base: int = BASE) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     _, _, buf, off = next(blocks(pa.array([" ".join(words)]), 1 << 30))
-    return _words(buf, off)[0]
+    return _words(buf, off, base)[0]
 
 
 def _gram_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, second): the two hashes of every k-gram of a text, in order."""
+    """(key, twin, first, second): the two hashes of every k-gram of a text, in order."""
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in blocks(batch.column(1)):
+            for i, j, buf, off in blocks(batch.column(2)):
                 h, bounds = _words(buf, off)
+                other, _ = _words(buf, off, OTHER_BASE)
                 size = np.maximum(np.diff(bounds) - K + 1, 0)
                 at = np.repeat(bounds[:-1] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 to = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
-                cols = [pa.ListArray.from_arrays(to, pa.array(_grams(h, salt)[at].view(np.int64))) for salt in (1, 2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols], schema=pa.schema([("doc_id", pa.int64()), ("first", kind), ("second", kind)]))
+                cols = [pa.ListArray.from_arrays(to, pa.array(_grams(x)[at].view(np.int64))) for x in (h, other)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(2)), *cols], schema=pa.schema([("key", pa.int64()), ("twin", pa.int64()), ("first", kind), ("second", kind)]))
 
-    return docs.mapInArrow(run, "doc_id bigint, first array<bigint>, second array<bigint>")
+    return map_arrow(docs.select(*KEY, "text"), run, "key bigint, twin bigint, first array<bigint>, second array<bigint>")
 
 
 def _base(docs: DataFrame) -> DataFrame:
     """Word counts and the places of the fixed phrases."""
     phrases = [(_hash_words(words_of(p)), label) for p, label in PHRASES]
     names = sorted(label for _, label in phrases)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string())])
+    schema = pa.schema([("key", pa.int64()), ("twin", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, off in blocks(batch.column(1)):
+            for i, j, buf, off in blocks(batch.column(3)):
                 h, bounds = _words(buf, off)
                 n = j - i
                 total, first, last = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
@@ -150,47 +154,58 @@ def _base(docs: DataFrame) -> DataFrame:
                 none = total == 0
                 labels = [",".join(x for x, y in zip(names, row, strict=True) if y) for row in has.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, n), pa.array(np.diff(bounds)), pa.array(total), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(labels)], schema=schema
+                    [*(batch.column(k).slice(i, n) for k in range(3)), pa.array(np.diff(bounds)), pa.array(total), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(labels)], schema=schema
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string")
+    return map_arrow(docs.select(*KEY, "doc_id", "text"), run, "key bigint, twin bigint, doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string")
 
 
 def _template_rows() -> tuple[list[tuple], list[tuple]]:
     grams, sizes = [], []
     for i, (label, text) in enumerate(TEMPLATES):
-        h = _hash_words(words_of(text))
+        h, other = (_hash_words(words_of(text), base) for base in (BASE, OTHER_BASE))
         sizes.append((i, label, len(h), float(LONG_SHARE if len(h) >= LONG else SHORT_SHARE)))
-        grams += [(i, t, int(a), int(b)) for t, (a, b) in enumerate(zip(_grams(h, 1).view(np.int64), _grams(h, 2).view(np.int64), strict=True))]
+        grams += [(i, t, int(a), int(b)) for t, (a, b) in enumerate(zip(_grams(h).view(np.int64), _grams(other).view(np.int64), strict=True))]
     return grams, sizes
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    out = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
+    return out.withColumns({"key": F.xxhash64("doc_id", "text"), "twin": F.xxhash64(F.lit(1), "doc_id", "text")})
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """Verified license spans: doc_id, label, first_word, last_word (the span's words), share (of the template that it covers).
 
-    Texts that share a doc_id are one text here; a null doc_id counts as an id.
+    Rows of one doc_id and one text give their spans once; a null doc_id counts as an id.
     """
+    keyed = _keyed(docs)
+    return _spans(keyed).join(keyed.select("doc_id", *KEY).dropDuplicates(KEY), KEY).select("doc_id", "label", "first_word", "last_word", "share")
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """The same by key and twin in place of doc_id."""
     spark = docs.sparkSession
     grams, sizes = _template_rows()
     templates = spark.createDataFrame(grams, "template int, t int, first bigint, check bigint")
     about = spark.createDataFrame(sizes, "template int, label string, size int, least double")
-    rows = _gram_rows(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")))
+    rows = _gram_rows(docs)
     hits = (
-        rows.select("doc_id", F.posexplode(F.arrays_zip("first", "second")).alias("p", "g"))
-        .select("doc_id", "p", F.col("g.first").alias("first"), F.col("g.second").alias("second"))
+        rows.select(*KEY, F.posexplode(F.arrays_zip("first", "second")).alias("p", "g"))
+        .select(*KEY, "p", F.col("g.first").alias("first"), F.col("g.second").alias("second"))
         .join(F.broadcast(templates), "first")
         .where("second = check")
     )
-    votes = hits.groupBy("doc_id", "template", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.min("p").alias("p0"), F.max("p").alias("p1"))
-    w = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    votes = hits.groupBy(*KEY, "template", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"), F.min("p").alias("p0"), F.max("p").alias("p1"))
+    w = Window.partitionBy(*KEY, "template").orderBy("diagonal")
     near = (
         votes.withColumn("far", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > NEIGHBOURS).cast("int"), F.lit(1)))
         .withColumn("span", F.sum("far").over(w))
-        .groupBy("doc_id", "template", "span")
+        .groupBy(*KEY, "template", "span")
         .agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("ts"), F.min("p0").alias("first_word"), (F.max("p1") + K - 1).alias("last_word"))
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + F.lit(K - 1))))))
-    return near.join(F.broadcast(about), "template").withColumn("share", covered / F.col("size")).where("share >= least").select("doc_id", "label", "first_word", "last_word", "share")
+    return near.join(F.broadcast(about), "template").withColumn("share", covered / F.col("size")).where("share >= least").select(*KEY, "label", "first_word", "last_word", "share")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -199,16 +214,16 @@ def scan(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (the largest covered share of a template; 1 where a base
     phrase stands) and n_spans. A null text is empty: no words, empty labels,
-    score 0. Repeated rows each give a row; rows that share a doc_id, null
-    included, share the labels of the method. An empty table gives no rows;
-    other columns are not read.
+    score 0. Each row has the labels of its own text, also where rows share a
+    doc_id or have none; repeated rows each give a row. Texts of any length
+    are worked whole. An empty table gives no rows; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
-    found = spans(docs).groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.count("*").alias("spans"))
+    docs = _keyed(docs)
+    found = _spans(docs).groupBy(*KEY).agg(F.collect_set("label").alias("found"), F.max("share").alias("share"), F.count("*").alias("spans"))
     base = _base(docs)
     own = F.when(F.col("base_labels") != "", F.split("base_labels", ",")).otherwise(F.array().cast("array<string>"))
     both = F.array_join(F.array_sort(F.array_union(own, F.coalesce("found", F.array().cast("array<string>")))), ",")
-    return base.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left").select(
+    return base.join(found, KEY, "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", both.alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"), F.coalesce("spans", F.lit(0)).cast("bigint").alias("n_spans"),
     )
