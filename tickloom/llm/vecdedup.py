@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, discard, join_hot, map_arrow, materialize
 from .vectors import matrix, usable
 
 #: Length of the codes, chance that a pair at the threshold shares no band, width of the confidence bound in standard errors.
@@ -77,7 +77,8 @@ def links(x: np.ndarray, keys: np.ndarray, band: int, across: bool, chunk: np.nd
         i, j = i[keep], j[keep]
         for t in range(0, len(i), 1 << 16):
             a, b = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
-            first = np.argmax(keys[a] == keys[b], axis=1) == band
+            same = keys[a] == keys[b]
+            first = same[:, band] & (np.argmax(same, axis=1) == band)
             a, b = a[first], b[first]
             yes = (unit[a] * unit[b]).sum(1) >= cosine
             left.append(a[yes])
@@ -101,7 +102,10 @@ def _star(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _tiles(turn: np.ndarray, width: int, bands: int, cosine: float):
-    """Work the tiles of sorted rows (tile, band, across, chunk, id, weight, embedding): each row's links and its least neighbour in the tile."""
+    """Work the tiles of sorted rows (tile, band, tag, across, chunk, id, weight, embedding): each row's links and its least neighbour in the tile.
+
+    ``tile`` is a hash; rows of one tile that differ in band or label (tag) are worked apart.
+    """
 
     def one(band: int, across: bool, chunk: np.ndarray, ids: np.ndarray, weight: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         keys = band_keys((x / np.linalg.norm(x, axis=1, keepdims=True) @ turn).astype(np.float32), width, bands)
@@ -128,15 +132,16 @@ def _tiles(turn: np.ndarray, width: int, bands: int, cosine: float):
 
         last = None
         for batch in batches:
-            tile = batch.column(0).to_numpy()
+            tile, band, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist(), object)
             if not len(tile):
                 continue
-            cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
+            new = (tile[1:] != tile[:-1]) | (band[1:] != band[:-1]) | (tag[1:] != tag[:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(tile)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if last is not None and tile[a] != last:
+                if last is not None and (tile[a], band[a], tag[a]) != last:
                     yield from flush()
                 held.append(batch.slice(a, b - a))
-                last = tile[a]
+                last = tile[a], band[a], tag[a]
         yield from flush()
 
     return run
@@ -151,12 +156,14 @@ def duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     non-finite components, rows without label or vec_id, link with nothing
     (n_links 0, component_id = vec_id). Vectors of different length never link.
     Repeated rows are rows that link with each other; different vectors that
-    share a vec_id are one node. An empty table gives no rows.
+    share a vec_id are different nodes, each with links of its own. An empty
+    table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("label").alias("label"), "embedding", usable().alias("fine"))
     rows = rows.withColumn("fine", F.col("fine") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    reps = materialize(rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "vec-reps")
+    reps = rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "vec-reps")  # numbered once, as it is written
     shapes = reps.groupBy(F.size("embedding").alias("d"), "label").count().groupBy("d").agg(F.max("count").alias("most")).orderBy("d").collect()  # a row for each length of vectors
     found = None
     for shape in shapes:
@@ -167,10 +174,12 @@ def duplicates(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     found = materialize(found, "vec-links")
     comp = components(found.select(F.col("id").alias("src"), F.col("low").alias("dst")), "vec-cc")
     total = found.groupBy("id").agg(F.sum("links").alias("links"))
-    node = materialize(
-        reps.join(total, "id", "left").join(comp, "id", "left").select("label", "embedding", F.coalesce("links", F.lit(0)).alias("links"), F.col("weight"), F.coalesce("component", "id").alias("component")),
-        "vec-nodes",
-    )
+    numbered = materialize(reps.select("id", "least").join(comp, "id", "left").select("id", "least", F.coalesce("component", "id").alias("root")), "vec-roots")
+    lowest = numbered.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    of = join_hot(numbered, materialize(lowest, "vec-lowest"), ["root"], ["id"]).select("id", "component")
+    node = materialize(reps.join(total, "id", "left").join(of, "id").select("label", "embedding", F.coalesce("links", F.lit(0)).alias("links"), "weight", "component"), "vec-nodes")
+    for old in (found, numbered):
+        discard(old)
     on = (rows.label == node.label) & (rows.embedding == node.embedding) & rows.fine
     return rows.join(node, on, "left").select(
         "vec_id",
@@ -192,19 +201,15 @@ def _links(reps: DataFrame, dim: int, largest: int, cosine: float) -> DataFrame:
                 k = band_keys((x / np.linalg.norm(x, axis=1, keepdims=True) @ turn).astype(np.float32), width, bands)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(k), pa.list_(pa.int64()))], names=["id", "keys"])
 
-    each = reps.select("id", "embedding").mapInArrow(keys, "id bigint, keys array<bigint>")
+    each = map_arrow(reps.select("id", "embedding"), keys, "id bigint, keys array<bigint>")
     each = materialize(each.join(reps.select("id", "label", "weight", "embedding"), "id"), "vec-keys")
     banded = each.select("id", "label", F.posexplode("keys").alias("band", "key"))
-    large = materialize(banded.groupBy("label", "band", "key").count().where(F.col("count") > 1), "vec-buckets")
+    large = materialize(banded.groupBy("label", "band", "key").agg(F.count("*").alias("n")).where("n > 1"), "vec-buckets")
     full = each.select("id", "label", "weight", "embedding", F.posexplode("keys").alias("band", "key"))
-    n = F.ceil(F.col("count") / TILE).cast("int")
+    n = F.ceil(F.col("n") / TILE).cast("int")
     chunk = F.pmod(F.xxhash64("id"), n).cast("int")
-    cut = full.join(large, ["label", "band", "key"]).select("id", "weight", "embedding", "band", "label", "key", n.alias("n"), chunk.alias("chunk"))
+    cut = join_hot(full, large, ["label", "band", "key"], ["id"]).select("id", "weight", "embedding", "band", "label", "key", n.alias("n"), chunk.alias("chunk"))
     tiles = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     tile = F.xxhash64("label", "band", "key", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    return (
-        tiles.select(tile.alias("tile"), F.col("band").cast("int").alias("band"), (F.col("chunk") != F.col("other")).alias("across"), "chunk", "id", "weight", "embedding")
-        .repartition("tile")
-        .sortWithinPartitions("tile")
-        .mapInArrow(_tiles(turn, width, bands, cosine), "id bigint, links bigint, low bigint")
-    )
+    rows = tiles.select(tile.alias("tile"), F.col("band").cast("int").alias("band"), F.col("label").cast("string").alias("tag"), (F.col("chunk") != F.col("other")).alias("across"), "chunk", "id", "weight", "embedding")
+    return map_arrow(rows.repartition("tile").sortWithinPartitions("tile", "band", "tag"), _tiles(turn, width, bands, cosine), "id bigint, links bigint, low bigint")
