@@ -12,21 +12,22 @@ distance. So the result is exact, whatever the codes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import discard, map_arrow, materialize, scratch, shared_dir
 from .vectors import matrix, usable
 
 #: The bounded sample that codebooks are fitted on; codebooks, their words, beam width.
-FIT_ROWS, BOOKS, WORDS, BEAM = 8192, 16, 256, 4
-#: Queries of a block (what is sent to the executors at once), and first exact distances of a batch: a floor and a share of its rows.
-BLOCK, LEAST, SHARE = 1024, 100, 0.03
+FIT_ROWS, BOOKS, WORDS, BEAM = 4096, 8, 256, 4
+#: Bytes of the queries that are sent to the executors at once; rows that a task scores at once, and how many of them get exact distances first, to have a bound for the rest.
+BLOCK_BYTES, ROWS, FIRST = 4 << 20, 4096, 64
+NEAR = "query_id bigint, vec_id bigint, score double"
 
 
 class Codebooks:
@@ -138,47 +139,48 @@ def _merge(best: list[np.ndarray], vec: np.ndarray, x: np.ndarray, rows: np.ndar
     return [v[keep], d[keep]]
 
 
-def _search(table: DataFrame, books: Codebooks, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+def _search(table: DataFrame, books: Codebooks, send, k: int) -> DataFrame:
     """For each query of a block the k nearest of each partition."""
-    send = table.sparkSession.sparkContext.broadcast((books.tables(q), ids, q))
     reach = float(np.sqrt((books.books.astype(np.float64) ** 2).sum(2)).max(1).sum())  # no sum of words is longer
-    fuzz = (q.shape[1] + books.books.shape[0]) * 2.0**-22  # of 32-bit sums
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lut, own, queries = send.value
+        own, queries = send.value
+        fuzz = (queries.shape[1] + books.books.shape[0]) * 2.0**-22  # of 32-bit sums
         length = np.sqrt((queries**2).sum(1))
         best: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0)] for _ in own]
         for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            vec, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
-            norm, rest = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            square = (x * x).sum(1)
-            top = min(n, max(LEAST, int(SHARE * n)))
-            for i in range(len(own)):
-                score = norm - 2 * lut[i][np.arange(codes.shape[1])[:, None], codes.T].sum(0)
-                near = np.argpartition(score, top - 1)[:top] if top < n else np.arange(n)
-                best[i] = _merge(best[i], vec, x, near, own[i], queries[i], k)
-                if top == n:
-                    continue
-                # rows that the codes can't rule out: distance to the sum of words, less what that leaves over, within the k-th so far
-                worst = best[i][1][-1] if len(best[i][1]) == k else np.inf
-                slack = fuzz * (reach + length[i]) ** 2
-                out = np.sqrt(np.maximum(score + length[i] ** 2 - slack, 0)) - rest * (1 + 1e-9) - fuzz * reach > worst
-                out[near] = True
-                more = np.flatnonzero(~out)
-                if len(more) > top:  # and of many, those that 64-bit products can't
-                    far = square[more] - 2 * x[more] @ queries[i] + length[i] ** 2 - 1e-11 * (np.sqrt(square[more]) + length[i]) ** 2 > worst**2
-                    more = more[~far]
-                if len(more):
-                    best[i] = _merge(best[i], vec, x, more, own[i], queries[i], k)
+            for a in range(0, len(batch), ROWS):
+                part = batch.slice(a, ROWS)
+                n = len(part)
+                vec, x = part.column(0).to_numpy(), matrix(part.column(1))
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(n, -1).T
+                norm, rest = part.column(3).to_numpy(), part.column(4).to_numpy()
+                square = (x * x).sum(1)
+                top, at = min(n, max(k + 1, FIRST)), np.arange(len(codes))[:, None]
+                for i in range(len(own)):
+                    if not i % 64:
+                        lut = books.tables(queries[i : i + 64])
+                    score = norm - 2 * lut[i % 64][at, codes].sum(0)
+                    near = np.argpartition(score, top - 1)[:top] if top < n else np.arange(n)
+                    best[i] = _merge(best[i], vec, x, near, own[i], queries[i], k)
+                    if top == n:
+                        continue
+                    # rows that the codes can't rule out: distance to the sum of words, less what that leaves over, within the k-th so far
+                    worst = best[i][1][-1] if len(best[i][1]) == k else np.inf
+                    slack = fuzz * (reach + length[i]) ** 2
+                    out = np.sqrt(np.maximum(score + length[i] ** 2 - slack, 0)) - rest * (1 + 1e-9) - fuzz * reach > worst
+                    out[near] = True
+                    more = np.flatnonzero(~out)
+                    if len(more) > top:  # and of many, those that 64-bit products can't
+                        far = square[more] - 2 * x[more] @ queries[i] + length[i] ** 2 - 1e-11 * (np.sqrt(square[more]) + length[i]) ** 2 > worst**2
+                        more = more[~far]
+                    if len(more):
+                        best[i] = _merge(best[i], vec, x, more, own[i], queries[i], k)
         size = [len(b[0]) for b in best]
         if sum(size):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, size)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "vec_id", "score"])
 
-    return map_arrow(table.select("vec_id", "embedding", "codes", "norm", "rest"), run, "query_id bigint, vec_id bigint, score double")
+    return map_arrow(table.select("vec_id", "embedding", "codes", "norm", "rest"), run, NEAR)
 
 
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = FIT_ROWS) -> DataFrame:
@@ -186,31 +188,41 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, sample: int = FIT
 
     Returns query_id, rank (from 1), vec_id, score; fewer rows where there are
     fewer candidates. Vectors that are null, zero, hold null or non-finite
-    components, have no vec_id or not the commonest length of the sample take
-    no part. A repeated vec_id counts once, by its nearest row; the first of
-    repeated queries is used. Ties go to the smaller vec_id. Queries are sent
-    out in blocks of about ``BLOCK``; every row is coded and scored. The result
-    is exact and doesn't depend on batches.
+    components or have no vec_id take no part. Candidates of a query are the
+    vectors of its length, as no distance to others is defined; each length has
+    an index of its own. A repeated vec_id counts once, by its nearest
+    row; the first of repeated queries is used. Ties go to the smaller vec_id.
+    Every row is coded and scored for every query, by blocks of queries of at
+    most ``BLOCK_BYTES``: one pass over the table each, whose broadcast is
+    destroyed and whose result is written before the next begins, so neither
+    the plan nor the driver grows with the queries. The result is exact and
+    doesn't depend on batches.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable()).select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"))
-    size = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    if size is None:
-        return empty
-    rows = rows.where(F.size("embedding") == size["d"])
+    path = f"{shared_dir(spark)}/tickloom/ann-near-{uuid.uuid4().hex}"
+    asked = rows.where(F.col("vec_id") % every == 0)
+    for r in asked.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect():  # lengths of queries
+        _nearest(rows.where(F.size("embedding") == r["d"]), r["d"], k, every, sample, path)
+    spark.createDataFrame([], NEAR).write.mode("append").parquet(path)
+    near = scratch(spark, path, NEAR)
+    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    one = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, dim: int, k: int, every: int, sample: int, path: str) -> None:
+    """Append the nearest of each partition for all queries of one length."""
+    spark = rows.sparkSession
     books = _fit(rows, sample)
     table = materialize(index(rows, books), "ann-index")
-    asked = table.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
-    n = -(-asked.count() // BLOCK)
-    parts = []
+    asked = materialize(table.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "ann-queries")
+    n = -(-asked.count() // max(1, BLOCK_BYTES // (8 * dim)))
     for b in range(n):
-        got = sorted(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b).collect(), key=lambda r: (r[0], r[1]))
-        got = [r for i, r in enumerate(got) if not i or got[i - 1][0] != r[0]]
+        got = sorted(asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b).collect())
         if got:
-            parts.append(_search(table, books, np.array([r[0] for r in got]), np.array([r[1] for r in got]), k))
-    if not parts:
-        return empty
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    one = reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            send = spark.sparkContext.broadcast((np.array([r[0] for r in got]), np.array([r[1] for r in got])))
+            _search(table, books, send, k).write.mode("append").parquet(path)
+            send.destroy()
+    for old in (asked, table):
+        discard(old)
