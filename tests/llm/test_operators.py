@@ -424,3 +424,88 @@ def test_estimates_are_unbiased():
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     error = (signs @ o.T) / factor[:, None] - unit @ unit.T
     assert abs(error.mean()) < 2e-3 and error.std() < 0.05
+
+
+# cases of shared ids, clashes and long unbroken texts
+
+
+def test_vectors_that_share_an_id_are_rows_of_their_own(spark):
+    data = [(1, [1.0, 0.0, 0.1], 0), (1, [1.0, 0.0, 0.11], 0), (2, [1.0, 0.0, 0.12], 0), (3, [0.0, 1.0, 0.0], 0)]
+    got = vecdedup.duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+
+
+def test_a_tile_whose_rows_differ_in_label_or_band_links_nothing_across():
+    turn = vecdedup.rotation(4)
+    x = np.array([[1.0, 0, 0, 0]] * 4)
+    for band, tag in (([0, 0, 0, 0], ["a", "a", "b", "b"]), ([0, 0, 1, 1], ["a"] * 4)):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([7] * 4), pa.array(band, pa.int32()), pa.array(tag), pa.array([False] * 4), pa.array([0] * 4, pa.int32()), pa.array([0, 1, 2, 3]), pa.array([1] * 4), pa.array(x.tolist())],
+            names=["tile", "band", "tag", "across", "chunk", "id", "weight", "embedding"],
+        )
+        got = [r for b in vecdedup._tiles(turn, 4, 8, 0.93)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert [(0, 1, 0), (1, 1, 0)] == [r for r in got if r[0] < 2] and all(r[2] >= 2 for r in got if r[0] >= 2)
+
+
+def test_labels_belong_to_a_row(spark):
+    mit = "Released under the MIT License"
+    data = [(1, "nothing at all here"), (None, "plain words only here"), (1, mit), (None, mit), (None, None)]
+    got = licenses.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["labels"]) for r in got) == [(0, 0, ""), (0, 4, ""), (0, 5, "mit"), (1, 4, ""), (1, 5, "mit")]
+
+
+def test_a_clash_of_word_hashes_is_no_vote(spark, monkeypatch):
+    """Where the first word hash makes all words equal, the second still tells them apart."""
+    plain = licenses._words
+    monkeypatch.setattr(licenses, "_words", lambda buf, off, base=licenses.BASE: (plain(buf, off)[0] * 0, plain(buf, off)[1]) if base == licenses.BASE else plain(buf, off, base))
+    grams, _ = licenses._template_rows()
+    assert len({g[2] for g in grams}) == 1 and len({g[3] for g in grams}) > 100
+
+
+def brute_spans(text):
+    """Diagonal voting in plain Python, over the words themselves."""
+    words, out = licenses.words_of(text), set()
+    for label, template in licenses.TEMPLATES:
+        t = licenses.words_of(template)
+        grams = collections.defaultdict(list)
+        for i in range(len(t) - licenses.K + 1):
+            grams[tuple(t[i : i + licenses.K])].append(i)
+        votes = collections.defaultdict(list)
+        for p in range(len(words) - licenses.K + 1):
+            for i in grams.get(tuple(words[p : p + licenses.K]), ()):
+                votes[p - i].append((p, i))
+        spans, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > licenses.NEIGHBOURS:
+                spans.append([])
+            spans[-1] += votes[d]
+            last = d
+        for s in spans:
+            covered = {i + j for _, i in s for j in range(licenses.K)}
+            if len(covered) / len(t) >= (licenses.LONG_SHARE if len(t) >= licenses.LONG else licenses.SHORT_SHARE):
+                out.add((label, min(p for p, _ in s), max(p for p, _ in s) + licenses.K - 1))
+    return out
+
+
+def test_spans_equal_plain_voting(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        parts = [prose(rng, rng.randrange(1, 30))]
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.randrange(3)):  # a word put in, left out or changed
+                i = rng.randrange(len(w))
+                w[i : i + rng.randrange(2)] = [rng.choice(WORDS)] * rng.randrange(2)
+            parts += [" ".join(w), prose(rng, rng.randrange(1, 30))]
+        texts.append(" ".join(parts))
+    got = collections.defaultdict(set)
+    for r in licenses.spans(frame(spark, texts)).collect():
+        got[r["doc_id"]].add((r["label"], r["first_word"], r["last_word"]))
+    assert [got[i] for i in range(len(texts))] == [brute_spans(t) for t in texts]
+
+
+def test_neighbours_of_each_length_and_ties(spark):
+    data = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (3, [0.0, 0.0001]), (4, [1.0, 1.0]), (2, [1.0, -1.0]), (100, [1.0, 0.0, 0.0]), (7, [1.0, 0.0, 1.0]), (200, [1.0] * 5)]
+    got = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), k=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 2), (0, 2, 4), (0, 3, 5), (100, 1, 7)]
