@@ -10,15 +10,17 @@ cell table has a row for each combination that occurs, not for each document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, text_or_empty
 
-#: Passes over the three margins; a power below 1 moves a margin's own shares toward equal ones; share of all tokens to keep.
-ROUNDS, FLATTEN, KEEP = 8, 0.7, 0.5
-#: Halvings of the interval that holds the sampling rate.
-STEPS = 60
+#: Largest relative error of a margin at which raking ends; a power below 1 moves a margin's own shares toward equal ones; share of all tokens to keep.
+TOLERANCE, FLATTEN, KEEP = 1e-9, 0.7, 0.5
+#: Raking also ends where a round leaves more than this share of the error: then the targets can't be met together.
+SLOW = 0.999
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
 
@@ -45,45 +47,56 @@ def targets(cells: DataFrame, margin: str, flatten: float = FLATTEN) -> DataFram
     return own.select(margin, (F.col("p") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Fit ``weight`` of the cells so that the shares of tokens * weight by each margin meet its target, margins in turn.
+def _factors(cells: DataFrame, margin: str, goal: DataFrame, every: float) -> DataFrame:
+    """(margin, factor): target over present share of each value that has both."""
+    have = cells.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
+    return have.join(goal, margin).where("have > 0").select(margin, (F.col("target") * F.lit(every) / F.col("have")).alias("factor"))
+
+
+def rake(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """Fit ``weight`` of the cells so that the shares of tokens * weight by each margin meet its target, margins in turn; also the largest relative error that is left.
 
-    A margin value without target keeps its weight; a target without tokens is
-    left out (its share goes to the others in proportion, as each step scales
-    by target over present share).
+    Rounds go on until that error is within ``tolerance`` or stops falling,
+    as it does where the targets can't be met together. A margin value without
+    target keeps its weight; a target without tokens is left out (its share
+    goes to the others in proportion, as each step scales by target over
+    present share).
     """
     now = materialize(cells.withColumn("weight", F.lit(1.0)), "rake")
     every = float(cells.agg(F.sum("tokens")).first()[0] or 0)  # each step brings the weighted total back to it
-    for _ in range(rounds):
-        step = now
+    last = float("inf")
+    while True:
+        off = [_factors(now, m, g, every).agg(F.max(F.abs(F.lit(1.0) - 1 / F.col("factor"))).alias("off")) for m, g in goals.items()]
+        error = reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0
+        if error <= tolerance or error > SLOW * last:
+            return now, error
+        last, step = error, now
         for margin, goal in goals.items():
-            have = step.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
-            factor = have.join(goal, margin).where("have > 0").select(margin, (F.col("target") * F.lit(every) / F.col("have")).alias("factor"))
-            step = step.join(factor, margin, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+            step = step.join(_factors(step, margin, goal, every), margin, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
         step = materialize(step, "rake")
         discard(now)
         now = step
-    return now
 
 
-def mix(docs: DataFrame, keep: float = KEEP, goals: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, keep: float = KEEP, goals: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE, seed: str = "mix") -> DataFrame:
     """Weights, probabilities and the sample for documents (doc_id, text, lang, source).
 
     Returns doc_id, source, lang, topic, n_tokens (words between spaces), weight
-    (mean 1 over tokens), probability, sampled. Null source or lang is the
+    (mean 1 over tokens), probability, sampled, residual (the largest relative
+    error of a margin that raking has left, the same in all rows). Null source or lang is the
     value "(none)", a null text is empty (no tokens, probability 0). A null
     doc_id is hashed as the empty text; repeated rows share their fate. An
     empty table gives no rows; other columns are not read.
     """
-    return _drawn(docs, keep, goals, rounds, seed).select("row.doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled")
+    return _drawn(docs, keep, goals, tolerance, seed).select("row.doc_id", *MARGINS, "n_tokens", "weight", "probability", "sampled", "residual")
 
 
-def sample(docs: DataFrame, keep: float = KEEP, goals: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
+def sample(docs: DataFrame, keep: float = KEEP, goals: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE, seed: str = "mix") -> DataFrame:
     """The sampled documents, all columns; nulls and repeated rows as in ``mix``."""
-    return _drawn(docs, keep, goals, rounds, seed).where("sampled").select("row.*")
+    return _drawn(docs, keep, goals, tolerance, seed).where("sampled").select("row.*")
 
 
-def _drawn(docs: DataFrame, keep: float, goals: dict[str, DataFrame] | None, rounds: int, seed: str) -> DataFrame:
+def _drawn(docs: DataFrame, keep: float, goals: dict[str, DataFrame] | None, tolerance: float, seed: str) -> DataFrame:
     text = text_or_empty()
     base = docs.select(
         F.struct("*").alias("row"),
@@ -93,32 +106,29 @@ def _drawn(docs: DataFrame, keep: float, goals: dict[str, DataFrame] | None, rou
         F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("n_tokens"),
     )
     cells = materialize(base.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    goals = goals or {m: targets(cells, m) for m in MARGINS}
-    ranked = materialize(calibrate(rake(cells, goals, rounds), keep), "cells").drop("tokens")  # small enough, Spark broadcasts it by its own check
+    goals = goals or {m: materialize(targets(cells, m), "goal") for m in MARGINS}
+    fitted, error = rake(cells, goals, tolerance)
+    ranked = materialize(calibrate(fitted, keep), "cells").drop("tokens")  # where small enough, Spark broadcasts it by its own check
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     p = F.when(F.col("n_tokens") > 0, F.col("p")).otherwise(0.0)
-    return base.join(ranked, list(MARGINS)).select("row", *MARGINS, "n_tokens", "weight", p.alias("probability"), ((F.col("n_tokens") > 0) & (u < F.col("p"))).alias("sampled"))
+    return base.join(ranked, list(MARGINS)).select("row", *MARGINS, "n_tokens", "weight", p.alias("probability"), ((F.col("n_tokens") > 0) & (u < F.col("p"))).alias("sampled"), F.lit(float(error)).alias("residual"))
 
 
 def calibrate(fitted: DataFrame, keep: float) -> DataFrame:
     """Cells with ``weight`` (mean 1 over tokens) and ``p`` = min(1, rate * weight), so that the tokens kept are a share ``keep`` of all.
 
-    The rate is found by bisection, in one row that holds tokens and weight of
-    each cell.
+    Cells whose probability would exceed one are kept as a whole and the rate
+    of the others grows by what that leaves; each pass is one aggregate, and
+    the rate only rises, until no further cell is full.
     """
     every = fitted.agg(F.sum("tokens").cast("double").alias("n"), F.sum(F.col("tokens") * F.col("weight")).alias("w")).first()
     scale = every["n"] / every["w"] if every["w"] else 1.0
     cells = fitted.withColumn("weight", F.col("weight") * F.lit(scale))
-    row = cells.where("tokens > 0").agg(F.collect_list(F.struct(F.col("tokens").cast("double").alias("t"), F.col("weight").alias("v"))).alias("c"), (F.lit(1.0) / F.min("weight")).alias("top"))
-    wanted = F.lit(keep * float(every["n"] or 0.0))
-
-    def kept(rate: Column) -> Column:
-        return F.aggregate("c", F.lit(0.0), lambda a, x: a + x["t"] * F.least(F.lit(1.0), rate * x["v"]))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["a"] + s["b"]) / 2
-        return F.struct(F.when(kept(mid) < wanted, mid).otherwise(s["a"]).alias("a"), F.when(kept(mid) < wanted, s["b"]).otherwise(mid).alias("b"))
-
-    found = row.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("a"), F.col("top").alias("b")), halve)["b"].alias("rate")).first()
-    rate = found["rate"] if found and found["rate"] is not None else 0.0
+    wanted, rate, full = keep * float(every["n"] or 0.0), 0.0, -1
+    while True:
+        is_full = F.lit(rate) * F.col("weight") >= 1
+        s = cells.where("tokens > 0").agg(F.count_if(is_full).alias("k"), F.sum(F.when(is_full, F.col("tokens"))).alias("sure"), F.sum(F.when(~is_full, F.col("tokens") * F.col("weight"))).alias("open")).first()
+        if s["k"] == full or not s["open"]:
+            break
+        full, rate = s["k"], (wanted - float(s["sure"] or 0)) / s["open"]
     return cells.select(*MARGINS, "tokens", "weight", F.least(F.lit(1.0), F.lit(rate) * F.col("weight")).alias("p"))

@@ -40,7 +40,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     out = mix(read(spark, sf_dir, "documents"), keep=0.5)
-    return out.withColumns({x: F.round(x, 6) for x in ("weight", "probability")})
+    return out.drop("residual").withColumns({x: F.round(x, 6) for x in ("weight", "probability")})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +89,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-def _mixing_sql(keep: float = 0.5, rounds: int = 8, flatten: float = 0.7) -> str:
-    """Raking unrolled: a CTE for each margin and round; the sampling rate from its piecewise linear equation."""
+def _mixing_sql(keep: float = 0.5, rounds: int = 30, flatten: float = 0.7) -> str:
+    """Raking unrolled, with more rounds than the tolerance needs: a CTE for each margin and round; the sampling rate from its piecewise linear equation."""
     base = """d AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) + 1 AS words FROM documents),
 b AS (SELECT doc_id, source, lang, CASE WHEN n = 0 THEN 'empty' WHEN words < 50 THEN 'notes' WHEN (n - length(translate(t, '#$%&*+/<=>@[]^_{|}~', ''))) * 10 > n THEN 'marked' WHEN (n - length(replace(t, chr(10), '')) + 1) * 12 > words THEN 'listing' ELSE 'prose' END AS topic, CASE WHEN n = 0 THEN 0 ELSE words END AS n_tokens FROM d),
 w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(1 AS DOUBLE) AS weight FROM b GROUP BY ALL), tot AS MATERIALIZED (SELECT sum(tokens) AS n FROM w0)"""
