@@ -509,3 +509,98 @@ def test_neighbours_of_each_length_and_ties(spark):
     data = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (3, [0.0, 0.0001]), (4, [1.0, 1.0]), (2, [1.0, -1.0]), (100, [1.0, 0.0, 0.0]), (7, [1.0, 0.0, 1.0]), (200, [1.0] * 5)]
     got = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), k=3).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 2), (0, 2, 4), (0, 3, 5), (100, 1, 7)]
+
+
+# 3, without the help of element names
+
+
+def brute_template(pages):
+    """Classes from whole occurrence vectors, root and fixed text, in plain Python."""
+    tokens = [webtext._tokens(p) for p in pages]
+    n = len(pages)
+    vector = {t: tuple(x.get(t, [0])[0] for x in tokens) for t in set().union(*tokens)}
+    groups = collections.defaultdict(list)
+    for t, v in vector.items():
+        k = sum(x > 0 for x in v)
+        p, z = k / n, webtext.CERTAIN
+        if k > 1 and (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n) >= webtext.SHARE:
+            groups[v].append(t)
+    valid = [(v, ts) for v, ts in groups.items() if len(ts) > 1 and any(t[1] == 0 for t in ts)]
+    chars = lambda t: sum(x[t][1] for x in tokens if t in x)
+    whole, best = chars((0, 0)), (0, 0, 0)
+    for v, ts in valid:
+        for path, token in ts:
+            facts = next(x[path, token] for x in tokens if (path, token) in x)
+            k = sum(x > 0 for x in v)
+            if token == 0 and path and max(v) == 1 and not facts[3] and whole and chars((path, 0)) >= webtext.HOLDS * whole * k / n:
+                best = max(best, (facts[2], chars((path, 0)), path))
+    return best[2], {t[1] for _, ts in valid for t in ts if t[1]}
+
+
+def bare_page(rng, n, layout):
+    """Menus, notices and footers that no name, class or element gives away."""
+    links = "".join(f"<li><a href='/{w}'>{w}</a>" for w in rng.sample(WORDS, 5))
+    body = "".join(f"<p>{prose(rng, rng.randrange(20, 60))}</p>" for _ in range(rng.randrange(2, 6)))
+    if layout:
+        return f"<html><body><table><tr><td>{links}</td><td><div class=x7><h1>Head {n}</h1>{body}<p>Read more on our site</p></div></td></tr></table></body></html>"
+    return f"<html><body><div><ul>{links}</ul></div><div class='k3 z'><h1>Head {n}</h1>{body}<div>All texts here are free of charge</div></div><div>Written by {prose(rng, 2)}</div></body></html>"
+
+
+def test_templates_equal_plain_classes(spark):
+    rng = random.Random(8)
+    rows = [(i, f"http://{host}.example/{i}", bare_page(rng, i, layout)) for host, n, layout in (("a", 40, 0), ("b", 30, 1), ("c", 5, 0), ("d", 2, 1), ("e", 1, 0)) for i in range(n)]
+    rows += [(i, f"http://f.example/{i}", bare_page(rng, i, i % 3 == 0)) for i in range(60)]
+    pages = spark.createDataFrame([(k, u, h) for k, (_, u, h) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    hosts = collections.defaultdict(list)
+    for _, url, page in rows:
+        hosts[url.split("/")[2]].append(page)
+    hosts["*"] = [p for _, _, p in rows]
+    keyed = pages.selectExpr("split(url, '/')[2] AS host", "html")
+    got = {r["host"]: (r["root"] or 0, set(r["fixed"] or ())) for r in webtext.templates(keyed).collect()}
+    for host, own in hosts.items():
+        root, fixed = brute_template(own)
+        assert got[host] == (root, fixed if host != "*" else set()), host
+    text = {r["page_id"]: r["text"] for r in webtext.extract(pages).collect()}
+    for k, (_, url, page) in enumerate(rows):
+        host = url.split("/")[2]
+        roots = tuple(r for r in (got[host][0], got["*"][0]) if r)
+        assert text[k] == webtext.main_text(page, roots, frozenset(got[host][1]))
+        if host in ("a.example", "b.example", "c.example"):
+            assert text[k].startswith("Head") and not any(x in text[k] for x in ("Read more", "free of charge", "Written by"))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="content with-sidebar"><p>hello world article</p></div>', "hello world article"),
+        ('<article><h2 id="form-and-function">Form</h2><p id="notice">And this</p></article>', "Form And this"),
+        ('<h2 id="form-and-function">Form</h2><p id="notice">And this</p>', "Form And this"),
+        ("<p>Let <math><mi>x</mi></math> be</p>", "Let x be"),
+        ('<article><section id="discussion">We found</section></article>', "We found"),
+        ('<main><p>a</p><div class="cookie-banner">b</div><div class="comment-list">c</div></main>', "a"),
+        ("<form><main><p>in</p></main></form>", "in"),
+        ("x < y and <b>z</b>", "x < y and z"),
+        ("<p title=\"oops>a</p><p>b</p>", "a b"),
+        ("a<!-- never ends", "a"),
+        ("a<script>never ends", "a"),
+        ("", ""),
+    ],
+)
+def test_pieces_of_pages(page, text):
+    assert webtext.main_text(page, (), frozenset()) == text
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for page in ("<a" + "b" * 1_000_000, "<a " * 300_000, "<div>" * 50_000 + "</x>" * 50_000, "<p><div>" + "<b>" * 30_000 + "<hr>" * 30_000, "<!" * 500_000, '<a x="' * 300_000):
+        began = time.process_time()
+        webtext.main_text(page, (), frozenset())
+        webtext._tokens(page)
+        assert time.process_time() - began < 10
+
+
+def test_a_host_of_copies_keeps_its_text(spark):
+    page = "<html><body><div><p>The one text of this host</p></div></body></html>"
+    got = webtext.extract(spark.createDataFrame([(i, "http://a/", page) for i in range(9)], "page_id long, url string, html string")).collect()
+    assert [r["text"] for r in got] == ["The one text of this host"] * 9
