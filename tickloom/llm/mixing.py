@@ -10,8 +10,6 @@ cell table has a row for each combination that occurs, not for each document.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +45,8 @@ def targets(cells: DataFrame, margin: str, flatten: float = FLATTEN) -> DataFram
     return own.select(margin, (F.col("p") / F.lit(total)).alias("target"))
 
 
-def _factors(cells: DataFrame, margin: str, goal: DataFrame, every: float) -> DataFrame:
-    """(margin, factor): target over present share of each value that has both."""
-    have = cells.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("have"))
-    return have.join(goal, margin).where("have > 0").select(margin, (F.col("target") * F.lit(every) / F.col("have")).alias("factor"))
-
-
 def rake(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
-    """Fit ``weight`` of the cells so that the shares of tokens * weight by each margin meet its target, margins in turn; also the largest relative error that is left.
+    """Fit ``weight`` of the cells so that the shares of tokens * weight by each margin meet its target, margins in turn; also the largest relative error that the last round found.
 
     Rounds go on until that error is within ``tolerance`` or stops falling,
     as it does where the targets can't be met together. A margin value without
@@ -62,20 +54,24 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLER
     goes to the others in proportion, as each step scales by target over
     present share).
     """
-    now = materialize(cells.withColumn("weight", F.lit(1.0)), "rake")
     every = float(cells.agg(F.sum("tokens")).first()[0] or 0)  # each step brings the weighted total back to it
+    now = cells.withColumns({"weight": F.lit(1.0), "off": F.lit(0.0)})
+    for margin, goal in goals.items():
+        now = now.join(goal.withColumnRenamed("target", f"target_{margin}"), margin, "left")
+    now = materialize(now, "rake")
     last = float("inf")
     while True:
-        off = [_factors(now, m, g, every).agg(F.max(F.abs(F.lit(1.0) - 1 / F.col("factor"))).alias("off")) for m, g in goals.items()]
-        error = reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0
+        for i, margin in enumerate(goals):
+            have = F.sum(F.col("tokens") * F.col("weight"))
+            share = now.groupBy(margin).agg((F.first(f"target_{margin}") * F.lit(every) / F.when(have > 0, have)).alias("factor"))
+            step = now.join(share, margin).withColumns({"weight": F.col("weight") * F.coalesce("factor", F.lit(1.0)), "off": F.greatest("off" if i else F.lit(0.0), F.abs(1 - 1 / F.col("factor")))})
+            step = materialize(step.drop("factor"), "rake")
+            discard(now)
+            now = step
+        error = now.agg(F.max("off")).first()[0] or 0.0
         if error <= tolerance or error > SLOW * last:
-            return now, error
-        last, step = error, now
-        for margin, goal in goals.items():
-            step = step.join(_factors(step, margin, goal, every), margin, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
-        step = materialize(step, "rake")
-        discard(now)
-        now = step
+            return now.select(*cells.columns, "weight"), error
+        last = error
 
 
 def mix(docs: DataFrame, keep: float = KEEP, goals: dict[str, DataFrame] | None = None, tolerance: float = TOLERANCE, seed: str = "mix") -> DataFrame:
