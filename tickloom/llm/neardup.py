@@ -9,8 +9,9 @@ weights. Registers are cut into bands; texts that share a band are candidates,
 and each link is verified by the exact probability Jaccard similarity.
 
 Equal multisets are first reduced to one representative. In a band's bucket
-every text meets the bucket's leader. Buckets whose texts are then still in
-different components are cut into chunks, every two chunks meet in a tile, and
+every text meets the bucket's leader, and then, if it is still in another
+component, a second leader. Buckets whose texts are then still in different
+components are cut into chunks, every two chunks meet in a tile, and
 a tile compares all its texts by matrix products (common shingles, or for texts
 with repeated ones a bound, then exactly) and hands on a forest of the links
 between components. So no pairs of a group are ever listed, and no link between components of a bucket is lost.
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, map_arrow, materialize, text_or_empty
+from .common import components, discard, join_hot, map_arrow, materialize, text_or_empty
 from .flat import blocks, mix, per_text, prefix, runs, span_hash
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
@@ -162,7 +163,7 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(src, dst, same): whether each pair of representatives reaches the similarity."""
+    """(src, dst, same): whether each pair (a written table) of representatives reaches the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +171,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             same = [probability_jaccard(a[k].values.to_numpy(), x[k].values.to_numpy(), b[k].values.to_numpy(), y[k].values.to_numpy()) >= least for k in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["src", "dst", "same"])
 
-    both = pairs.join(sets.select(F.col("doc_id").alias("src"), F.col("sh").alias("sh1"), F.col("n").alias("n1")), "src").join(
-        sets.select(F.col("doc_id").alias("dst"), F.col("sh").alias("sh2"), F.col("n").alias("n2")), "dst"
-    )
+    both = pairs
+    for side, i in (("src", 1), ("dst", 2)):  # a leader stands in as many pairs as its buckets have texts
+        own = pairs.groupBy(side).agg(F.count("*").alias("times")).join(sets.select(F.col("doc_id").alias(side), F.col("sh").alias(f"sh{i}"), F.col("n").alias(f"n{i}")), side)
+        both = join_hot(both, own, [side], ["src", "dst"], "times").drop("times")
     return map_arrow(both.select("src", "dst", "sh1", "n1", "sh2", "n2"), run, "src bigint, dst bigint, same boolean")
 
 
@@ -279,7 +281,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     only of texts with the same bytes; texts under five words are one shingle.
     Rows without doc_id link with nothing (class null, kept). Repeated rows
     have one class; different texts that share a doc_id are one node. An empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. Texts of any length are
+    worked whole.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
     sig = materialize(signatures(docs.where("doc_id is not null")), "dup-signatures")
@@ -289,30 +292,37 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         own.where("doc_id = rep").select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key")).distinct(), "dup-bands"
     )
     buckets = materialize(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1"), "dup-buckets")
-    member = materialize(banded.join(buckets.select("key"), "key"), "dup-members")
+    member = materialize(join_hot(banded, buckets, ["key"], ["rep"]).select("key", "rep"), "dup-members")
     wanted = member.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(_sets(docs.join(wanted, "doc_id")).join(ids.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "sh", "n"), "dup-sets")
     discard(banded)
 
-    pairs = materialize(_ordered(member.join(buckets.select("key", "leader"), "key").select(F.col("rep").alias("src"), F.col("leader").alias("dst"))), "dup-pairs")
-    checked = materialize(_verify(pairs, sets, least), "dup-checked")
-    discard(pairs)
-    comp = components(checked.where("same").select("src", "dst"), "dup-cc")
-    at = materialize(member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "dup-at")
+    at = member.withColumn("component", F.col("rep"))
+    found: DataFrame | None = None
+    for of in (F.min_by, F.max_by):
+        leaders = at.groupBy("key").agg(F.count("*").alias("n"), of("rep", "component").alias("leader"), (F.min("component") < F.max("component")).alias("mixed"), of("component", "component").alias("lead"))
+        leaders = materialize(leaders.where("mixed").drop("mixed"), "dup-leaders")
+        met = join_hot(at, leaders, ["key"], ["rep"]).where("component <> lead")
+        pairs = materialize(_ordered(met.select(F.col("rep").alias("src"), F.col("leader").alias("dst"))), "dup-pairs")
+        same = _verify(pairs, sets, least).where("same").select("src", "dst")
+        now = materialize(same if found is None else found.union(same), "dup-checked")
+        comp = components(now, "dup-cc")
+        new = materialize(member.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component")), "dup-at")
+        for old in (leaders, pairs, found, at, comp):
+            discard(old)
+        at, found = new, now
     mixed = materialize(at.groupBy("key").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("mixed")).where("mixed and n > 2").select("key", "n"), "dup-mixed")  # of two, both have met
     parts = F.ceil(F.col("n") / TILE).cast("int")
     chunk = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    tiles = at.join(mixed, "key").select("key", "rep", "component", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    tiles = join_hot(at, mixed, ["key"], ["rep"]).select("key", "rep", "component", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     tile = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
     short = sets.select(F.col("doc_id").alias("rep"), "sh", F.when(F.exists("n", lambda x: x > 1), F.col("n")).alias("n"))
     rows = tiles.select(tile.alias("tile"), (F.col("chunk") != F.col("other")).alias("across"), "chunk", "rep", "component").join(short, "rep").select("tile", "across", "chunk", "rep", "component", "sh", "n")
-    found = map_arrow(rows.repartition("tile").sortWithinPartitions("tile"), _tiles(least), "src bigint, dst bigint")
-    more = materialize(_ordered(found), "dup-pairs")
-    now = materialize(checked.union(more.select("src", "dst", F.lit(True).alias("same"))), "dup-checked")  # tiles compare exactly
-    for old in (at, mixed, more, checked):
+    linked = map_arrow(rows.repartition("tile").sortWithinPartitions("tile"), _tiles(least), "src bigint, dst bigint")
+    now = materialize(found.union(_ordered(linked)), "dup-checked")  # tiles compare exactly
+    comp = components(now, "dup-cc")
+    for old in (at, mixed, found, now):
         discard(old)
-    checked = now
-    comp = components(checked.where("same").select("src", "dst"), "dup-cc")
     out = sig.select("doc_id", "f1", "f2").join(ids, ["f1", "f2"]).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
