@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, text_or_empty
 from .flat import INVERSE, Known, Store, blocks, mix, per_text, powers, prefix, span_hash
 
-#: Chunks whose counts a worker keeps, and the longest (in characters) that are worked in one matrix.
-MAX_CHUNKS, WIDE = 2_000_000, 24
+#: Chunks whose counts a worker keeps; width of the narrowest matrix of chunks; characters from which on a chunk is worked by itself.
+MAX_CHUNKS, WIDE, LONG = 2_000_000, 24, 256
 MARK = "▁"
 _U = np.uint64
 UNKNOWN = -2
@@ -55,6 +55,7 @@ class PrefixCounter:
         cps = [np.array([ord(c) for c in p], np.uint64) + _U(1) for p in self.ids]
         self.vocab.add(np.array([self._hash(x) for x in cps], np.uint64))
         self.pairs, self.fits = Known(), Store(bool)
+        self.met: dict[tuple[int, int], bool] = {}
         self.clear()
 
     @staticmethod
@@ -119,10 +120,36 @@ class PrefixCounter:
             last[open_, i], count[open_, i] = UNKNOWN, count[open_, i - 1] + wide[open_, i - 1]  # no piece has it: its bytes
         return count[:, 1:]
 
+    def line(self, chunk: str) -> np.ndarray:
+        """The recurrence for one long chunk, character by character: a few dictionary lookups each."""
+        ids, pieces, met, widest = self.ids, self.pieces, self.met, self.widest
+        last, count = [START], [0]
+        for i in range(1, len(chunk) + 1):
+            for k in range(1, min(i, widest) + 1):
+                token = ids.get(chunk[i - k : i])
+                if token is None:
+                    continue
+                pair = last[i - k], token
+                ok = met.get(pair)
+                if ok is None:
+                    a, b = pieces[pair[0]] if pair[0] >= 0 else None, pieces[token]
+                    ok = met[pair] = self.merge(b) == [b] if a is None else self.merge(a + b) == [a, b]
+                if ok:
+                    last.append(token)
+                    count.append(count[i - k] + 1)
+                    break
+            else:  # no piece has it: its bytes
+                last.append(UNKNOWN)
+                count.append(count[i - 1] + len(chunk[i - 1].encode(errors="surrogatepass")))
+        if len(met) > MAX_CHUNKS:
+            met.clear()
+        return np.array(count[1:], np.int32)
+
     def learn(self, chunks: list[str]) -> None:
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        out: list[np.ndarray | None] = [None] * len(chunks)
+        out: list[np.ndarray | None] = [self.line(c) if len(c) > LONG else None for c in chunks]
         order = np.argsort(size, kind="stable")
+        order = order[size[order] <= LONG]
         at = 0
         while at < len(order):  # of about equal length, so that no matrix is much wider than its rows
             w = int(size[order[at]])
@@ -204,7 +231,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
     and keep_chars: the characters of the longest prefix of at most ``limit``
     tokens. A null text is empty: 0 tokens. A null doc_id stays null, repeated
     rows are counted each, an empty table gives no rows, other columns are not
-    read. Texts of any length are worked whole.
+    read. Texts of any length are worked whole, also without a space.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("keep_chars", pa.int64())])
 
