@@ -1,11 +1,10 @@
 """Packing of documents into token windows by best-fit decreasing.
 
-Each task reads its share of the documents once, encodes whole texts, cuts a
-document that is longer than a window into full windows and a rest, and packs
-the pieces by best-fit decreasing. It keeps a few integers for a piece, no
-texts or ids, so its memory follows the size of an input partition
-(``spark.sql.files.maxPartitionBytes``), and no shuffle is needed. A lost task
-is simply run again: windows depend only on the rows of the partition.
+Whole texts are encoded where they are read, and a document that is longer than
+a window is cut into full windows and a rest. What packs is a row of a few
+integers for each piece: these are written, dealt over groups of about
+``GROUP`` pieces, whatever the partitions of the input, and each group is packed
+by best-fit decreasing. A lost task is simply run again from the written pieces.
 """
 
 from __future__ import annotations
@@ -20,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_or_empty
+from .common import map_arrow, materialize, text_or_empty
 from .flat import Known, Store, blocks, per_text, prefix, runs, segment_sum, span_hash
 
-#: Bits of a sequence id that count the windows of one partition.
-LOCAL_BITS = 40
+#: Bits of a sequence id that count the windows of one group; pieces of a group.
+LOCAL_BITS, GROUP = 40, 100_000
 #: Word parts whose ids a worker keeps.
 MAX_PARTS = 2_000_000
-OUT = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+OUT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def _classes() -> np.ndarray:
@@ -210,36 +209,43 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, with_ids: bool = Fal
     doc_id is kept as null, repeated rows are packed each by itself, and an
     empty table gives no rows. Other columns of ``docs`` are not read.
     """
-    schema = OUT + (", ids array<bigint>" if with_ids else "")
+    light = ["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        rows: list[list[int]] = [[], [], [], [], []]
-        cuts: list[np.ndarray] = []
+        piece = TaskContext.get().partitionId() << LOCAL_BITS
         for batch in batches:
+            rows: list[list] = [[] for _ in light]
+            parts: list[np.ndarray] = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                 n = len(ids)
                 for at in range(0, n, size):
                     part = ids[at : at + size]
-                    for to, x in zip(rows, (doc, at, len(part), zlib.crc32(part), n), strict=True):
+                    for to, x in zip(rows, (piece, doc, at, len(part), zlib.crc32(part), n), strict=True):
                         to.append(x)
+                    piece += 1
                     if with_ids:
-                        cuts.append(part)
-        doc = pa.array(rows[0], pa.int64())
-        start, length, crc, total = (np.array(x, np.int64) for x in rows[1:])
-        key = doc.fill_null(-1).to_numpy()
-        window, offset = best_fit(length, np.lexsort((start, key, crc, -length)), size)
-        first = TaskContext.get().partitionId() << LOCAL_BITS
-        for i in range(0, len(length), 1 << 16):
-            j = slice(i, i + (1 << 16))
-            cols = [doc[j], *(pa.array(x[j]) for x in (start, length, crc, total, window + first, offset))]
+                        parts.append(part.astype(np.int32))
+            cols = [pa.array(x, pa.int64()) for x in rows]
             if with_ids:
-                cols.append(pa.array([x.astype(np.int64) for x in cuts[j]], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, schema=_arrow(with_ids))
-
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")), run, schema)
-
-
-def _arrow(with_ids: bool) -> pa.Schema:
-    names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-    return pa.schema([(x, pa.int64()) for x in names] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
+                cols.append(pa.array(parts, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names=[*light, "ids"][: len(cols)])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        piece, key, start, length, crc = (t[x].fill_null(-1).to_numpy() for x in ("piece", "doc_id", "start", "length", "ids_crc32"))
+        window, offset = best_fit(length, np.lexsort((piece, start, key, crc, -length)), size)
+        first = TaskContext.get().partitionId() << LOCAL_BITS
+        yield from t.append_column("sequence_id", pa.array(window + first)).append_column("offset", pa.array(offset)).to_batches(1 << 14)
+
+    kinds = ", ".join(f"{x} bigint" for x in light)
+    pieces = map_arrow(docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text")), cut, kinds + (", ids array<int>" if with_ids else ""))
+    pieces = materialize(pieces, "pack-pieces")
+    groups = max(1, -(-pieces.count() // GROUP))
+    packed = map_arrow(pieces.select(*light).repartition(groups, "piece"), best, kinds + ", sequence_id bigint, offset bigint")
+    if with_ids:
+        packed = packed.join(pieces.select("piece", "ids"), "piece")
+    return packed.select(*OUT, *(["ids"] if with_ids else []))
