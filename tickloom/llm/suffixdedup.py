@@ -38,8 +38,8 @@ from .flat import INVERSE, blocks, gather, mix, powers, prefix, span_hash
 LENGTH, GRAM = 200, 40
 #: A row of the input is known by two 64-bit hashes of all its columns.
 KEY = ["key", "twin"]
-#: Different contexts of a bucket that one task sorts; larger ones are split. Contexts that are sorted at once. Parts over which the contexts of a large bucket meet its pivot.
-CROWD, CHUNK, SALTS = 64, 8_000, 64
+#: Different contexts of a bucket that one task sorts; larger ones are split. Contexts that are sorted at once.
+CROWD, CHUNK = 64, 8_000
 _U = np.uint64
 
 
@@ -327,7 +327,6 @@ def _spans(contexts: DataFrame, length: int, gram: int) -> list[DataFrame]:
     """
     found: list[DataFrame] = []
     fields = (*KEY, "pos", "left", "right", "n", "ctx")
-    salt = F.pmod(F.xxhash64(*KEY, "pos"), F.lit(SALTS)).cast("int")
     now = contexts.select(F.col("g").alias("b"), F.lit(0).cast("bigint").alias("cl"), F.lit(0).cast("bigint").alias("cr"), "crowd", *fields)
     own = None
     while True:
@@ -339,9 +338,8 @@ def _spans(contexts: DataFrame, length: int, gram: int) -> list[DataFrame]:
             found.append(_sorted_spans(now.where("not crowd"), length, gram))
         else:
             found.append(materialize(_sorted_spans(now.where("not crowd"), length, gram), "sfx-spans"))
-        pivot = materialize(many.groupBy("b").agg(F.max_by(F.struct(*[F.col(c).alias(f"p_{c}") for c in fields]), "n").alias("p")).select("b", "p.*"), "sfx-pivots")
-        met = many.withColumn("salt", salt).join(pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["b", "salt"])
-        got = materialize(_parted(met, length, gram), "sfx-parted")
+        pivot = materialize(many.groupBy("b").agg(F.max_by(F.struct(*[F.col(c).alias(f"p_{c}") for c in fields]), "n").alias("p"), F.count("*").alias("all")).select("b", "all", "p.*"), "sfx-pivots")
+        got = materialize(_parted(join_hot(many, pivot, ["b"], [*KEY, "pos"], "all"), length, gram), "sfx-parted")
         found.append(got.where("b is null").select(*KEY, F.col("x").alias("lo"), F.col("y").alias("hi")))
         rest = got.where("b is not null").select(*KEY, "pos", "b", F.col("x").alias("cl"), F.col("y").alias("cr"))
         again = materialize(rest.groupBy("b").agg(F.count("*").alias("all")).where("`all` > 1").select("b", "all", (F.col("all") > CROWD).alias("crowd")), "sfx-again")
