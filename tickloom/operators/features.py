@@ -1,20 +1,18 @@
-"""Microstructure features of quotes that need no position: one select over a few named windows by symbol."""
+"""Microstructure features of quotes that need no position: windows over chunks of a symbol's quotes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import carried_max, frame_sums, haloed, numbered
 from ..plans.registry import query
 from ..sources.views import SQL, ticks, trades
 
 SPREAD_WINDOW, VOL_SHORT, VOL_LONG, EPS = 200, 100, 500, 1e-10
 SESSIONS = ("tokyo", "london", "ny", "sydney")
-
-
-def _w(n: int | None = None):
-    w = Window.partitionBy("symbol").orderBy("seq")
-    return w.rowsBetween(Window.unboundedPreceding if n is None else 1 - n, 0)
+#: Entropy above which a regime is unknown and nothing is traded; divergence that stops a trigger; least scale of a standardised feature.
+UNKNOWN, MAX_KL, LEAST_SCALE = 1.8, 1.0, 1.0
 
 
 def order():
@@ -33,28 +31,38 @@ def session() -> Column:
 
 def features(t: DataFrame) -> DataFrame:
     """Quotes with mid, spread, its z-score, order book imbalance and change, depth change, volatilities, session and cost columns."""
-    x = t.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid"), "depth": F.col("bid_size") + F.col("ask_size"), "session": session()})
+    t = numbered(t, ["symbol"]).withColumn("session", session())
+    w = Window.partitionBy("symbol", "chunk").orderBy("n")
+    x = haloed(t)
+    x = x.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid"), "depth": F.col("bid_size") + F.col("ask_size")})
     x = x.withColumn("obi", F.when(F.col("depth") > 0, (F.col("ask_size") - F.col("bid_size")) / F.col("depth")).otherwise(0.0))
-    before_mid, before_depth = F.lag("mid").over(order()), F.lag("depth").over(order())
+    before_mid, before_depth, before_session = (F.lag(c).over(w) for c in ("mid", "depth", "session"))
+    new = (F.col("n") == 1) | (before_session != F.col("session"))
     x = x.withColumns({
         "ret": F.when(before_mid.isNotNull(), F.when((before_mid > 0) & (F.col("mid") > 0), F.log(F.col("mid") / before_mid)).otherwise(0.0)),
-        "delta_obi": F.col("obi") - F.coalesce(F.lag("obi").over(order()), F.col("obi")),
-        "depth_change_rate": F.when(before_depth > 0, (F.col("depth") - before_depth) / before_depth).otherwise(0.0),
-        "new_run": F.when(F.col("session") == F.lag("session").over(order()), 0).otherwise(1),
+        "delta_obi": F.col("obi") - F.coalesce(F.lag("obi").over(w), F.col("obi")),
+        "depth_change_rate": F.when(before_depth > 0, (F.col("depth") - before_depth) / before_depth).otherwise(0.0), "opens": F.when(new, F.col("ts_ns")),
     })
-    spread_sd = F.stddev_samp("spread").over(_w(SPREAD_WINDOW))
+    x = frame_sums(x, w, "spread", (SPREAD_WINDOW,))
+    x = frame_sums(x, w, "ret", (VOL_SHORT, VOL_LONG))
+    deviation = lambda c, r, less: F.sqrt(F.col(f"{c}_m2_{r}") / (F.col(f"{c}_count_{r}") - less))
+    x = x.withColumn("spread_sd", F.when(F.col(f"spread_count_{SPREAD_WINDOW}") > 1, deviation("spread", SPREAD_WINDOW, 1)))
     x = x.withColumns({
-        "spread_z": F.when(spread_sd > EPS, (F.col("spread") - F.avg("spread").over(_w(SPREAD_WINDOW))) / spread_sd).otherwise(0.0),
-        "rv": F.coalesce(F.stddev_pop("ret").over(_w(VOL_SHORT)), F.lit(0.0)), "rv_long": F.coalesce(F.stddev_pop("ret").over(_w(VOL_LONG)), F.lit(0.0)),
-        "run": F.sum("new_run").over(_w()),
+        "spread_z": F.when(F.col("spread_sd") > EPS, (F.col("spread") - F.col(f"spread_mean_{SPREAD_WINDOW}")) / F.col("spread_sd")).otherwise(0.0),
+        "rv": F.coalesce(deviation("ret", VOL_SHORT, 0), F.lit(0.0)), "rv_long": F.coalesce(deviation("ret", VOL_LONG, 0), F.lit(0.0)), "opened": F.max("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)),
     })
-    before_rv = F.lag("rv").over(order())
-    opened = F.min("ts_ns").over(Window.partitionBy("symbol", "run"))
+    before_rv = F.lag("rv").over(w)
     x = x.withColumns({
         "volatility_ratio": F.when(F.col("rv_long") > EPS, F.col("rv") / F.col("rv_long")).otherwise(1.0),
         "volatility_decay": F.when(before_rv > EPS, (F.col("rv") - before_rv) / before_rv).otherwise(0.0),
-        "open_ms": ((F.col("ts_ns") - opened) / 1000000).cast("bigint"), "spike_ms": F.lit(86_400_000).cast("bigint"),
     })
+    # when the session's run began: in this chunk, else the last opening of the chunks before
+    order_ = Window.partitionBy("symbol", "chunk").orderBy("n")
+    light = haloed(t.select("symbol", "n", "ts_ns", "session"), halo=1)
+    light = light.withColumn("opens", F.when((F.col("n") == 1) | (F.lag("session").over(order_) != F.col("session")), F.col("ts_ns"))).where("own")
+    x = x.where("own").join(carried_max(light, ["symbol"], "opens"), ["symbol", "chunk"])
+    x = x.withColumns({"open_ms": ((F.col("ts_ns") - F.coalesce("opened", "before")) / 1000000).cast("bigint"), "spike_ms": F.lit(86_400_000).cast("bigint")})
+    x = x.drop("chunk", "own", "opens", "opened", "before", "spread_sd", "n", *[f"{c}_{k}_{r}" for c, r in (("spread", SPREAD_WINDOW), ("ret", VOL_SHORT), ("ret", VOL_LONG)) for k in ("count", "mean", "m2")])
     one = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     bias = F.element_at(F.array(F.lit(-0.05), F.lit(0.10), F.lit(0.15), F.lit(0.0)), F.col("session") + 1)
     obi, z, vr = F.col("obi"), F.col("spread_z"), F.col("volatility_ratio")
@@ -93,7 +101,6 @@ _feature_query("obi_delta", {"obi": 9, "delta_obi": 9}, doc="Order book imbalanc
 _feature_query("depth_change", {"depth_change_rate": 9}, doc="Relative change of depth.")
 _feature_query("realized_vol_ratio", {"rv": 8, "volatility_ratio": 5}, doc="Volatility of 100 log returns and its ratio to 500.")
 _feature_query("session_open_ms", {}, ("session", "open_ms"), doc="Session and time since the contiguous run of it began.")
-_feature_query("cost_and_probs", {"dynamic_cost": 7, "p_revert": 6, "p_continue": 5, "p_trend": 7}, doc="Cost and heuristic probabilities.")
 
 
 @query(FEATURES + "SELECT symbol, seq, CAST(session = 0 AS INT) AS tokyo, CAST(session = 1 AS INT) AS london, CAST(session = 2 AS INT) AS ny, CAST(session = 3 AS INT) AS sydney FROM f")
@@ -124,27 +131,6 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seq", F.round(sanitise(ratio, 0.0), 9).alias("x"), sanitise(big, 0.0, 86_400_000.0, 86_400_000.0).alias("ms"))
 
 
-NAMES = ("mid", "spread", "spread_z", "obi", "delta_obi", "depth_change_rate", "rv", "volatility_ratio", "volatility_decay")
-
-
-def flatten(x: DataFrame, names: tuple[str, ...] = NAMES, at: str = "vector") -> DataFrame:
-    """Named columns as one array in fixed order."""
-    return x.withColumn(at, F.array(*[F.col(n).cast("double") for n in names]))
-
-
-def unflatten(x: DataFrame, names: tuple[str, ...] = NAMES, at: str = "vector") -> DataFrame:
-    """The array as named columns; null where its length is not theirs."""
-    fits = F.size(at) == len(names)
-    return x.withColumns({n: F.when(fits, F.element_at(at, i + 1)) for i, n in enumerate(names)})
-
-
-@query(FEATURES + "SELECT symbol, seq, round(obi, 8) AS obi, round(delta_obi, 8) AS delta_obi FROM f")
-def flatten_unflatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature vector to array and back."""
-    x = flatten(features(ticks(spark, sf_dir))).select("symbol", "seq", "vector")
-    return unflatten(x).select("symbol", "seq", F.round("obi", 8).alias("obi"), F.round("delta_obi", 8).alias("delta_obi"))
-
-
 @query(SQL + "SELECT strategy, seq, count(*) OVER w AS n_60s, CAST(sum(CASE WHEN direction = 'Buy' THEN lots ELSE -lots END) OVER w AS BIGINT) AS signed_volume FROM trades WINDOW w AS (PARTITION BY strategy ORDER BY ts_ns RANGE BETWEEN 60000000000 PRECEDING AND CURRENT ROW)")
 def trade_intensity_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills of the last minute and their signed volume."""
@@ -165,35 +151,62 @@ def position_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(FEATURES + """SELECT symbol, seq, spread_z > 2 AND depth_change_rate < -0.1 AND volatility_ratio > 2 AS trigger_a, volatility_ratio > 2 AND volatility_decay < 0 AND abs(obi) > 0.1 AS trigger_b, abs(obi) > 0.15 AND open_ms < 1200000 AS trigger_c FROM f
- WHERE (spread_z > 2 AND depth_change_rate < -0.1 AND volatility_ratio > 2) OR (volatility_ratio > 2 AND volatility_decay < 0 AND abs(obi) > 0.1) OR (abs(obi) > 0.15 AND open_ms < 1200000)""")
-def triggers_abc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes on which a strategy's entry rule fires."""
-    z, vr, obi = F.col("spread_z"), F.col("volatility_ratio"), F.abs("obi")
-    x = features(ticks(spark, sf_dir)).select("symbol", "seq", ((z > 2) & (F.col("depth_change_rate") < -0.1) & (vr > 2)).alias("trigger_a"), ((vr > 2) & (F.col("volatility_decay") < 0) & (obi > 0.1)).alias("trigger_b"), ((obi > 0.15) & (F.col("open_ms") < 1_200_000)).alias("trigger_c"))
-    return x.where("trigger_a or trigger_b or trigger_c")
+#: Centres of the regimes calm, normal, turbulent, crisis in |z|, volatility, volatility ratio; weights of the distances.
+CENTRES, DISTANCE = ((0.0, 0.0, 0.0), (1.0, 0.01, 1.0), (2.0, 0.03, 2.0), (3.0, 0.05, 3.0)), (1.0, 10.0, 2.0)
+REGIMES = ("p_calm", "p_normal", "p_turbulent", "p_crisis")
+
+
+def regimes(x: DataFrame) -> DataFrame:
+    """Posterior of the four regimes (softmax of how near each is, stabilised), its entropy and its divergence from uniform."""
+    at = (F.abs("spread_z"), F.col("rv"), F.col("volatility_ratio"))
+    x = x.withColumns({f"__s{i}": -sum((w * F.abs(v - c) for v, c, w in zip(at, centre, DISTANCE, strict=True)), F.lit(0.0)) for i, centre in enumerate(CENTRES)})
+    x = x.withColumn("__top", F.greatest(*[f"__s{i}" for i in range(4)]))
+    x = x.withColumns({f"__s{i}": F.exp(F.col(f"__s{i}") - F.col("__top")) for i in range(4)})
+    x = x.withColumn("__top", F.col("__s0") + F.col("__s1") + F.col("__s2") + F.col("__s3"))
+    x = x.withColumns({n: F.col(f"__s{i}") / F.col("__top") for i, n in enumerate(REGIMES)})
+    entropy = -sum((F.when(F.col(n) > 0, F.col(n) * F.log(n)).otherwise(0.0) for n in REGIMES), F.lit(0.0))
+    kl = sum((F.when(F.col(n) > 1e-12, F.col(n) * F.log(F.col(n) * 4)).otherwise(0.0) for n in REGIMES), F.lit(0.0))
+    return x.withColumns({"entropy": entropy, "kl_uniform": kl}).drop("__top", *[f"__s{i}" for i in range(4)])
 
 
-@query(FEATURES + """, s AS (SELECT symbol, seq, [1 - abs(spread_z) / 3, abs(spread_z), 100 * rv, volatility_ratio] AS v FROM f), e AS (SELECT symbol, seq, list_transform(v, lambda x: exp(x - list_max(v))) AS w FROM s),
-p AS (SELECT symbol, seq, list_transform(w, lambda x: x / list_sum(w)) AS p FROM e)
-SELECT symbol, seq, round(p[1], 5) AS p_calm, round(p[2], 5) AS p_stretched, round(p[3], 5) AS p_volatile, round(p[4], 5) AS p_trending, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 5) AS entropy, round(list_sum(list_transform(p, lambda x: x * ln(x * 4))), 5) AS kl_uniform FROM p""")
+REGIME = FEATURES + """, g0 AS (SELECT *, -(abs(spread_z) + 10 * rv + 2 * volatility_ratio) AS s0, -(abs(abs(spread_z) - 1) + 10 * abs(rv - 0.01) + 2 * abs(volatility_ratio - 1)) AS s1, -(abs(abs(spread_z) - 2) + 10 * abs(rv - 0.03) + 2 * abs(volatility_ratio - 2)) AS s2, -(abs(abs(spread_z) - 3) + 10 * abs(rv - 0.05) + 2 * abs(volatility_ratio - 3)) AS s3 FROM f),
+g1 AS (SELECT *, exp(s0 - greatest(s0, s1, s2, s3)) AS e0, exp(s1 - greatest(s0, s1, s2, s3)) AS e1, exp(s2 - greatest(s0, s1, s2, s3)) AS e2, exp(s3 - greatest(s0, s1, s2, s3)) AS e3 FROM g0),
+g2 AS (SELECT *, e0 / (e0 + e1 + e2 + e3) AS p_calm, e1 / (e0 + e1 + e2 + e3) AS p_normal, e2 / (e0 + e1 + e2 + e3) AS p_turbulent, e3 / (e0 + e1 + e2 + e3) AS p_crisis FROM g1),
+g AS (SELECT *, -list_sum([CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END for p in [p_calm, p_normal, p_turbulent, p_crisis]]) AS entropy, list_sum([CASE WHEN p > 1e-12 THEN p * ln(p * 4) ELSE 0 END for p in [p_calm, p_normal, p_turbulent, p_crisis]]) AS kl_uniform FROM g2)
+"""
+
+
+@query(REGIME + "SELECT symbol, seq, round(p_calm, 5) AS p_calm, round(p_normal, 5) AS p_normal, round(p_turbulent, 5) AS p_turbulent, round(p_crisis, 5) AS p_crisis, round(entropy, 5) AS entropy, round(kl_uniform, 5) AS kl_uniform, entropy > 1.8 AS unknown FROM g")
 def regime_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax of regime scores (stabilised), its entropy and its divergence from uniform."""
-    z = F.abs("spread_z")
-    v = F.array(1 - z / 3, z, 100 * F.col("rv"), F.col("volatility_ratio"))
-    x = features(ticks(spark, sf_dir)).select("symbol", "seq", v.alias("v")).withColumn("w", F.transform("v", lambda a: F.exp(a - F.array_max("v"))))
-    x = x.withColumn("p", F.transform("w", lambda a: a / F.aggregate("w", F.lit(0.0), lambda s, b: s + b)))
-    total = lambda f: F.aggregate(F.transform("p", f), F.lit(0.0), lambda s, b: s + b)
-    names = ("p_calm", "p_stretched", "p_volatile", "p_trending")
-    return x.select("symbol", "seq", *[F.round(F.col("p")[i], 5).alias(n) for i, n in enumerate(names)], F.round(-total(lambda a: a * F.log(a)), 5).alias("entropy"), F.round(total(lambda a: a * F.log(a * 4)), 5).alias("kl_uniform"))
+    """Regime posterior of each quote, and whether it is too even to tell."""
+    x = regimes(features(ticks(spark, sf_dir)))
+    return x.select("symbol", "seq", *[F.round(c, 5).alias(c) for c in (*REGIMES, "entropy", "kl_uniform")], (F.col("entropy") > UNKNOWN).alias("unknown"))
+
+
+TRIGGERS = """spread_z > 2 AND depth_change_rate < -0.1 AND volatility_ratio > 2 AND kl_uniform < 1""", """volatility_ratio > 2 AND volatility_decay < 0 AND abs(obi) > 0.1 AND kl_uniform < 1""", """abs(obi) > 0.15 AND open_ms < 1200000 AND kl_uniform < 1"""
+
+
+def triggers(x: DataFrame) -> DataFrame:
+    """Entry rules of the three strategies on quotes with features and regimes."""
+    z, vr, obi, sure = F.col("spread_z"), F.col("volatility_ratio"), F.abs("obi"), F.col("kl_uniform") < MAX_KL
+    return x.withColumns({
+        "trigger_a": (z > 2) & (F.col("depth_change_rate") < -0.1) & (vr > 2) & sure, "trigger_b": (vr > 2) & (F.col("volatility_decay") < 0) & (obi > 0.1) & sure, "trigger_c": (obi > 0.15) & (F.col("open_ms") < 1_200_000) & sure,
+    })
+
+
+@query(REGIME + f"SELECT * FROM (SELECT symbol, seq, {TRIGGERS[0]} AS trigger_a, {TRIGGERS[1]} AS trigger_b, {TRIGGERS[2]} AS trigger_c FROM g) WHERE trigger_a OR trigger_b OR trigger_c")
+def triggers_abc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes on which a strategy's entry rule fires."""
+    x = triggers(regimes(features(ticks(spark, sf_dir))))
+    return x.select("symbol", "seq", "trigger_a", "trigger_b", "trigger_c").where("trigger_a or trigger_b or trigger_c")
 
 
-@query(FEATURES + """, n AS (SELECT symbol, seq, mid, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM f), m AS (SELECT symbol, avg(mid) AS mu, greatest(stddev_pop(mid), 1e-9) AS sd FROM n WHERE i <= greatest(1, least(n - 1, CAST(floor(n * 0.8) AS BIGINT))) GROUP BY symbol)
+@query(FEATURES + """, n AS (SELECT symbol, seq, mid, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM f), m AS (SELECT symbol, avg(mid) AS mu, greatest(stddev_pop(mid), 1.0) AS sd FROM n WHERE i <= greatest(1, least(n - 1, CAST(floor(n * 0.8) AS BIGINT))) GROUP BY symbol)
 SELECT n.symbol, seq, i <= greatest(1, least(n - 1, CAST(floor(n * 0.8) AS BIGINT))) AS train, round((mid - mu) / sd, 6) AS z FROM n JOIN m USING (symbol)""")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chronological split and standardisation by the training part's mean and deviation."""
     t = ticks(spark, sf_dir).select("symbol", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
     n = t.groupBy("symbol").agg(F.count("*").alias("n"))
-    x = t.withColumn("i", F.row_number().over(order())).join(n, "symbol").withColumn("train", F.col("i") <= F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.8))))
-    m = x.where("train").groupBy("symbol").agg(F.avg("mid").alias("mu"), F.greatest(F.stddev_pop("mid"), F.lit(1e-9)).alias("sd"))
+    x = numbered(t, ["symbol"]).withColumnRenamed("n", "i").join(n, "symbol").withColumn("train", F.col("i") <= F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.8))))
+    m = x.where("train").groupBy("symbol").agg(F.avg("mid").alias("mu"), F.greatest(F.stddev_pop("mid"), F.lit(LEAST_SCALE)).alias("sd"))
     return x.join(m, "symbol").select("symbol", "seq", "train", F.round((F.col("mid") - F.col("mu")) / F.col("sd"), 6).alias("z"))
