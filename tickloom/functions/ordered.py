@@ -91,21 +91,43 @@ def recent(left: DataFrame, right: DataFrame, sums: dict[str, Column], span: int
     return x.where("__kind = 1").select(*left.columns, *sums)
 
 
-def ema(df: DataFrame, keys: list[str], cols: dict[str, tuple[str, float]], alpha: float) -> DataFrame:
+def ema(df: DataFrame, keys: list[str], cols: dict[str, tuple[str, float]], alpha: float, block: int = BLOCK) -> DataFrame:
     """Exponential means e += alpha (x - e) of numbered rows: name -> (column, start).
 
     Within a block by running sums; what blocks before leave weighs
-    (1 - alpha) ** BLOCK each, so three of them are all that doubles can see.
+    (1 - alpha) ** block each; with a block long enough three of them are all that
+    doubles can see.
     """
     keep = 1 - alpha
     i = F.col("__i")
-    x = df.withColumns({"__block": F.floor((F.col("n") - 1) / BLOCK), "__i": (F.col("n") - 1) % BLOCK + 1})
-    ends = x.groupBy(*keys, "__block").agg(*[F.sum(alpha * F.pow(F.lit(keep), BLOCK - i) * F.col(c)).alias(f"__end_{o}") for o, (c, _) in cols.items()])
+    x = df.withColumns({"__block": F.floor((F.col("n") - 1) / block), "__i": (F.col("n") - 1) % block + 1})
+    ends = x.groupBy(*keys, "__block").agg(*[F.sum(alpha * F.pow(F.lit(keep), block - i) * F.col(c)).alias(f"__end_{o}") for o, (c, _) in cols.items()])
     ends = ends.withColumn("__d", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    carry = ends.groupBy(*keys, (F.col("__block") + F.col("__d")).alias("__block")).agg(*[F.sum(F.col(f"__end_{o}") * F.pow(F.lit(keep), BLOCK * (F.col("__d") - 1))).alias(f"__carry_{o}") for o in cols])
+    carry = ends.groupBy(*keys, (F.col("__block") + F.col("__d")).alias("__block")).agg(*[F.sum(F.col(f"__end_{o}") * F.pow(F.lit(keep), block * (F.col("__d") - 1))).alias(f"__carry_{o}") for o in cols])
     w = Window.partitionBy(*keys, "__block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     x = x.join(carry, [*keys, "__block"], "left")
     return x.withColumns({
         o: alpha * F.pow(F.lit(keep), i) * F.sum(F.col(c) * F.pow(F.lit(keep), -i)).over(w) + F.pow(F.lit(keep), i) * F.coalesce(f"__carry_{o}", F.lit(0.0)) + start * F.pow(F.lit(keep), F.col("n"))
         for o, (c, start) in cols.items()
     }).drop("__block", "__i", *[f"__carry_{o}" for o in cols])
+
+
+def running(df: DataFrame, keys: list[str], sums: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+    """Numbered rows with running sums: a chunk's own, and the total of the chunks before."""
+    x = df.withColumns({"__chunk": F.floor((F.col("n") - 1) / chunk), **{f"__x_{o}": c for o, c in sums.items()}})
+    each = x.groupBy(*keys, "__chunk").agg(*[F.sum(f"__x_{o}").alias(f"__t_{o}") for o in sums])
+    over = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select(*keys, "__chunk", *[F.coalesce(F.sum(f"__t_{o}").over(over), F.lit(0)).alias(f"__b_{o}") for o in sums])
+    w = Window.partitionBy(*keys, "__chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(before, [*keys, "__chunk"]).withColumns({o: F.sum(f"__x_{o}").over(w) + F.col(f"__b_{o}") for o in sums})
+    return x.drop("__chunk", *[f"__{k}_{o}" for k in "xb" for o in sums])
+
+
+def carried_last(df: DataFrame, keys: list[str], col: str, out: str, chunk: int = CHUNK) -> DataFrame:
+    """Numbered rows with the last non-null ``col`` so far."""
+    x = df.withColumn("__chunk", F.floor((F.col("n") - 1) / chunk))
+    each = x.groupBy(*keys, "__chunk").agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.col("n"))).alias("__end"))
+    over = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.select(*keys, "__chunk", F.last("__end", True).over(over).alias("__before"))
+    w = Window.partitionBy(*keys, "__chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(before, [*keys, "__chunk"]).withColumn(out, F.coalesce(F.last(col, True).over(w), F.col("__before"))).drop("__chunk", "__before")

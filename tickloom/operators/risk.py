@@ -109,21 +109,32 @@ def lot_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT *, i >= 100 AND s < -0.05 AS bad FROM w), n AS (SELECT *, i - row_number() OVER (PARTITION BY strategy, bad ORDER BY ts_ns, seq) AS island FROM b), c AS (SELECT *, row_number() OVER (PARTITION BY strategy, bad, island ORDER BY ts_ns, seq) AS run FROM n WHERE bad)
 SELECT strategy, min(ts_ns) AS dead_ts_ns, count(*) AS n_bad FROM c WHERE run >= 5 GROUP BY strategy""")
 def lifecycle_culling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strategy dies at the fifth poor rolling Sharpe in a row, once it has a hundred episodes."""
+    """Strategies that die, by a threshold that these trades can reach."""
+    return culled(trades(spark, sf_dir), threshold=-0.05, yearly=1.0)
+
+
+def culled(t: DataFrame, threshold: float = -1.0, yearly: float = 252.0, episodes: int = 100, row: int = 5, strict: float = 1.5, unknown: Column | None = None) -> DataFrame:
+    """When a strategy dies: at so many poor rolling Sharpe ratios (of 50 trades, by the year) in a row, once it has enough episodes; in an unknown regime the threshold is further off."""
     o = Window.partitionBy("strategy").orderBy("ts_ns", "seq")
     r = o.rowsBetween(-49, 0)
-    x = trades(spark, sf_dir).select("strategy", "ts_ns", "seq", F.row_number().over(o).alias("i"), (F.avg("pnl_c").over(r) / F.greatest(F.stddev_samp("pnl_c").over(r), F.lit(1e-10))).alias("s"))
-    x = x.withColumn("bad", F.coalesce((F.col("i") >= 100) & (F.col("s") < -0.05), F.lit(False)))
+    least = F.lit(threshold) if unknown is None else F.when(unknown, threshold * strict).otherwise(threshold)
+    x = t.withColumns({"i": F.row_number().over(o), "s": F.avg("pnl_c").over(r) / F.greatest(F.stddev_samp("pnl_c").over(r), F.lit(1e-10)) * F.sqrt(F.lit(yearly)), "least": least})
+    x = x.withColumn("bad", F.coalesce((F.col("i") >= episodes) & (F.col("s") < F.col("least")), F.lit(False)))
     x = x.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("strategy", "bad").orderBy("ts_ns", "seq"))).where("bad")
-    x = x.withColumn("run", F.row_number().over(Window.partitionBy("strategy", "island").orderBy("ts_ns", "seq"))).where("run >= 5")
+    x = x.withColumn("run", F.row_number().over(Window.partitionBy("strategy", "island").orderBy("ts_ns", "seq"))).where(F.col("run") >= row)
     return x.groupBy("strategy").agg(F.min("ts_ns").alias("dead_ts_ns"), F.count("*").alias("n_bad"))
 
 
 @query(SQL + f""", t AS (SELECT symbol, seq, ts_ns, lag(ts_ns) OVER (PARTITION BY symbol ORDER BY seq) AS before FROM ticks), l AS (SELECT *, isodow(make_timestamp(ts_ns // 1000) AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}') AS d, isodow(make_timestamp(before // 1000) AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}') AS b FROM t)
 SELECT symbol, seq, ts_ns - before AS gap_ns FROM l WHERE b <= 5 AND d = 1 AND ts_ns - before >= 600000000000""")
 def weekend_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First quotes of a Monday after a long gap (here ten minutes) since a weekday."""
+    """Gaps over a weekend; these quotes have none of twelve hours, so ten minutes."""
+    return weekend_gaps(ticks(spark, sf_dir), least_ns=600_000_000_000)
+
+
+def weekend_gaps(t: DataFrame, least_ns: int = 43_200_000_000_000) -> DataFrame:
+    """First quotes of a Monday after a long gap since a weekday, by the trading day's zone."""
     w = Window.partitionBy("symbol").orderBy("seq")
     local = lambda c: F.weekday(F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col(c) / 1000)), ZONE))
-    x = ticks(spark, sf_dir).select("symbol", "seq", "ts_ns", F.lag("ts_ns").over(w).alias("before"))
-    return x.where((local("before") <= 4) & (local("ts_ns") == 0) & (F.col("ts_ns") - F.col("before") >= 600_000_000_000)).select("symbol", "seq", (F.col("ts_ns") - F.col("before")).alias("gap_ns"))
+    x = t.select("symbol", "seq", "ts_ns", F.lag("ts_ns").over(w).alias("before"))
+    return x.where((local("before") <= 4) & (local("ts_ns") == 0) & (F.col("ts_ns") - F.col("before") >= least_ns)).select("symbol", "seq", (F.col("ts_ns") - F.col("before")).alias("gap_ns"))

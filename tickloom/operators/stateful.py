@@ -99,16 +99,16 @@ def discounted_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("strategy", "episode", F.size("steps").cast("bigint").alias("n"), F.round(F.aggregate("steps", F.lit(0.0), lambda acc, s: acc + s["r"]), 10).alias("total"), F.round(g, 10).alias("g0"))
 
 
-@query(SQL + """, e AS (SELECT strategy, seq, ts_ns, pnl_c, CAST(sum(pnl_c) OVER w AS BIGINT) AS equity_c FROM trades WINDOW w AS (PARTITION BY strategy ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING)),
+@query(SQL + """, e AS (SELECT strategy, seq, ts_ns, k, pnl_c, CAST(sum(pnl_c) OVER w AS BIGINT) AS equity_c FROM trades WINDOW w AS (PARTITION BY strategy ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT *, coalesce(max(equity_c) OVER (PARTITION BY strategy ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS peak FROM e)
-SELECT strategy, seq, round(pnl_c / 1000000.0 - 0.5 * least(greatest(greatest(peak, 0) - equity_c, 0) / 1000000.0, 100), 8) AS reward FROM p""")
+SELECT strategy, seq, round(pnl_c / 1000000.0 - 0.1 * pow(seq % 3, 2) * pow(k / CAST(1000 AS DOUBLE), 2) - 0.5 * least(greatest(greatest(peak, 0) - equity_c, 0) / 1000000.0, 100), 8) AS reward FROM p""")
 def episode_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profit less half the fall from the peak before."""
+    """Profit less a tenth of the variance of the position held (here seq mod 3 units) and half the fall from the peak before."""
     o = Window.partitionBy("strategy").orderBy("ts_ns", "seq")
     e = trades(spark, sf_dir).withColumn("equity_c", F.sum("pnl_c").over(o.rowsBetween(Window.unboundedPreceding, 0)))
     peak = F.greatest(F.coalesce(F.max("equity_c").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
     e = e.withColumn("fall", F.least(F.greatest(peak - F.col("equity_c"), F.lit(0)) / 1000000.0, F.lit(100.0)))
-    return e.select("strategy", "seq", F.round(F.col("pnl_c") / 1000000.0 - 0.5 * F.col("fall"), 8).alias("reward"))
+    return e.select("strategy", "seq", F.round(F.col("pnl_c") / 1000000.0 - 0.1 * F.pow(F.col("seq") % 3, F.lit(2)) * F.pow(F.col("k") / 1000.0, F.lit(2)) - 0.5 * F.col("fall"), 8).alias("reward"))
 
 
 @query(SQL + """, x AS (SELECT strategy, k / CAST(100 AS DOUBLE) AS x1, slippage * 1000 AS x2, pnl_c / CAST(10000 AS DOUBLE) AS y FROM trades), s AS (SELECT strategy, 1 + sum(x1 * x1) AS a, sum(x1 * x2) AS b, 1 + sum(x2 * x2) AS d, sum(x1 * y) AS p, sum(x2 * y) AS q FROM x GROUP BY strategy)
