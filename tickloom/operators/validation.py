@@ -86,7 +86,7 @@ def moments(r: DataFrame) -> DataFrame:
     """Mean, sample deviation, skewness and excess kurtosis by the sample deviation's powers."""
     m = r.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
     x = r.join(m, "strategy")
-    z = (F.col("ret") - F.col("mean")) / F.col("sd")
+    z = F.when(F.col("sd") > 1e-12, F.try_divide(F.col("ret") - F.col("mean"), F.col("sd"))).otherwise(0.0)
     return x.groupBy("strategy", "n", "mean", "sd").agg(F.avg(z * z * z).alias("skew"), (F.avg(z * z * z * z) - 3).alias("kurtosis"))
 
 
@@ -103,7 +103,7 @@ def dsr_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deflated(r: DataFrame) -> DataFrame:
     """Sharpe ratio with the z-value of its deflated form."""
-    m = moments(r).withColumn("sr", F.col("mean") / F.col("sd"))
+    m = moments(r).withColumn("sr", F.when(F.col("sd") > 1e-12, F.try_divide("mean", "sd")).otherwise(0.0))
     v = F.greatest((1 - F.col("skew") * F.col("sr") + (F.col("kurtosis") - 1) / 4 * F.col("sr") ** 2) / (F.col("n") - 1), F.lit(1e-12))
     return m.withColumn("z", F.col("sr") * F.sqrt("n") / F.sqrt(v))
 
@@ -182,3 +182,46 @@ def validation_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("s") / F.sqrt(F.lit(38.0))
     row = lambda name, ok, v: F.struct(F.lit(name).alias("name"), ok.alias("passed"), v.cast("double").alias("value"))
     return m.select("strategy", F.inline(F.array(row("Data Sufficiency", F.col("n") >= 2, F.col("n")), row("Sharpe Ceiling", F.col("s") <= 1.5, F.col("s")), row("Complexity", (a > 0) | (F.col("s") <= 0), F.round(a, 6)))))
+
+
+def _checks(rows: DataFrame, name: str, passed, value) -> DataFrame:
+    return rows.select("strategy", F.lit(name).alias("name"), passed.alias("passed"), value.cast("double").alias("value"))
+
+
+def _all_checks() -> str:
+    from ..plans.registry import ORACLES
+
+    part = {k: ORACLES[k] for k in ("sharpe_ceiling", "degradation", "leakage", "cpcv_scores", "sensitivity", "pbo")}
+    return f"""SELECT strategy, 'Sharpe Ceiling' AS name, passed, sharpe AS value FROM ({part["sharpe_ceiling"]}) UNION ALL SELECT strategy, 'Complexity Penalty', complexity_passed, adjusted FROM ({part["sharpe_ceiling"]})
+UNION ALL SELECT strategy, 'Live Degradation', passed, degradation FROM ({part["degradation"]}) UNION ALL SELECT strategy, 'Information Leakage', NOT leaking, leak FROM ({part["leakage"]}) UNION ALL SELECT strategy, 'CPCV', mean > 0 AND failure_rate < 0.5, mean FROM ({part["cpcv_scores"]})
+UNION ALL SELECT strategy, 'Reward Sensitivity', bool_and(robust), CAST(bool_and(robust) AS INT) FROM ({part["sensitivity"]}) GROUP BY strategy UNION ALL SELECT 'ALL', 'PBO', passed, pbo FROM ({part["pbo"]})"""
+
+
+@query(_all_checks())
+def validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks that SQL can express, as rows (strategy, name, passed, value)."""
+    c, d, k, v, s, p = (f(spark, sf_dir) for f in (sharpe_ceiling, degradation, leakage, cpcv_scores, sensitivity, pbo))
+    robust = s.groupBy("strategy").agg(F.every("robust").alias("robust"))
+    parts = [
+        _checks(c, "Sharpe Ceiling", F.col("passed"), F.col("sharpe")), _checks(c, "Complexity Penalty", F.col("complexity_passed"), F.col("adjusted")), _checks(d, "Live Degradation", F.col("passed"), F.col("degradation")),
+        _checks(k, "Information Leakage", ~F.col("leaking"), F.col("leak")), _checks(v, "CPCV", (F.col("mean") > 0) & (F.col("failure_rate") < 0.5), F.col("mean")), _checks(robust, "Reward Sensitivity", F.col("robust"), F.col("robust").cast("int")),
+        _checks(p.withColumn("strategy", F.lit("ALL")), "PBO", F.col("passed"), F.col("pbo")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def verdict(r: DataFrame, num_features: int, ceiling: float = 1.5) -> DataFrame:
+    """Checks of one series (obs, ret): name, passed, value. With fewer than two finite returns there is one check, and it fails; values that are not finite are 0."""
+    one = r.where(F.col("ret").isNotNull() & ~F.isnan("ret") & (F.abs("ret") != F.lit(float("inf")))).withColumn("strategy", F.lit("run"))
+    n = one.count()
+    if n < 2:
+        return r.sparkSession.createDataFrame([("Data Sufficiency", False, float(n))], "name string, passed boolean, value double")
+    m = one.groupBy("strategy").agg(_yearly().alias("s"))
+    z = deflated(one).select("strategy", normal_cdf(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.coalesce("z", F.lit(0.0))))).alias("p"))
+    adjusted = F.col("s") / F.sqrt(F.lit(float(max(num_features, 1))))
+    parts = [_checks(m, "Sharpe Ceiling", F.col("s") <= ceiling, F.col("s")), _checks(z, "Deflated Sharpe Ratio", F.col("p") >= 0.95, F.col("p")), _checks(m, "Complexity Penalty", (adjusted > 0) | (F.col("s") <= 0), adjusted)]
+    if n >= GROUPS:
+        t = scores(one).where("role = 'test'").groupBy("strategy").agg(F.avg("sharpe").alias("mean"), F.avg((F.col("sharpe") <= 0).cast("double")).alias("fails"))
+        parts.append(_checks(t, "CPCV", (F.col("mean") > 0) & (F.col("fails") < 0.5), F.col("mean")))
+    v = F.col("value")
+    return reduce(DataFrame.unionByName, parts).select("name", "passed", F.when(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), 0.0).otherwise(v).alias("value"))
