@@ -131,3 +131,10 @@ def carried_last(df: DataFrame, keys: list[str], col: str, out: str, chunk: int
     before = each.select(*keys, "__chunk", F.last("__end", True).over(over).alias("__before"))
     w = Window.partitionBy(*keys, "__chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     return x.join(before, [*keys, "__chunk"]).withColumn(out, F.coalesce(F.last(col, True).over(w), F.col("__before"))).drop("__chunk", "__before")
+
+
+def running_max(df: DataFrame, keys: list[str], col: str, out: str, chunk: int = CHUNK) -> DataFrame:
+    """Numbered rows with the greatest ``col`` so far."""
+    x = df.withColumn("chunk", F.floor((F.col("n") - 1) / chunk))
+    w = Window.partitionBy(*keys, "chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return x.join(carried_max(x, keys, col), [*keys, "chunk"]).withColumn(out, F.greatest(F.max(col).over(w), "before")).drop("chunk", "before")

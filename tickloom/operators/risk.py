@@ -26,9 +26,14 @@ def periods(t: DataFrame) -> DataFrame:
 
 
 def period_profit(t: DataFrame) -> DataFrame:
-    """Realised profit since the start of the day, week and month, by strategy."""
-    over = lambda p: Window.partitionBy("strategy", p).orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return periods(t).withColumns({f"{p}_pnl_c": F.sum("pnl_c").over(over(p)) for p in ("day", "week", "month")})
+    """Realised profit since the start of the day, week and month, by strategy: within a day row by row, of the days before by their totals."""
+    x = periods(t)
+    days = x.groupBy("strategy", "day", "week", "month").agg(F.sum("pnl_c").alias("total"))
+    before = lambda p: F.coalesce(F.sum("total").over(Window.partitionBy("strategy", p).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("strategy", "day", before("week").alias("__week"), before("month").alias("__month"))
+    own = Window.partitionBy("strategy", "day").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(days, ["strategy", "day"]).withColumn("day_pnl_c", F.sum("pnl_c").over(own))
+    return x.withColumns({"week_pnl_c": F.col("__week") + F.col("day_pnl_c"), "month_pnl_c": F.col("__month") + F.col("day_pnl_c")}).drop("__week", "__month")
 
 
 PERIODS = SQL + f""", lt AS (SELECT *, make_timestamp(ts_ns // 1000) AT TIME ZONE 'UTC' AT TIME ZONE '{ZONE}' AS loc FROM trades),

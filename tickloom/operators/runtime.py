@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import carried_last, ema, frame_sums, haloed, numbered, running
+from ..functions.ordered import carried_last, ema, frame_sums, haloed, numbered, running, running_max
 from ..plans.registry import query
 from ..sources.views import SQL, decisions, ticks, trades
 from .features import FEATURES, features
@@ -437,12 +437,8 @@ def forward_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six metrics of two runs side by side, one of which may lack some: profit and drawdown by relative difference, the others by absolute."""
     t = trades(spark, sf_dir).withColumn("half", F.col("seq") % 2)
     by = ["strategy", "half"]
-    e = running(numbered(t, by), by, {"equity": F.col("pnl_c")})
-    chunk = F.floor((F.col("n") - 1) / 4096)
-    e = e.withColumn("chunk", chunk)
-    tops = e.groupBy(*by, "chunk").agg(F.max("equity").alias("top"))
-    tops = tops.select(*by, "chunk", F.coalesce(F.max("top").over(Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    e = e.join(tops, [*by, "chunk"]).withColumn("down", F.greatest(F.lit(0), F.col("before"), F.max("equity").over(Window.partitionBy(*by, "chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))) - F.col("equity"))
+    e = running_max(running(numbered(t, by), by, {"equity": F.col("pnl_c")}), by, "equity", "peak")
+    e = e.withColumn("down", F.greatest(F.lit(0), "peak") - F.col("equity"))
     p = F.col("pnl_c")
     m = e.groupBy(*by).agg(F.sum(p).cast("double").alias("pnl"), (F.count_if(p > 0) / F.count("*")).alias("win_rate"), (F.avg(p) / F.stddev_samp(p)).alias("sharpe"), F.max("down").cast("double").alias("drawdown"), (F.count_if(F.col("k") < 90) / F.count("*")).alias("fill_rate"), F.avg(F.abs("slippage")).alias("slippage"))
     long = m.unpivot(by, list(APART), "metric", "v")

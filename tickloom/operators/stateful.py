@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import asof, frame_sums, haloed, numbered, running
 from ..functions.sequential import ema_fold
 from ..plans.registry import query
 from ..sources.views import SQL, decisions, ticks, trades
@@ -27,17 +28,20 @@ z AS (SELECT *, count(d) OVER w AS n, (d - avg(d) OVER w) / stddev_samp(d) OVER
 SELECT symbol, seq, round(z, 4) AS z FROM z WHERE n >= 100 AND abs(z) > 3""")
 def tick_interval_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kill switch: intervals more than three deviations off those of the last two thousand, which it does not include."""
-    w = order().rowsBetween(-2000, -1)
-    x = ticks(spark, sf_dir).withColumn("d", (F.col("ts_ns") - F.lag("ts_ns").over(order())).cast("double"))
-    x = x.select("symbol", "seq", F.count("d").over(w).alias("n"), ((F.col("d") - F.avg("d").over(w)) / F.stddev_samp("d").over(w)).alias("z"))
+    x = haloed(numbered(ticks(spark, sf_dir).select("symbol", "seq", "ts_ns"), ["symbol"]), chunk=16_384, halo=2048)
+    w = Window.partitionBy("symbol", "chunk").orderBy("n")
+    x = frame_sums(x.withColumn("d", (F.col("ts_ns") - F.lag("ts_ns").over(w)).cast("double")), w, "d", (2000,))
+    n, mean, m2 = (F.lag(f"d_{c}_2000").over(w) for c in ("count", "mean", "m2"))
+    x = x.withColumns({"before": n, "mean": mean, "m2": m2}).where("own and before > 1 and m2 > 0")
+    x = x.select("symbol", "seq", F.col("before").alias("n"), ((F.col("d") - F.col("mean")) / F.sqrt(F.col("m2") / (F.col("before") - 1))).alias("z"))
     return x.where((F.col("n") >= 100) & (F.abs("z") > 3)).select("symbol", "seq", F.round("z", 4).alias("z"))
 
 
 @query(SQL + """SELECT strategy, seq, CAST(sum(CASE WHEN direction = 'Buy' THEN lots ELSE -lots END) OVER w AS BIGINT) AS position, CAST(sum(pnl_c) OVER w AS BIGINT) AS realized_c FROM trades WINDOW w AS (PARTITION BY strategy ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING)""")
 def net_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running net size and realised profit."""
-    w = Window.partitionBy("strategy").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return trades(spark, sf_dir).select("strategy", "seq", F.sum(F.when(F.col("direction") == "Buy", F.col("lots")).otherwise(-F.col("lots"))).over(w).alias("position"), F.sum("pnl_c").over(w).alias("realized_c"))
+    x = running(numbered(trades(spark, sf_dir), ["strategy"]), ["strategy"], {"position": F.when(F.col("direction") == "Buy", F.col("lots")).otherwise(-F.col("lots")), "realized_c": F.col("pnl_c")})
+    return x.select("strategy", "seq", "position", "realized_c")
 
 
 @query(SQL + """, n AS (SELECT lp_id, ts_ns, seq, k >= 90 AS rejected, row_number() OVER (PARTITION BY lp_id ORDER BY ts_ns, seq) - row_number() OVER (PARTITION BY lp_id, k >= 90 ORDER BY ts_ns, seq) AS island FROM trades),
@@ -125,20 +129,9 @@ def blr_two_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + """, t AS (SELECT symbol, seq, ts_ns FROM ticks), s AS (SELECT ts_ns AS sts, strategy, CAST(sum(pnl_c) OVER (PARTITION BY strategy ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS equity_c FROM trades WHERE strategy = 'A')
 SELECT t.symbol, t.seq, s.equity_c FROM t ASOF LEFT JOIN s ON t.ts_ns >= s.sts""")
 def asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each quote with the latest state at or before it: a union and the last value, no range join.
-
-    State and quotes meet within one day first; a day without state before a
-    quote takes the last of the days before, so no task sorts all time.
-    """
-    w = Window.partitionBy("strategy").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    s = trades(spark, sf_dir).where("strategy = 'A'").select("ts_ns", F.sum("pnl_c").over(w).alias("equity_c"), F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("bigint").alias("seq"), F.lit(0).alias("kind"))
-    t = ticks(spark, sf_dir).select("ts_ns", F.lit(None).cast("bigint").alias("equity_c"), "symbol", "seq", F.lit(1).alias("kind"))
-    day = F.expr("ts_ns div 86400000000000")
-    u = s.unionByName(t).withColumn("day", day)
-    ends = s.withColumn("day", day).groupBy("day").agg(F.max_by("equity_c", "ts_ns").alias("last"))  # a row a day
-    days = u.select("day").distinct().join(ends, "day", "left").withColumn("before", F.last("last", True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select("day", "before")
-    x = u.withColumn("own", F.last("equity_c", True).over(Window.partitionBy("day").orderBy("ts_ns", "kind").rowsBetween(Window.unboundedPreceding, 0)))
-    return x.where("kind = 1").join(days, "day").select("symbol", "seq", F.coalesce("own", "before").alias("equity_c"))
+    """Each quote with the latest state at or before it: a union and the last value within a day, no range join, and no task that sorts all time."""
+    s = running(numbered(trades(spark, sf_dir).where("strategy = 'A'"), []), [], {"equity_c": F.col("pnl_c")})
+    return asof(ticks(spark, sf_dir).select("symbol", "seq", "ts_ns"), s, ["equity_c"]).select("symbol", "seq", "equity_c")
 
 
 @query(SQL + "SELECT d.seq, t.symbol, d.direction, round(t.ask - t.bid, 9) AS spread FROM decisions d JOIN ticks t ON t.seq = d.seq WHERE d.triggered AND d.direction IS NOT NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered, running, running_max
 from ..plans.registry import query
 from ..sources.views import SQL, decisions, trades
 
@@ -46,10 +47,9 @@ def strategy_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equity(t: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Running equity, its peak (from 0) and the drawdown, by order of time."""
-    w = Window.partitionBy(*by).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, 0)
-    e = t.withColumn("equity_c", F.sum("pnl_c").over(w))
-    return e.withColumn("peak_c", F.greatest(F.lit(0), F.max("equity_c").over(w))).withColumn("drawdown_c", F.col("peak_c") - F.col("equity_c"))
+    """Running equity, its peak (from 0) and the drawdown, in order of ``seq``."""
+    e = running_max(running(numbered(t, by), by, {"equity_c": F.col("pnl_c")}), by, "equity_c", "peak_c")
+    return e.withColumn("peak_c", F.greatest(F.lit(0), "peak_c")).withColumn("drawdown_c", F.col("peak_c") - F.col("equity_c")).drop("n")
 
 
 EQUITY = SQL + """, eq AS (SELECT *, CAST(sum(pnl_c) OVER w AS BIGINT) AS equity_c FROM trades WINDOW w AS (PARTITION BY strategy ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import carried_max
 from ..plans.registry import query
 from .views import SQL, table, ticks
 
@@ -17,6 +18,9 @@ ALIASES = {
 DEFAULT_SYMBOL = "USD/JPY"
 ZONE = "Europe/Helsinki"
 
+#: Rows of a file that are put in order at once.
+ROWS = 1 << 16
+
 
 def header_name(name: str) -> str:
     """Trimmed, lower case, underscores for spaces, aliases resolved."""
@@ -40,10 +44,9 @@ def timestamp_ns(s: Column) -> Column:
     gmt = F.regexp_extract(s, r"GMT([+-]\d{2})(\d{2})$", 0)
     sign = F.when(F.substring(gmt, 4, 1) == "-", -1).otherwise(1)
     off = sign * (F.substring(gmt, 5, 2).try_cast("bigint") * 3600 + F.substring(gmt, 7, 2).try_cast("bigint") * 60)
-    utc = lambda x, f: F.try_to_timestamp(x, F.lit(f))
     dotted = F.trim(F.regexp_replace(s, r"\s*GMT[+-]\d{4}$", ""))
     iso = F.replace(s, F.lit("T"), F.lit(" "))
-    both = lambda x, f: F.coalesce(utc(x, f + ".SSSSSS"), utc(x, f + ".SSS"), utc(x, f + ".S"), utc(x, f))
+    both = lambda x, f: F.try_to_timestamp(x, F.lit(f + "[.SSSSSSSSS]"))  # noqa: E731  one to nine digits
     return (
         F.when(s.rlike(r"^\d+$"), F.when(digits > 10**15, digits).when(F.length(s) <= 11, digits * 1_000_000_000))
         .when(s.rlike(r"^\d{2}\.\d{2}\.\d{4} .*GMT[+-]\d{4}$"), _ns(both(dotted, "dd.MM.yyyy HH:mm:ss")) - off * 1_000_000_000)
@@ -53,13 +56,20 @@ def timestamp_ns(s: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A quote file as text columns under their normalised names, with ``row`` from 2 in file order where one file is one partition."""
+    """Quote files as text columns under their normalised names, with ``row`` from 2 in each file's order, however it is split.
+
+    A part of a file is known by where it begins; rows count on from those of
+    the parts before.
+    """
     raw = spark.read.option("header", True).csv(path)
-    x = raw.toDF(*[header_name(c) for c in raw.columns])
+    x = raw.select(*[F.col(f"`{c}`").alias(header_name(c)) for c in raw.columns], F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
     for c, v in (("bid_volume", None), ("ask_volume", None), ("symbol", DEFAULT_SYMBOL)):
         if c not in x.columns:
             x = x.withColumn(c, F.lit(v).cast("string"))
-    return x.withColumn("row", F.monotonically_increasing_id() + 2)
+    part = x.groupBy("__file", "__at").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__file").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = part.select("__file", "__at", "__first", before.alias("__before"))
+    return x.join(part, ["__file", "__at"]).withColumn("row", F.col("__id") - F.col("__first") + F.col("__before") + 2).drop("__file", "__at", "__id", "__first", "__before")
 
 
 def checked(x: DataFrame) -> DataFrame:
@@ -69,10 +79,10 @@ def checked(x: DataFrame) -> DataFrame:
         F.coalesce(F.col("bid_volume").try_cast("double"), F.lit(0.0)).alias("bid_size"), F.coalesce(F.col("ask_volume").try_cast("double"), F.lit(0.0)).alias("ask_size"), F.coalesce("symbol", F.lit(DEFAULT_SYMBOL)).alias("symbol"),
     )
     bad = F.when(F.col("ts_ns").isNull(), "timestamp").when(F.col("bid").isNull() | F.col("ask").isNull(), "number").when(F.col("bid") >= F.col("ask"), "crossed")
-    t = t.withColumn("bad", bad)
-    w = Window.partitionBy("symbol").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max(F.when(F.col("bad").isNull(), F.col("ts_ns"))).over(w)  # the last accepted one is the greatest
-    return t.withColumn("problem", F.coalesce("bad", F.when(F.col("ts_ns") <= seen, "order"))).drop("bad")
+    t = t.withColumns({"bad": bad, "chunk": F.floor(F.col("row") / ROWS)}).withColumn("fine", F.when(F.col("bad").isNull(), F.col("ts_ns")))
+    w = Window.partitionBy("symbol", "chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest(F.max("fine").over(w), F.col("before"))  # the last accepted one is the greatest
+    return t.join(carried_max(t, ["symbol"], "fine"), ["symbol", "chunk"]).withColumn("problem", F.coalesce("bad", F.when(F.col("ts_ns") <= seen, "order"))).drop("bad", "fine", "chunk", "before")
 
 
 def lenient(x: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..sources.results import scratch
 from ..sources.views import SQL
 
 
@@ -45,10 +44,7 @@ def sessions(s: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> Dat
 def drain(s: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what there is and read its result; checkpoints go to the shared folder."""
     spark = s.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tickloom-")
-    import uuid
-
-    out = f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    out = scratch(spark, f"stream-{name}")
 
     def sink(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/data")
@@ -74,4 +70,4 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream joined with itself by union has each event once."""
     s = quotes(spark, f"{sf_dir}/events.parquet")
-    return drain(unique(s.unionByName(s), "3650 days"), "unique", "append").select("symbol", "seq")
+    return drain(unique(s.unionByName(s)), "unique", "append").select("symbol", "seq")
