@@ -111,3 +111,86 @@ def test_average_cost():
     assert out["entry"].tolist() == [10, 11, 11, 11]
     assert out["realized"].tolist() == [0, 0, 2, 5]
     assert out["position"].tolist() == [1, 2, 1, -1]
+
+
+def quote(spread=0.01, rv=0.001, obi=0.3):
+    return np.array([spread, 1.0, obi, 0.0, 0.0, rv, 1.0, 0.0, 0.0, 1000.0, 1000.0, spread, 0.5, 0.5])
+
+
+def test_features_of_a_run_have_their_places():
+    from tickloom.functions.sequential import DIM, Run
+    from tickloom.operators.vector import VECTOR
+
+    for s in "ABC":
+        run = Run(s, 1)
+        x = run.features(10**15, 100.0, quote())
+        assert len(x) == DIM == len(VECTOR) + 5
+        at = dict(zip(VECTOR, x, strict=False))
+        assert (at["spread"], at["obi"], at["position_size"], at["time_decay"], at["session_tokyo"]) == (0.01, 0.3, 0.0, 1.0, 1.0)
+        run.side, run.entry, run.since = -1.0, 101.0, 10**15 - 5_000_000
+        at = dict(zip(VECTOR, run.features(10**15, 100.0, quote()), strict=False))
+        assert at["position_direction"] == -1 and at["pnl_unrealized"] == 1.0 and abs(at["time_decay"] - np.exp(-0.05)) < 1e-12
+
+
+def test_a_position_ends_by_time_or_loss_and_halts_the_day():
+    from tickloom.functions.sequential import Run
+
+    run = Run("A", 1, daily_loss=1.0)
+    t = 10**15
+
+    def hold(ts):
+        run.side, run.entry, run.since, run.x, run.action = 1.0, 100.0, ts, run.features(ts, 100.0, quote()), "Buy"
+
+    hold(t)
+    run.step(t + 29_000_000_000, 100.0, False, quote(), True)
+    assert run.side == 1.0
+    run.step(t + 30_000_000_000, 100.0, False, quote(), True)
+    assert run.side == 0.0 and run.out["n_trades"] == 1 and run.out["forced"] == 0
+    hold(t + 31_000_000_000)
+    run.step(t + 32_000_000_000, 98.0, True, quote(), True)
+    assert run.side == 0.0 and run.out["forced"] == 1 and run.halted
+    run.step(t + 33_000_000_000, 98.0, True, quote(), True)
+    assert run.side == 0.0 and run.policy.traded == []
+    run.step(t + 86_400_000_000_000, 98.0, False, quote(), True)
+    assert not run.halted
+
+
+def test_modes_learn_where_they_should():
+    from tickloom.functions.sequential import Run
+
+    for mode, before, after in (("cold", 0, 1), ("warm", 1, 2), ("frozen", 1, 1)):
+        run, t = Run("C", 1, mode), 10**15
+        for i, test in enumerate((False, True)):
+            if not (mode == "cold" and not test):
+                run.side, run.entry, run.since, run.x, run.action = 1.0, 100.0, t, run.features(t, 100.0, quote()), "Buy"
+            run.step(t + 600_000_000_000, 101.0, False, quote(), test)
+            assert run.policy.models["Buy"].n == (before, after)[i], mode
+        assert run.out["n_trades"] == 1
+
+
+def test_a_policy_that_never_trades_widens_its_posterior():
+    from tickloom.functions.sequential import Policy
+
+    p = Policy(np.random.default_rng(1))
+    for _ in range(99):
+        p.record(False)
+    assert p.inflation == 1.0
+    p.record(False)
+    assert p.inflation == 1.5 and p.models["Hold"].inverse[0, 0] == 1.5
+    for _ in range(30):
+        p.record(True)
+    assert 1.0 < p.inflation < 1.5
+
+
+def test_rows_of_a_split_file_are_numbered_in_order(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text("timestamp,bid,ask\n" + "".join(f"{1_700_000_000 + i},{100 + i}.0,{101 + i}.0\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        raw = quotes.read_csv(spark, str(p))
+        got = raw.select("row", F.col("bid").cast("double").alias("b")).collect()
+        assert sorted(int(r["row"]) for r in got) == list(range(2, 3002)) and all(r["b"] == 98 + r["row"] for r in got)
+        assert quotes.lenient(raw).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -14,32 +14,42 @@ from pyspark.sql import functions as F
 from ..functions.sequential import COLUMNS, adwin_rows, project_rows, simulate_rows, train_rows
 from ..plans.registry import query
 from ..sources.views import ticks
-from .features import features
+from .features import features, regimes, triggers
 
 
-def simulate(t: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row for each symbol and run (seed, mode); runs are dealt over tasks by key and stream through them in order."""
-    x = features(t).withColumn("trigger", (F.abs("obi") > 0.15) & (F.col("open_ms") < 1_200_000))
-    x = x.select("symbol", "seq", "ts_ns", "mid", "spread", "trigger", *COLUMNS)
-    grid = x.select("*", F.explode(F.array(*[F.struct(F.lit(r["seed"]).alias("seed"), F.lit(r["mode"]).alias("mode")) for r in runs.collect()])).alias("r")).select("*", "r.*").drop("r")  # runs are settings, a few rows
-    s = grid.repartition("symbol", "seed", "mode").sortWithinPartitions("symbol", "seed", "mode", "seq")
-    return s.mapInPandas(simulate_rows, "symbol string, seed bigint, mode string, n_trades bigint, profit double, max_drawdown double, rejected bigint")
+def simulate(t: DataFrame, runs: list[tuple[str, int, str]]) -> DataFrame:
+    """One row for each symbol and run (strategy, seed, mode): every quote is shuffled once and passes all runs of its symbol.
+
+    Modes: ``learning`` from the first quote on; ``cold``, ``warm`` and
+    ``frozen`` where ``t`` has a column ``test``: without the quotes before
+    the test, learning on them and on, learning on them only. What is counted
+    is the test. Triggers, features, limits and executions are those of the
+    other operators; a run's own fills feed its features.
+    """
+    x = triggers(regimes(features(t)))
+    test = F.col("test") if "test" in t.columns else F.lit(True)
+    x = x.select("symbol", "seq", "ts_ns", "mid", test.alias("test"), "trigger_a", "trigger_b", "trigger_c", *COLUMNS)
+    s = x.repartition("symbol").sortWithinPartitions("symbol", "seq")
+    return s.mapInPandas(simulate_rows(runs), "symbol string, strategy string, seed bigint, mode string, n_trades bigint, profit double, max_drawdown double, rejected bigint, held bigint, forced bigint")
 
 
 @query()
 def simulate_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Backtests of all symbols by seeds; the same seed gives the same result."""
-    return simulate(ticks(spark, sf_dir), spark.createDataFrame([(s, "learning") for s in (42, 123, 456)], "seed bigint, mode string"))
+    """Backtests of all symbols and strategies by seeds; the same seed gives the same result."""
+    return simulate(ticks(spark, sf_dir), [(s, seed, "learning") for s in "ABC" for seed in (42, 123, 456)])
 
 
 @query()
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirds of the data by modes: learning, or with frozen models."""
-    from pyspark.sql import Window
+    """Each third of the data but the first is tested after the third before it, by modes."""
+    from ..functions.ordered import numbered
 
-    t = ticks(spark, sf_dir).withColumn("third", F.ntile(3).over(Window.partitionBy("symbol").orderBy("seq")))
-    t = t.withColumn("symbol", F.concat_ws("#", "symbol", F.col("third").cast("string"))).drop("third")
-    return simulate(t, spark.createDataFrame([(42, "learning"), (42, "frozen")], "seed bigint, mode string"))
+    t = numbered(ticks(spark, sf_dir), ["symbol"])
+    size = t.groupBy("symbol").agg(F.max("n").alias("all"))
+    t = t.join(size, "symbol").withColumn("third", F.floor((F.col("n") - 1) * 3 / F.col("all")))
+    folds = F.array(*[F.when(F.col("third") == k - 1, F.struct(F.lit(k).alias("fold"), F.lit(False).alias("test"))) for k in (1, 2)], *[F.when(F.col("third") == k, F.struct(F.lit(k).alias("fold"), F.lit(True).alias("test"))) for k in (1, 2)])
+    t = t.withColumn("f", F.explode(F.array_compact(folds))).withColumns({"symbol": F.concat_ws("#", "symbol", F.col("f.fold").cast("string")), "test": F.col("f.test")}).drop("n", "all", "third", "f")
+    return simulate(t, [(s, 42, mode) for s in "ABC" for mode in ("cold", "warm", "frozen")])
 
 
 @query()
@@ -52,7 +62,7 @@ def adwin_online(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def train_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regime weights by one pass of online gradients in order of time."""
-    x = features(ticks(spark, sf_dir)).select("symbol", "seq", "spread_z", "rv", "volatility_ratio")
+    x = features(ticks(spark, sf_dir)).select("symbol", "seq", "spread_z", "obi", "delta_obi", "depth_change_rate", "rv", "volatility_ratio", "volatility_decay", "dynamic_cost", "p_revert", "p_continue", "p_trend", "z_x_rv", "obi_x_rv")
     return x.repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(train_rows, "symbol string, regime bigint, weights array<double>, n bigint")
 
 
