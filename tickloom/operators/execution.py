@@ -87,3 +87,60 @@ def action_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     qb, qs = (F.col("k") - 50) / 100.0, (50 - F.col("seq") % 100) / 100.0
     near = (F.abs(qb - qs) / (F.greatest(F.abs(qb), F.abs(qs)) + 1e-15) < 0.05) & (qb > 0) & (qs > 0)
     return trades(spark, sf_dir).select("strategy", "seq", F.when(near, "Hold").when((qb >= qs) & (qb >= 0), "Buy").when(qs >= 0, "Sell").otherwise("Hold").alias("action"))
+
+
+def _draw(salt: str) -> Column:
+    """A number in (0, 1) that is a hash of the order."""
+    return (F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), F.col("seq").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
+
+
+def _normal(i: int) -> Column:
+    return F.sqrt(-2 * F.log(_draw(f"r{i}"))) * F.cos(2 * 3.141592653589793 * _draw(f"a{i}"))
+
+
+def student_t3() -> Column:
+    """A draw of Student's t with three degrees of freedom: a normal over the root of the mean of three squared ones."""
+    return _normal(0) / F.sqrt(sum((_normal(i) * _normal(i) for i in (1, 2, 3)), F.lit(0.0)) / 3)
+
+
+def fill_price(mid: Column, spread: Column, sell: Column, slip: Column) -> Column:
+    """Across the spread, and worse by the slippage."""
+    return F.when(sell, mid - spread / 2 - slip).otherwise(mid + spread / 2 + slip)
+
+
+_SQL_DRAW = "(('0x' || substr(md5('{}:' || seq), 1, 8))::BIGINT + 0.5) / CAST(4294967296 AS DOUBLE)"
+_SQL_NORMAL = ["sqrt(-2 * ln(" + _SQL_DRAW.format(f"r{i}") + ")) * cos(2 * 3.141592653589793 * " + _SQL_DRAW.format(f"a{i}") + ")" for i in range(4)]
+SAMPLED = EVALUATED + f""", z AS (SELECT *, {", ".join(f"{n} AS z{i}" for i, n in enumerate(_SQL_NORMAL))} FROM e), sl AS (SELECT *, z0 / sqrt((z1 * z1 + z2 * z2 + z3 * z3) / 3) AS t3 FROM z)
+"""
+
+
+@query(SAMPLED + "SELECT seq, round(slip + t3 * CAST(1e-4 AS DOUBLE) * (1 + size * vol), 8) AS slip, round(greatest(0, least(1, 0.98 * look + 0.02 + greatest(t3 * 0.01 + 0.02, 0))), 7) AS fill_probability FROM sl")
+def sampled_slippage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slippage and fill probability with heavy-tailed noise; draws are hashes, so any run gives the same."""
+    x = evaluated(trades(spark, sf_dir)).withColumn("t3", student_t3())
+    p = unit(0.98 * F.col("look") + 0.02 + F.greatest(F.col("t3") * 0.01 + 0.02, F.lit(0.0)))
+    return x.select("seq", F.round(F.col("slip") + F.col("t3") * 1e-4 * (1 + F.col("size") * F.col("vol")), 8).alias("slip"), F.round(p, 7).alias("fill_probability"))
+
+
+@query(EVALUATED + """, u AS (SELECT e.*, ('0x' || substr(md5('fill:' || e.seq), 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE) AS u, t.bid, t.ask FROM e JOIN ticks t ON t.seq = e.seq)
+SELECT seq, CASE WHEN u < effective THEN 'Filled' ELSE 'Rejected' END AS status, round(CASE WHEN u >= effective THEN NULL WHEN sell THEN bid - slip ELSE ask + slip END, 6) AS price, round(0.5 + 2 * u, 3) AS latency_ms, round(effective, 4) AS probability FROM u""")
+def paper_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated fills as a paper account shows them: price across the spread, rounded."""
+    from ..sources.views import ticks
+
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("fill:"), F.col("seq").cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    x = evaluated(trades(spark, sf_dir)).join(ticks(spark, sf_dir).select("seq", "bid", "ask"), "seq").withColumn("u", u)
+    ok = F.col("u") < F.col("effective")
+    price = fill_price((F.col("bid") + F.col("ask")) / 2, F.col("ask") - F.col("bid"), F.col("sell"), F.col("slip"))
+    return x.select("seq", F.when(ok, "Filled").otherwise("Rejected").alias("status"), F.round(F.when(ok, price), 6).alias("price"), F.round(0.5 + 2 * F.col("u"), 3).alias("latency_ms"), F.round("effective", 4).alias("probability"))
+
+
+#: Longest holding of a position by strategy in milliseconds.
+MAX_HOLD_MS = {"A": 30_000, "B": 300_000, "C": 600_000}
+
+
+@query(SQL + "SELECT seq, strategy, k * 7000 AS held_ms FROM trades WHERE k * 7000 >= CASE strategy WHEN 'A' THEN 30000 WHEN 'B' THEN 300000 ELSE 600000 END")
+def max_hold_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions (here held k times seven seconds) that have reached their strategy's longest holding."""
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in MAX_HOLD_MS.items() for x in kv]), F.col("strategy"))
+    return trades(spark, sf_dir).select("seq", "strategy", (F.col("k") * 7000).alias("held_ms")).where(F.col("held_ms") >= most)

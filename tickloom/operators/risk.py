@@ -143,3 +143,13 @@ def weekend_gaps(t: DataFrame, least_ns: int = 43_200_000_000_000) -> DataFrame:
     local = lambda c: F.weekday(F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col(c) / 1000)), ZONE))
     x = t.select("symbol", "seq", "ts_ns", F.lag("ts_ns").over(w).alias("before"))
     return x.where((local("before") <= 4) & (local("ts_ns") == 0) & (F.col("ts_ns") - F.col("before") >= least_ns)).select("symbol", "seq", (F.col("ts_ns") - F.col("before")).alias("gap_ns"))
+
+
+@query(PERIODS + f""", h AS (SELECT strategy, seq, {", ".join(f"max(CASE WHEN {p}_pnl_c < {c} THEN 1 ELSE 0 END) OVER (PARTITION BY strategy, {p} ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) = 1 AS {p}_halted" for p, c in (("day", DAILY_C), ("week", WEEKLY_C), ("month", MONTHLY_C)))} FROM pp) SELECT * FROM h""")
+def halt_latches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halts of the day, the week and the month, each on until its key changes: from the first trade of the period that passes its limit on."""
+    x = period_profit(trades(spark, sf_dir))
+    for p, c in (("day", DAILY_C), ("week", WEEKLY_C), ("month", MONTHLY_C)):
+        first = x.where(F.col(f"{p}_pnl_c") < c).groupBy("strategy", p).agg(F.min("seq").alias(f"{p}_from"))
+        x = x.join(first, ["strategy", p], "left").withColumn(f"{p}_halted", F.coalesce(F.col("seq") >= F.col(f"{p}_from"), F.lit(False)))
+    return x.select("strategy", "seq", "day_halted", "week_halted", "month_halted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import asof, frame_sums, haloed, numbered, running
+from ..functions.ordered import asof, frame_sums, haloed, numbered, recent, running, running_max
 from ..functions.sequential import ema_fold
 from ..plans.registry import query
 from ..sources.views import SQL, decisions, ticks, trades
@@ -154,3 +154,22 @@ def exec_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir).select("lp_id", "ts_ns", "seq", (F.col("k") < 90).cast("double").alias("x"))
     x = t.repartition("lp_id").sortWithinPartitions("lp_id", "ts_ns", "seq")
     return x.mapInPandas(ema_fold(0.1), "lp_id string, seq bigint, ema double").withColumn("ema", F.round("ema", 9))
+
+
+@query(SQL + """, g AS (SELECT symbol, seq, seq - lag(seq) OVER (PARTITION BY symbol ORDER BY seq) - 1 AS gap FROM ticks) SELECT symbol, seq, max(CASE WHEN gap >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) = 1 AS halted FROM g""")
+def gap_halt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a severe gap (here forty missing) a stream stays halted."""
+    x = haloed(numbered(ticks(spark, sf_dir).select("symbol", "seq"), ["symbol"]), halo=1)
+    gap = F.col("seq") - F.lag("seq").over(Window.partitionBy("symbol", "chunk").orderBy("n")) - 1
+    x = x.withColumn("severe", F.coalesce((gap >= 40).cast("int"), F.lit(0))).where("own").drop("chunk", "own")
+    return running_max(x, ["symbol"], "severe", "halted").select("symbol", "seq", (F.col("halted") == 1).alias("halted"))
+
+
+@query(SQL + """, i AS (SELECT symbol, seq, ts_ns, CAST(ts_ns - lag(ts_ns) OVER (PARTITION BY symbol ORDER BY seq) AS DOUBLE) AS d FROM ticks), z AS (SELECT *, count(d) OVER w AS n, (d - avg(d) OVER w) / stddev_samp(d) OVER w AS z FROM i WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 2000 PRECEDING AND 1 PRECEDING)),
+a AS (SELECT ts_ns FROM z WHERE n >= 100 AND abs(z) > 3) SELECT t.symbol, t.seq, count(*) AS anomalies FROM ticks t JOIN a ON a.ts_ns BETWEEN t.ts_ns - 60000000000 AND t.ts_ns GROUP BY ALL""")
+def kill_switch_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes on which orders are masked: an anomaly of any symbol lies within the mask before them (here a minute)."""
+    t = ticks(spark, sf_dir)
+    bad = tick_interval_anomaly(spark, sf_dir).join(t.select("symbol", "seq", "ts_ns"), ["symbol", "seq"])
+    x = recent(t.select("symbol", "seq", "ts_ns"), bad, {"anomalies": F.lit(1)}, 60_000_000_000)
+    return x.where("anomalies > 0").select("symbol", "seq", F.col("anomalies").cast("bigint").alias("anomalies"))
