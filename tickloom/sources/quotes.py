@@ -143,9 +143,8 @@ def timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + ", m AS (SELECT min(ts_ns) AS a, max(ts_ns) AS b FROM ticks) SELECT symbol, seq, ts_ns FROM ticks, m WHERE ts_ns BETWEEN a + (b - a) // 4 AND a + (b - a) // 2")
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of an inclusive time range; the bounds are literals when the scan runs."""
-    t = ticks(spark, sf_dir)
-    a, b = t.agg(F.min("ts_ns"), F.max("ts_ns")).first()
-    return t.where(F.col("ts_ns").between(a + (b - a) // 4, a + (b - a) // 2)).select("symbol", "seq", "ts_ns")
+    a, b = ticks(spark, sf_dir).agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    return ticks(spark, sf_dir, a + (b - a) // 4, a + (b - a) // 2).select("symbol", "seq", "ts_ns")
 
 
 @query(SQL + "SELECT symbol, seq FROM ticks WHERE seq >= 500 ORDER BY symbol, seq")

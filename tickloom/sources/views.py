@@ -14,8 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str, low_ns: int | None = None, high_ns: int | None = None) -> DataFrame:
     e = table(spark, sf_dir, "events")
+    kind = e.schema["ts"].dataType.simpleString()
+    at = lambda us: F.timestamp_micros(F.lit(us)).cast(kind)
+    if low_ns is not None:  # on the stored column, so that the scan prunes
+        e = e.where(F.col("ts") >= at(-(-low_ns // 1000)))
+    if high_ns is not None:
+        e = e.where(F.col("ts") <= at(high_ns // 1000))
     return e.select(
         "event_id", "user_id", "event_type",
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"),
@@ -24,10 +30,10 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes: symbol, seq, ts_ns, bid, ask, bid_size, ask_size."""
+def ticks(spark: SparkSession, sf_dir: str, low_ns: int | None = None, high_ns: int | None = None) -> DataFrame:
+    """Quotes (of a range of time, both ends included): symbol, seq, ts_ns, bid, ask, bid_size, ask_size."""
     mid, half = F.lit(100) + F.col("c") / 10000.0, (F.lit(1) + F.col("event_id") % 7) / 1000.0
-    return _base(spark, sf_dir).select(
+    return _base(spark, sf_dir, low_ns, high_ns).select(
         F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), "ts_ns", (mid - half).alias("bid"), (mid + half).alias("ask"),
         (1000 * (1 + F.col("k"))).cast("double").alias("bid_size"), (1000 * (1 + F.col("event_id") % 50)).cast("double").alias("ask_size"),
     )
