@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: A value of few digits may stand right between two rounded ones, where engines differ by their last bit; taken times this it doesn't.
+HAIR = 1.0000000001
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
