@@ -18,7 +18,7 @@ from .common import discard, materialize, text_or_empty
 #: Largest relative error of a margin at which raking ends; a power below 1 moves a margin's own shares toward equal ones; share of all tokens to keep.
 TOLERANCE, FLATTEN, KEEP = 1e-9, 0.7, 0.5
 #: Raking also ends where a round leaves more than this share of the error: then the targets can't be met together.
-SLOW = 0.999
+SLOW = 0.98
 MARGINS = ("source", "lang", "topic")
 NONE = "(none)"
 
