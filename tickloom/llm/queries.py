@@ -84,6 +84,24 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(read(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytebpe import digests
+
+    return digests(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(read(spark, sf_dir, "documents"))
+
+
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import damaged, structure
+
+    return structure(damaged(read(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
