@@ -128,7 +128,7 @@ def topic(text):
 
 
 def brute_mix(rows, keep=0.5):
-    """(doc_id, text, lang, source) -> probability and fate of each row, by raking in numpy until the margins agree or come no nearer."""
+    """(doc_id, text, lang, source) -> probability and fate of each row, by plain raking in numpy until the margins agree."""
     cells = collections.Counter()
     keyed = []
     for doc, text, lang, source in rows:
@@ -147,8 +147,7 @@ def brute_mix(rows, keep=0.5):
             own[k[i]] += x
         p = {v: x**mixing.FLATTEN for v, x in own.items() if x > 0}
         margins.append({v: x / sum(p.values()) for v, x in p.items()})
-    last, error = math.inf, 0.0
-    while True:
+    for _ in range(100_000):
         error = 0.0
         for i, goal in enumerate(margins):
             have = collections.Counter()
@@ -156,9 +155,8 @@ def brute_mix(rows, keep=0.5):
                 have[k[i]] += x
             error = max([error, *(abs(1 - have[v] / (g * total)) for v, g in goal.items())])
             w = np.array([y * (goal[k[i]] * total / have[k[i]] if k[i] in goal and have[k[i]] > 0 else 1) for k, y in zip(keys, w, strict=True)])
-        if error <= mixing.TOLERANCE or error > mixing.SLOW * last:
+        if error <= mixing.TOLERANCE:
             break
-        last = error
     w *= total / (t * w).sum()
     low, high = 0.0, 1 / w[t > 0].min()
     for _ in range(200):
@@ -184,6 +182,62 @@ def test_mix_equals_plain_raking(spark):
     assert got == want and out.first()["residual"] <= mixing.TOLERANCE
 
 
+def plain_rake(cells, goals, rounds=300_000):
+    """Weights of (a, x) -> tokens by raking alone, without any stop but agreement."""
+    keys, t = list(cells), np.array(list(cells.values()), float)
+    w, index = np.ones(len(keys)), [[sorted(g).index(k[i]) for k in keys] for i, g in enumerate(goals)]
+    aim = [np.array([g[v] for v in sorted(g)]) * t.sum() for g in goals]
+    for _ in range(rounds):
+        error = 0.0
+        for at, goal in zip(index, aim, strict=True):
+            f = goal / np.bincount(at, t * w, len(goal))
+            error, w = max(error, np.abs(1 - 1 / f).max()), w * f[at]
+        if error <= mixing.TOLERANCE:
+            break
+    return dict(zip(keys, w, strict=True)), error
+
+
+@pytest.mark.parametrize("case", ["tied", "chain"])
+def test_slow_raking_reaches_the_targets(spark, case):
+    if case == "tied":
+        cells, goals = {("a", "x"): 1_000_000, ("a", "y"): 100, ("b", "x"): 100, ("b", "y"): 1_000_000}, ({"a": 0.6, "b": 0.4}, {"x": 0.5, "y": 0.5})
+    else:
+        rng = random.Random(4)
+        cells = {(f"s{i}", f"l{j}"): rng.randrange(1, 9) * (100_000 if i == j else 1_000 if abs(i - j) == 1 else 1) for i in range(6) for j in range(6)}
+        goals = ({f"s{i}": (i + 1) / 21 for i in range(6)}, {f"l{i}": (6 - i) / 21 for i in range(6)})
+    check_raked(spark, cells, goals, mixing.ROUNDS, mixing.TOLERANCE)
+
+
+def test_targets_that_need_a_zero_are_approached(spark):
+    cells, goals = {("a", "x"): 5, ("a", "y"): 5, ("b", "y"): 5}, ({"a": 0.5, "b": 0.5}, {"x": 0.5, "y": 0.5})
+    check_raked(spark, cells, goals, 40, 0.02)
+
+
+def check_raked(spark, cells, goals, rounds, most):
+    frame = spark.createDataFrame([(*k, n) for k, n in cells.items()], "s string, l string, tokens long")
+    fitted, error = mixing.rake(frame, {m: spark.createDataFrame(sorted(g.items()), f"{m} string, target double") for m, g in zip("sl", goals, strict=True)}, rounds=rounds)
+    got = {(r["s"], r["l"]): r["weight"] for r in fitted.collect()}
+    total = sum(cells.values())
+    for i, goal in enumerate(goals):
+        for v, aim in goal.items():
+            assert abs(sum(cells[k] * w for k, w in got.items() if k[i] == v) / total / aim - 1) < 3 * most
+    assert error <= most
+    if most <= mixing.TOLERANCE:
+        want, rest = plain_rake(cells, goals)
+        scale = sum(cells[k] * want[k] for k in cells) / total
+        assert rest <= 1e-6 and all(abs(got[k] * scale / want[k] - 1) < 1e-5 for k in cells)
+
+
+def test_values_without_target_keep_their_share(spark):
+    cells = spark.createDataFrame([("a", "x", 50), ("b", "x", 20), ("c", "y", 30), ("d", "y", 0)], "s string, l string, tokens long")
+    goals = {"s": spark.createDataFrame([("a", 0.2), ("b", 0.2), ("nowhere", 0.6)], "s string, target double")}
+    got = {r["s"]: r["tokens"] * r["weight"] for r in mixing.rake(cells, goals)[0].collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {"a": 35, "b": 35, "c": 30, "d": 0}
+    zero = {"s": spark.createDataFrame([("a", 0.0), ("b", 0.5), ("c", 0.5)], "s string, target double")}
+    got = {r["s"]: r["tokens"] * r["weight"] for r in mixing.rake(cells, zero)[0].collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {"a": 0, "b": 25, "c": 25, "d": 0}
+
+
 def test_targets_that_cannot_be_met_end_raking(spark):
     rows = [(i, prose(random.Random(i), 60), "en" if i % 2 else "de", "x" if i % 2 else "y") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")

@@ -40,7 +40,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     out = mix(read(spark, sf_dir, "documents"), keep=0.5)
-    return out.drop("residual").withColumns({x: F.round(x, 6) for x in ("weight", "probability")})
+    return out.withColumns({x: F.round(x, 6) for x in ("weight", "probability", "residual")})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +123,9 @@ w0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS
         f"""v AS (SELECT source, lang, topic, tokens, weight * n / (SELECT sum(tokens * weight) FROM w{k}) AS weight FROM w{k}, tot),
 c AS (SELECT *, row_number() OVER o AS i, sum(tokens) OVER o AS sat, lead(weight) OVER o AS nxt FROM v WHERE tokens > 0 WINDOW o AS (ORDER BY weight DESC, source, lang, topic)), f AS (SELECT max(weight) AS top, sum(tokens * weight) AS tw FROM v WHERE tokens > 0),
 s AS (SELECT *, sum(tokens * weight) OVER (ORDER BY i) AS sw FROM c), r AS (SELECT {keep} * n / tw AS rate FROM f, tot WHERE {keep} * n / tw * top <= 1 UNION ALL SELECT ({keep} * n - sat) / (tw - sw) FROM s, f, tot WHERE nxt IS NOT NULL AND ({keep} * n - sat) / (tw - sw) * nxt <= 1 AND ({keep} * n - sat) / (tw - sw) * weight > 1),
+e AS ({" UNION ALL ".join(f"SELECT max(abs(have / (target * n) - 1)) AS e FROM (SELECT {m}, sum(tokens * weight) AS have FROM w{k} GROUP BY {m}) JOIN g_{m} USING ({m}), tot" for m in ("source", "lang", "topic"))}),
 p AS (SELECT source, lang, topic, weight, least(1, (SELECT min(rate) FROM r) * weight) AS p FROM v)
-SELECT doc_id, b.source, b.lang, b.topic, n_tokens, round(weight, 6) AS weight, round(CASE WHEN n_tokens > 0 THEN p ELSE 0 END, 6) AS probability, n_tokens > 0 AND ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE) < p AS sampled FROM b JOIN p USING (source, lang, topic)"""
+SELECT doc_id, b.source, b.lang, b.topic, n_tokens, round(weight, 6) AS weight, round(CASE WHEN n_tokens > 0 THEN p ELSE 0 END, 6) AS probability, n_tokens > 0 AND ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / CAST(4294967296 AS DOUBLE) < p AS sampled, (SELECT round(coalesce(max(e), 0), 6) FROM e) AS residual FROM b JOIN p USING (source, lang, topic)"""
     )
     return "WITH " + ",\n".join(parts)
 
