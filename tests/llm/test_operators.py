@@ -604,3 +604,62 @@ def test_a_host_of_copies_keeps_its_text(spark):
     page = "<html><body><div><p>The one text of this host</p></div></body></html>"
     got = webtext.extract(spark.createDataFrame([(i, "http://a/", page) for i in range(9)], "page_id long, url string, html string")).collect()
     assert [r["text"] for r in got] == ["The one text of this host"] * 9
+
+
+# different texts of one id, and equal rows
+
+
+def shared(spark):
+    rng = random.Random(31)
+    a, b = prose(rng, 120), prose(rng, 120)
+    return a, b, [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, prose(rng, 90)), (4, prose(rng, 90))]
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, rows = shared(spark)
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    got = sorted((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+    assert sorted(r["k"] for r in neardup.keep_one(docs).collect()) == [0, 1, 4, 5]
+
+
+def test_one_text_stays_of_a_class_that_shares_its_id(spark):
+    a, _, _ = shared(spark)
+    rows = [(1, a, 0), (1, a + " more", 1), (1, a, 2), (2, a + " other", 3), (3, None, 4), (3, "", 5), (None, a, 6)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(3)).collect()
+        ids = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in kept)
+        assert ids == [-1, 1, 3]
+        keys = {r["k"] for r in kept}
+        assert seed == 0 or keys == last
+        last = keys
+
+
+def brute_shared(rows, least=0.8):
+    low = brute_classes([t for _, t in rows], least)
+    return [min(d for (d, _), c in zip(rows, low, strict=True) if c == own) for own in low]
+
+
+def test_classes_with_shared_ids_equal_brute_force(spark):
+    rng = random.Random(32)
+    base = [prose(rng, 60) for _ in range(6)]
+    rows = [(rng.randrange(12), edited(rng, rng.choice(base), rng.randrange(3))) for _ in range(50)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    want = sorted((d, c) for (d, _), c in zip(rows, brute_shared(rows), strict=True))
+    assert sorted((r["doc_id"], r["class_id"]) for r in neardup.near_duplicates(docs).collect()) == want
+    assert len(neardup.keep_one(docs).collect()) == len(set(brute_classes([t for _, t in rows])))
+
+
+def test_many_equal_rows_are_cut_in_linear_time(spark):
+    import time
+
+    rng = random.Random(33)
+    text, took = prose(rng, 400), []
+    for n in (200, 5000):
+        docs = spark.createDataFrame([(7, text)], "doc_id long, text string").crossJoin(spark.range(n)).select("doc_id", "text")
+        began = time.time()
+        out = suffixdedup.digest(docs).groupBy("n_removed", "n_bytes", "n_spans").count().collect()
+        took.append(time.time() - began)
+        assert [tuple(r) for r in out] == [(len(text), len(text), 1, n)]
+    assert took[1] < 8 * took[0]

@@ -272,29 +272,24 @@ def _ordered(df: DataFrame) -> DataFrame:
     return df.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Classes of near-duplicates among documents (doc_id, text).
+def _classed(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The documents with an id, in classes: doc_id, f1, f2 (the text's fingerprints), copy_of, class_id and component, a number of the class; and the input with a bigint id and no null text.
 
-    Returns a row for each input row: doc_id, copy_of (smallest doc_id with the
-    same shingles), class_id (smallest doc_id of its component of links), kept
-    (doc_id = class_id). A null text is empty. Texts without words are copies
-    only of texts with the same bytes; texts under five words are one shingle.
-    Rows without doc_id link with nothing (class null, kept). Repeated rows
-    have one class; different texts that share a doc_id are one node. An empty
-    table gives no rows; other columns are not read. Texts of any length are
-    worked whole.
+    Nodes are numbered texts (multisets of shingles), not ids, so different
+    texts that share an id link each by itself.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), text_or_empty().alias("text"))
     sig = materialize(signatures(docs.where("doc_id is not null")), "dup-signatures")
-    ids = materialize(sig.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "dup-reps")
+    ids = materialize(sig.groupBy("f1", "f2").agg(F.min("doc_id").alias("low")).withColumn("rep", F.monotonically_increasing_id()), "dup-reps")
     own = sig.join(ids, ["f1", "f2"])
     banded = materialize(
-        own.where("doc_id = rep").select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key")).distinct(), "dup-bands"
+        own.where("doc_id = low").select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("key")).distinct(), "dup-bands"
     )
     buckets = materialize(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1"), "dup-buckets")
     member = materialize(join_hot(banded, buckets, ["key"], ["rep"]).select("key", "rep"), "dup-members")
-    wanted = member.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(_sets(docs.join(wanted, "doc_id")).join(ids.select("f1", "f2", F.col("rep").alias("doc_id")), ["f1", "f2", "doc_id"]).dropDuplicates(["doc_id"]).select("doc_id", "sh", "n"), "dup-sets")
+    wanted = ids.join(member.select("rep").distinct(), "rep").select(F.col("low").alias("doc_id"), "f1", "f2", "rep")
+    some = _sets(docs.join(wanted.select("doc_id").distinct(), "doc_id")).join(wanted, ["f1", "f2", "doc_id"])
+    sets = materialize(some.dropDuplicates(["rep"]).select(F.col("rep").alias("doc_id"), "sh", "n"), "dup-sets")
     discard(banded)
 
     at = member.withColumn("component", F.col("rep"))
@@ -323,9 +318,27 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     comp = components(now, "dup-cc")
     for old in (at, mixed, found, now):
         discard(old)
-    out = sig.select("doc_id", "f1", "f2").join(ids, ["f1", "f2"]).join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    out = out.select("doc_id", F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("class_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    names = ids.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("f1", "f2", "low", F.coalesce("component", "rep").alias("component"))
+    lows = names.groupBy("component").agg(F.min("low").alias("class_id"))
+    out = sig.select("doc_id", "f1", "f2").join(names.join(lows, "component"), ["f1", "f2"])
+    return out.select("doc_id", "f1", "f2", F.col("low").alias("copy_of"), "class_id", "component"), docs
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """Classes of near-duplicates among documents (doc_id, text).
+
+    Returns a row for each input row: doc_id, copy_of (smallest doc_id with the
+    same shingles), class_id (smallest doc_id of its component of links), kept
+    (doc_id = class_id). A null text is empty. Texts without words are copies
+    only of texts with the same bytes; texts under five words are one shingle.
+    Rows without doc_id link with nothing (class null, kept). Repeated rows
+    have one class; different texts that share a doc_id are documents of their
+    own, so each has its own class, though two classes may then have one
+    smallest doc_id. An empty table gives no rows; other columns are not read.
+    Texts of any length are worked whole.
+    """
+    classed, docs = _classed(docs, least)
+    out = classed.select("doc_id", "copy_of", "class_id").withColumn("kept", F.col("doc_id") == F.col("class_id"))
     lost = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("bigint").alias("copy_of"), F.lit(None).cast("bigint").alias("class_id"), F.lit(True).alias("kept"))
     return out.unionByName(lost)
 
@@ -333,10 +346,21 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """The documents, all columns, of which one of each class stays: that with the smallest doc_id.
 
-    Of repeated rows with one doc_id one stays; rows without doc_id stay all.
+    Different texts that share a doc_id are documents of their own. Where rows
+    of a class share its smallest doc_id, one text of them stays: the one of
+    least fingerprint, then the least text, then the least row by its hash.
+    Rows without doc_id stay all; a null text is empty and stays null; texts of
+    any length are compared whole; an empty table gives an empty one.
     """
-    classes = materialize(near_duplicates(docs.select("doc_id", "text"), least).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")), "dup-kept")
-    kept = docs.join(classes.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if classes.where("times > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+    classed = materialize(_classed(docs, least)[0], "dup-classed")
+    chosen = materialize(classed.groupBy("component").agg(F.min(F.struct("doc_id", "f1", "f2")).alias("k")).select("k.*"), "dup-chosen")
+    shared = materialize(classed.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1"), "dup-shared")
+    kept = docs.join(chosen.join(shared, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    if shared.limit(1).count():
+        rows = docs.join(shared.join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id"), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+        rows = materialize(rows.withColumns({"id": F.monotonically_increasing_id(), "hash": F.xxhash64("row")}), "dup-rows")
+        prints = signatures(rows.select(F.col("id").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))).select(F.col("doc_id").alias("id"), "f1", "f2")
+        own = rows.select("id", "hash", F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").alias("text"))
+        one = own.join(prints, "id").join(chosen, ["doc_id", "f1", "f2"]).groupBy("doc_id", "f1", "f2").agg(F.min(F.struct("text", "hash", "id")).alias("least")).select("least.id")
+        kept = kept.unionByName(rows.join(one, "id", "left_semi").select("row.*"))
     return kept.unionByName(docs.where("doc_id is null"))

@@ -381,7 +381,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry
     more = kinds.where("n > 1").select("g", "u", "v", "n")
     again = join_hot(met.where("not alike"), more, ["g", "u", "v"], [*KEY, "pos"]).select(*KEY, "pos", "left", "right")
     full = met.where("alike").select(*KEY, "pos", "left", "right").union(again)
-    full = full.groupBy(*KEY).agg(F.collect_list(F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + gram + F.col("right")).alias("hi"))).alias("full"))
+    full = full.groupBy(*KEY).agg(F.collect_set(F.struct((F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + gram + F.col("right")).alias("hi"))).alias("full"))
     wanted = join_hot(kinds, crowd, ["g"], [*KEY, "pos"], "all").groupBy(*KEY).agg(F.collect_list(F.struct("g", "n", "pos", "left", "right", "crowd")).alias("wanted"))
     notes = materialize(full.join(wanted, KEY, "full"), "sfx-notes")
     for old in (met, grams, kinds, crowd):
