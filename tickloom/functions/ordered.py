@@ -3,17 +3,24 @@
 A row number comes from counts of sequence buckets and a carried offset; finite
 frames work on chunks of rows with a halo of the rows before; running values
 combine a chunk's own value with what the chunks before carry; an as-of join
-works within a stretch of time and takes the last state of earlier stretches.
+works within a stretch of time and takes the last state of earlier stretches;
+what is a fold by nature is composed: each chunk of steps is one step, those
+are scanned in the same way, and the chunk is replayed from its entry state.
 The windows over whole keys that remain see one row for each chunk.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Sequence numbers of a bucket that is numbered at once; rows of a chunk and of the halo before it; nanoseconds of a stretch of an as-of join; rows of a block of an exponential mean.
 BUCKET, CHUNK, HALO, STRETCH, BLOCK = 1 << 16, 4096, 640, 86_400_000_000_000, 256
+#: Steps of a chunk that is composed and replayed as an array; longest block of an exponential mean; what is left of a block that doubles no longer see, and the largest power they hold, as logarithms.
+FAN, LONGEST, UNSEEN, LARGEST = 128, 1 << 16, 39.0, 600.0
 
 
 def numbered(df: DataFrame, keys: list[str], seq: str = "seq", bucket: int = BUCKET) -> DataFrame:
@@ -62,21 +69,55 @@ def carried_max(rows: DataFrame, keys: list[str], col: str) -> DataFrame:
     return each.select(*keys, "chunk", F.max("__m").over(Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
 
 
-def asof(left: DataFrame, right: DataFrame, cols: list[str], ts: str = "ts_ns", seq: str = "seq", stretch: int = STRETCH) -> DataFrame:
-    """Left rows with the columns ``cols`` of the last right row at or before them (null if none)."""
-    day = F.floor(F.col(ts) / stretch)
+def asof(left: DataFrame, right: DataFrame, cols: list[str], ts: str = "ts_ns", seq: str = "seq", stretch: int = STRETCH, by: Sequence[str] = ()) -> DataFrame:
+    """Left rows with the columns ``cols`` of the last right row of their key ``by`` at or before them (null if none).
+
+    Both sides meet by key and stretch of time; what a stretch begins with is
+    the last state of the key's earlier stretches, one row for each of them.
+    """
+    by, day = list(by), F.floor(F.col(ts) / stretch)
     state = F.struct(*cols)
     u = left.withColumns({"__day": day, "__kind": F.lit(1), "__state": F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType)})
-    v = right.select(F.col(ts), F.col(seq), day.alias("__day"), F.lit(0).alias("__kind"), state.alias("__state"))
-    ends = v.groupBy("__day").agg(F.max_by("__state", F.struct(ts, seq)).alias("__end"))
-    days = left.select(day.alias("__day")).distinct().join(ends, "__day", "full")
-    days = days.select("__day", F.last("__end", True).over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    v = right.select(*by, F.col(ts), F.col(seq), day.alias("__day"), F.lit(0).alias("__kind"), state.alias("__state"))
+    ends = v.groupBy(*by, "__day").agg(F.max_by("__state", F.struct(ts, seq)).alias("__end"))
+    days = left.select(*by, day.alias("__day")).distinct().join(ends, [*by, "__day"], "full")
+    days = days.select(*by, "__day", F.last("__end", True).over(Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     x = u.unionByName(v, allowMissingColumns=True)
-    x = x.withColumn("__own", F.last("__state", True).over(Window.partitionBy("__day").orderBy(ts, "__kind", seq).rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.where("__kind = 1").join(days, "__day", "left").withColumn("__at", F.coalesce("__own", "__before"))
+    x = x.withColumn("__own", F.last("__state", True).over(Window.partitionBy(*by, "__day").orderBy(ts, "__kind", seq).rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.where("__kind = 1").join(days, [*by, "__day"], "left").withColumn("__at", F.coalesce("__own", "__before"))
     return x.select(*left.columns, *[F.col(f"__at.{c}").alias(c) for c in cols])
 
 
+def scan(df: DataFrame, keys: list[str], step: Column, then: Callable[[Column, Column], Column], move: Callable[[Column, Column], Column], start: Column, fan: int = FAN) -> DataFrame:
+    """Numbered rows with ``before`` and ``after``, the states that their key is in, from ``start`` on.
+
+    ``step`` is what a row does to the state, as a value that composes:
+    ``then(f, g)`` is f followed by g, ``move(state, f)`` the state after f. A
+    chunk of ``fan`` steps is composed to one; those steps are scanned in the
+    same way, which gives each chunk's entry state; then it is replayed. No
+    task sees more than a chunk of a key, and all is columns.
+    """
+    size = df.agg(F.max("n")).first()[0] or 0
+    row = F.struct(*df.columns)
+    return _scanned(df.select(*keys, "n", row.alias("__row"), step.alias("__step")), keys, then, move, start, fan, size).select(*[F.col(f"__row.{c}").alias(c) for c in df.columns], "before", "after")
+
+
+def _scanned(x: DataFrame, keys: list[str], then, move, start: Column, fan: int, size: int) -> DataFrame:
+    chunk = F.floor((F.col("n") - 1) / fan).alias("__chunk")
+    lists = x.groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(F.struct("n", "__row", "__step"))).alias("__rows"))
+    if size > fan:
+        rest = F.slice("__rows", 2, fan)
+        whole = F.aggregate(rest, F.element_at("__rows", 1)["__step"], lambda acc, r: then(acc, r["__step"]))
+        sums = lists.select(*keys, (F.col("__chunk") + 1).alias("n"), F.lit(0).alias("__row"), whole.alias("__step"))
+        entry = _scanned(sums, keys, then, move, start, fan, -(-size // fan)).select(*keys, (F.col("n") - 1).alias("__chunk"), F.col("before").alias("__entry"))
+        lists = lists.join(entry, [*keys, "__chunk"])
+    else:
+        lists = lists.withColumn("__entry", start)
+    states = F.aggregate("__rows", F.array("__entry"), lambda acc, r: F.array_append(acc, move(F.element_at(acc, -1), r["__step"])))
+    out = lists.select(*keys, "__rows", states.alias("__states")).select(*keys, F.explode(F.arrays_zip("__rows", F.slice("__states", 1, F.size("__rows")).alias("__from"), F.slice("__states", 2, F.size("__rows")).alias("__to"))).alias("__z"))
+    return out.select(*keys, F.col("__z.__rows.n").alias("n"), F.col("__z.__rows.__row").alias("__row"), F.col("__z.__from").alias("before"), F.col("__z.__to").alias("after"))
+
+
 def recent(left: DataFrame, right: DataFrame, sums: dict[str, Column], span: int, ts: str = "ts_ns") -> DataFrame:
     """Left rows with sums over the right rows of the last ``span`` nanoseconds (both ends included).
 
@@ -91,18 +132,23 @@ def recent(left: DataFrame, right: DataFrame, sums: dict[str, Column], span: int
     return x.where("__kind = 1").select(*left.columns, *sums)
 
 
-def ema(df: DataFrame, keys: list[str], cols: dict[str, tuple[str, float]], alpha: float, block: int = BLOCK) -> DataFrame:
-    """Exponential means e += alpha (x - e) of numbered rows: name -> (column, start).
+def ema(df: DataFrame, keys: list[str], cols: dict[str, tuple[str, float]], alpha: float, block: int | None = None) -> DataFrame:
+    """Exponential means e += alpha (x - e) of numbered rows: name -> (column, start); alpha between 0 and 1.
 
     Within a block by running sums; what blocks before leave weighs
-    (1 - alpha) ** block each; with a block long enough three of them are all that
-    doubles can see.
+    (1 - alpha) ** block each. The block is as long as alpha allows without
+    overflow, and as many blocks are carried as doubles can see.
     """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
     keep = 1 - alpha
+    loss = -math.log1p(-alpha)  # of a row, as a logarithm
+    block = max(1, min(block or max(BLOCK, math.ceil(UNSEEN / 3 / loss)), LONGEST, int(LARGEST / loss)))
+    carried = math.ceil(UNSEEN / (loss * block))
     i = F.col("__i")
     x = df.withColumns({"__block": F.floor((F.col("n") - 1) / block), "__i": (F.col("n") - 1) % block + 1})
     ends = x.groupBy(*keys, "__block").agg(*[F.sum(alpha * F.pow(F.lit(keep), block - i) * F.col(c)).alias(f"__end_{o}") for o, (c, _) in cols.items()])
-    ends = ends.withColumn("__d", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    ends = ends.withColumn("__d", F.explode(F.sequence(F.lit(1), F.lit(carried))))
     carry = ends.groupBy(*keys, (F.col("__block") + F.col("__d")).alias("__block")).agg(*[F.sum(F.col(f"__end_{o}") * F.pow(F.lit(keep), block * (F.col("__d") - 1))).alias(f"__carry_{o}") for o in cols])
     w = Window.partitionBy(*keys, "__block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     x = x.join(carry, [*keys, "__block"], "left")

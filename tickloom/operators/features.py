@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import carried_max, frame_sums, haloed, numbered
-from ..plans.registry import HAIR, query
+from ..plans.registry import query, settled, settled_sql
 from ..sources.views import SQL, ticks, trades
 
 SPREAD_WINDOW, VOL_SHORT, VOL_LONG, EPS = 200, 100, 500, 1e-10
@@ -140,14 +140,14 @@ def trade_intensity_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FEATURES + """, pos AS (SELECT *, (seq % 5 - 2) * 1000 AS pos, seq % 700 AS hold FROM f)
 SELECT symbol, seq, round(CASE WHEN bid_size > 0 THEN least(abs(pos) / bid_size, 1) ELSE 0 END, 8) AS queue_position, round(abs(pos) / 1000.0 * rv, 8) AS self_impact, round(CASE WHEN hold <= 0 THEN 1 ELSE exp(-0.01 * hold) END, 8) AS time_decay,
- round(spread_z * obi, 6) AS a_z_obi, round(rv * obi, 8) AS b_rv_obi, round(obi * least(open_ms / CAST(1000000 AS DOUBLE), 60) * 1.0000000001, 9) AS c_obi_open FROM pos""")
+ round(spread_z * obi, 6) AS a_z_obi, round(rv * obi, 8) AS b_rv_obi, """ + settled_sql("obi * least(open_ms / CAST(1000000 AS DOUBLE), 60)", 9) + """ AS c_obi_open FROM pos""")
 def position_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queue position, self impact, time decay and strategy extras for a given position."""
     x = features(ticks(spark, sf_dir)).withColumns({"pos": (F.col("seq") % 5 - 2) * 1000, "hold": F.col("seq") % 700})
     return x.select(
         "symbol", "seq", F.round(F.when(F.col("bid_size") > 0, F.least(F.abs("pos") / F.col("bid_size"), F.lit(1.0))).otherwise(0.0), 8).alias("queue_position"),
         F.round(F.abs("pos") / 1000.0 * F.col("rv"), 8).alias("self_impact"), F.round(F.when(F.col("hold") <= 0, 1.0).otherwise(F.exp(-0.01 * F.col("hold"))), 8).alias("time_decay"),
-        F.round(F.col("spread_z") * F.col("obi"), 6).alias("a_z_obi"), F.round(F.col("rv") * F.col("obi"), 8).alias("b_rv_obi"), F.round(F.col("obi") * F.least(F.col("open_ms") / 1000000.0, F.lit(60.0)) * HAIR, 9).alias("c_obi_open"),
+        F.round(F.col("spread_z") * F.col("obi"), 6).alias("a_z_obi"), F.round(F.col("rv") * F.col("obi"), 8).alias("b_rv_obi"), settled(F.col("obi") * F.least(F.col("open_ms") / 1000000.0, F.lit(60.0)), 9).alias("c_obi_open"),
     )
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequential import COLUMNS, adwin_rows, project_rows, simulate_rows, train_rows
+from ..functions.sequential import COLUMNS, adwin_rows, simulate_rows, train_rows
 from ..plans.registry import query
 from ..sources.views import ticks
 from .features import features, regimes, triggers
@@ -65,11 +65,3 @@ def train_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = features(ticks(spark, sf_dir)).select("symbol", "seq", "spread_z", "obi", "delta_obi", "depth_change_rate", "rv", "volatility_ratio", "volatility_decay", "dynamic_cost", "p_revert", "p_continue", "p_trend", "z_x_rv", "obi_x_rv")
     return x.repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(train_rows, "symbol string, regime bigint, weights array<double>, n bigint")
 
-
-@query()
-def projector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions at average cost from fills in order."""
-    from ..sources.views import trades
-
-    t = trades(spark, sf_dir).select("strategy", "ts_ns", "seq", (F.when(F.col("direction") == "Buy", 1.0).otherwise(-1.0) * (1 + F.col("seq") % 3)).alias("size"), (F.lit(100.0) + F.col("pnl_c") / 10000.0).alias("price"))
-    return t.repartition("strategy").sortWithinPartitions("strategy", "ts_ns", "seq").mapInPandas(project_rows, "strategy string, seq bigint, position double, entry double, realized double").withColumns({"entry": F.round("entry", 8), "realized": F.round("realized", 8)})

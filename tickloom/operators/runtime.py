@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import carried_last, ema, frame_sums, haloed, numbered, running, running_max
-from ..plans.registry import HAIR, query
+from ..plans.registry import query, settled, settled_sql
 from ..sources.views import SQL, decisions, ticks, trades
 from .features import FEATURES, features
 from .risk import DAILY_C, MONTHLY_C, PERIODS, WEEKLY_C, period_profit
@@ -276,9 +276,9 @@ PRE_FAILURE = PERIODS + f""", pf AS (SELECT strategy, seq, ts_ns, day_pnl_c / CA
 """
 
 
-@query(PRE_FAILURE + "SELECT strategy, seq, " + ", ".join(f"round({m} * {HAIR}, 8) AS {m}" for m in METRICS) + " FROM pf")
+@query(PRE_FAILURE + "SELECT strategy, seq, " + ", ".join(f"{settled_sql(m, 8)} AS {m}" for m in METRICS) + " FROM pf")
 def pre_failure_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pre_failure(trades(spark, sf_dir)).select("strategy", "seq", *[F.round(F.col(m) * HAIR, 8).alias(m) for m in METRICS])
+    return pre_failure(trades(spark, sf_dir)).select("strategy", "seq", *[settled(F.col(m), 8).alias(m) for m in METRICS])
 
 
 @query(PRE_FAILURE + f""", l AS (SELECT strategy, seq, unnest([{", ".join(f"'{m}'" for m in METRICS)}]) AS metric, unnest([{", ".join(f"abs({m})" for m in METRICS)}]) AS v FROM pf), th AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {w}, {c})" for m, w, c in HEALTH)}) AS t(metric, warn, crit)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import asof, frame_sums, haloed, numbered, recent, running, running_max
 from ..functions.sequential import ema_fold
-from ..plans.registry import HAIR, query
+from ..plans.registry import query, settled, settled_sql
 from ..sources.views import SQL, decisions, ticks, trades
 
 
@@ -95,12 +95,12 @@ def adwin_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(SQL + """, e AS (SELECT strategy, seq // 20 AS episode, row_number() OVER (PARTITION BY strategy, seq // 20 ORDER BY ts_ns, seq) - 1 AS i, pnl_c / CAST(10000 AS DOUBLE) AS r FROM trades)
-SELECT strategy, episode, count(*) AS n, round(sum(r), 10) AS total, round(sum(r * pow(0.95, i)) * 1.0000000001, 9) AS g0 FROM e GROUP BY ALL""")
+SELECT strategy, episode, count(*) AS n, round(sum(r), 10) AS total, """ + settled_sql("sum(r * pow(0.95, i))", 9) + """ AS g0 FROM e GROUP BY ALL""")
 def discounted_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total and discounted return of each episode, by a fold from its end."""
     e = trades(spark, sf_dir).groupBy("strategy", F.expr("seq div 20").alias("episode")).agg(F.array_sort(F.collect_list(F.struct("ts_ns", "seq", (F.col("pnl_c") / 10000.0).alias("r")))).alias("steps"))  # twenty at most
     g = F.aggregate(F.reverse("steps"), F.lit(0.0), lambda acc, s: s["r"] + 0.95 * acc)
-    return e.select("strategy", "episode", F.size("steps").cast("bigint").alias("n"), F.round(F.aggregate("steps", F.lit(0.0), lambda acc, s: acc + s["r"]), 10).alias("total"), F.round(g * HAIR, 9).alias("g0"))
+    return e.select("strategy", "episode", F.size("steps").cast("bigint").alias("n"), F.round(F.aggregate("steps", F.lit(0.0), lambda acc, s: acc + s["r"]), 10).alias("total"), settled(g, 9).alias("g0"))
 
 
 @query(SQL + """, e AS (SELECT strategy, seq, ts_ns, k, pnl_c, CAST(sum(pnl_c) OVER w AS BIGINT) AS equity_c FROM trades WINDOW w AS (PARTITION BY strategy ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING)),

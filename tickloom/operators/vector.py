@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordered import asof, ema, numbered, recent
-from ..plans.registry import HAIR, query
+from ..plans.registry import query, settled, settled_sql
 from ..sources.views import ticks, trades
 from .features import FEATURES, SESSIONS, features, sanitise
 
@@ -89,11 +89,11 @@ PLACES = {"volatility_ratio": 4, "volatility_decay_rate": 4, "p_continue": 4, "s
 
 
 def _rounded(names: tuple[str, ...]) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE) * {HAIR}, {PLACES.get(n, 6)}) AS {n}" for n in names)
+    return ", ".join(f"{settled_sql(n, PLACES.get(n, 6))} AS {n}" for n in names)
 
 
 def rounded(x: DataFrame, names: tuple[str, ...]) -> list[Column]:
-    return [F.round(F.col(n).cast("double") * HAIR, PLACES.get(n, 6)).alias(n) for n in names]
+    return [settled(F.col(n), PLACES.get(n, 6)).alias(n) for n in names]
 
 
 @query(VECTOR_SQL + f"SELECT symbol, seq, {_rounded(VECTOR)} FROM v")
@@ -160,11 +160,11 @@ EXTRAS = {**{f"{s}{i}": 6 for s in "abc" for i in range(1, 6)}, "a1": 5, "a3": 4
 @query(VECTOR_SQL + """, x AS (SELECT symbol, seq, spread_zscore * obi AS a1, self_impact * (1 + least(abs(depth_change_rate), 2)) AS a2, 0.4 * least(abs(spread_zscore) / 3, 1) + 0.35 * CASE WHEN depth_change_rate < -0.2 THEN least((-depth_change_rate - 0.2) / 0.8, 1) ELSE 0 END + 0.25 * CASE WHEN volatility_ratio > 1 THEN least((volatility_ratio - 1) / 2, 1) ELSE 0 END AS a3,
  CASE WHEN holding_time_ms <= 0 THEN 1 ELSE exp(-0.001 * holding_time_ms) END AS a4, depth_change_rate * realized_volatility AS a5, realized_volatility * obi AS b1, delta_obi * trade_intensity AS b2, 0.4 * CASE WHEN volatility_decay_rate < 0 THEN least(-volatility_decay_rate, 1) ELSE 0 END + 0.35 * least(abs(obi), 1) + 0.25 * least(trade_intensity / 10, 1) AS b3,
  CASE WHEN holding_time_ms <= 0 THEN 1 ELSE exp(-0.0001 * holding_time_ms) END AS b4, volatility_ratio * signed_volume AS b5, obi * greatest(session_tokyo, session_london, session_ny, session_sydney) AS c1, depth_change_rate * queue_position AS c2, 0.4 * least(abs(obi), 1) + 0.35 + 0.25 * CASE WHEN time_since_open_ms > 0 THEN exp(-time_since_open_ms / 3600000) ELSE 1 END AS c3,
- CASE WHEN holding_time_ms <= 0 THEN 1 ELSE exp(-0.00005 * holding_time_ms) END AS c4, obi * least(time_since_open_ms / 1000000, 60) AS c5 FROM v) SELECT symbol, seq, """ + ", ".join(f"round(CAST({c} AS DOUBLE) * {HAIR}, {n}) AS {c}" for c, n in EXTRAS.items()) + " FROM x")
+ CASE WHEN holding_time_ms <= 0 THEN 1 ELSE exp(-0.00005 * holding_time_ms) END AS c4, obi * least(time_since_open_ms / 1000000, 60) AS c5 FROM v) SELECT symbol, seq, """ + ", ".join(f"{settled_sql(c, n)} AS {c}" for c, n in EXTRAS.items()) + " FROM x")
 def strategy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strategies' own features; with the common ones each strategy has 43."""
     x = extras(load(spark, sf_dir))
-    return x.select("symbol", "seq", *[F.round(F.col(c).cast("double") * HAIR, n).alias(c) for c, n in EXTRAS.items()])
+    return x.select("symbol", "seq", *[settled(F.col(c), n).alias(c) for c, n in EXTRAS.items()])
 
 
 @query(VECTOR_SQL + """, e AS (SELECT strategy, seq, ts_ns, row_number() OVER (ORDER BY seq) AS n, CASE WHEN k % 5 <> 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS fill FROM trades) SELECT a.seq, round(sum(0.05 * pow(0.95, a.n - b.n) * b.fill), 8) AS fill_ema FROM e a JOIN e b ON b.n BETWEEN a.n - 599 AND a.n GROUP BY a.seq""")

@@ -8,7 +8,7 @@ from . import registry
 def load() -> None:
     from ..sources import quotes, results, store  # noqa: F401
     from ..streaming import live  # noqa: F401
-    from ..operators import execution, features, learning, risk, runtime, stateful, stats, validation, vector  # noqa: F401
+    from ..operators import execution, features, learning, positions, risk, runtime, stateful, stats, validation, vector  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: A value of few digits may stand right between two rounded ones, where engines differ by their last bit; taken times this it doesn't.
-HAIR = 1.0000000001
+
+
+def settled(x: Column, places: int) -> Column:
+    """``x`` rounded by way of a decimal of twelve places, so that a half in the last place goes up whatever the last bit of the double."""
+    return F.round(x.cast("double").try_cast("decimal(38,12)"), places).cast("double")
+
+
+def settled_sql(x: str, places: int) -> str:
+    """The same for DuckDB."""
+    return f"CAST(round(TRY_CAST(CAST({x} AS DOUBLE) AS DECIMAL(38,12)), {places}) AS DOUBLE)"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
