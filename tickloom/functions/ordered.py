@@ -17,6 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 #: Sequence numbers of a bucket that is numbered at once; rows of a chunk and of the halo before it; nanoseconds of a stretch of an as-of join; rows of a block of an exponential mean.
 BUCKET, CHUNK, HALO, STRETCH, BLOCK = 1 << 16, 4096, 640, 86_400_000_000_000, 256
 #: Steps of a chunk that is composed and replayed as an array; longest block of an exponential mean; what is left of a block that doubles no longer see, and the largest power they hold, as logarithms.
@@ -106,6 +108,7 @@ def _scanned(x: DataFrame, keys: list[str], then, move, start: Column, fan: int,
     chunk = F.floor((F.col("n") - 1) / fan).alias("__chunk")
     lists = x.groupBy(*keys, chunk).agg(F.array_sort(F.collect_list(F.struct("n", "__row", "__step"))).alias("__rows"))
     if size > fan:
+        lists = stored(lists, "scan")
         rest = F.slice("__rows", 2, fan)
         whole = F.aggregate(rest, F.element_at("__rows", 1)["__step"], lambda acc, r: then(acc, r["__step"]))
         sums = lists.select(*keys, (F.col("__chunk") + 1).alias("n"), F.lit(0).alias("__row"), whole.alias("__step"))

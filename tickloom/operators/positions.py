@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import asof, carried_last, frame_sums, haloed, numbered, running, scan
+from ..functions.stored import stored
 from ..plans.registry import query, settled, settled_sql
 from ..sources.views import SQL, ticks, trades
 from .risk import DAILY_C, DAILY_MTM_C, MONTHLY_C, WEEKLY_C, ZONE, period_profit, periods
@@ -58,7 +59,7 @@ def projector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def valued(quotes: DataFrame, states: DataFrame, names: tuple[str, ...] = STRATEGIES) -> DataFrame:
     """Each quote with the state of each strategy as of it: position, entry, realized (0 before its first fill) and unrealized at the mid price."""
     q = quotes.select("symbol", "seq", "ts_ns", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), F.explode(F.array(*map(F.lit, names))).alias("strategy"))
-    x = asof(q, states.select("strategy", "seq", "ts_ns", "position", "entry", "realized"), ["position", "entry", "realized"], by=["strategy"])
+    x = asof(q, stored(states.select("strategy", "seq", "ts_ns", "position", "entry", "realized"), "states"), ["position", "entry", "realized"], by=["strategy"])
     x = x.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("position", "entry", "realized")})
     return x.withColumn("unrealized", F.col("position") * (F.col("mid") - F.col("entry")))
 
@@ -82,7 +83,7 @@ def period_value(x: DataFrame) -> DataFrame:
     the shuffle, so no task sorts a period.
     """
     keys = ["symbol", "seq", "ts_ns"]
-    total = periods(x.groupBy(*keys).agg(F.sum("realized").alias("realized"), F.sum("unrealized").alias("unrealized")))
+    total = stored(periods(x.groupBy(*keys).agg(F.sum("realized").alias("realized"), F.sum("unrealized").alias("unrealized"))), "valued")
     out = total
     for p in ("day", "week", "month"):
         begun = total.groupBy("symbol", p).agg(F.min_by("realized", F.struct("ts_ns", "seq")).alias(f"{p}_start"))
@@ -138,7 +139,7 @@ def lives(t: DataFrame, threshold: float = -1.0, yearly: float = 252.0, episodes
     h = h.withColumn("ill", F.sum("poor").over(w.rowsBetween(1 - row, 0)) == row).where("own").drop("chunk", "own")
     h = h.withColumns({"first": F.col("first") | (F.col("n") == 1), "monday": F.col("monday") | (F.col("n") == 1)})
     h = h.withColumn("mark", F.when(F.col("first"), F.struct(F.col("n").alias("n"), (F.col("sum_c") - F.col("pnl_c")).alias("sum"))))
-    h = carried_last(h, by, "mark", "regime_at")
+    h = stored(carried_last(h, by, "mark", "regime_at"), "lives")
     least = F.when(F.col("day_pnl_c") != 0, -F.abs("day_pnl_c") * share)
     begins = h.where("monday").select(*by, F.col("n").alias("begin"), (F.col("sum_c") - F.col("pnl_c")).alias("sum"))
     weeks = begins.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("begin", "sum"))).alias("weeks"))  # one for each week of the data

@@ -6,13 +6,10 @@ must be one that the driver and all executors share.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stored import scratch
 from ..operators.stats import decision_diagnostics, strategy_funnel
 from ..operators.vector import VECTOR, flatten, for_model, load
 from ..plans.registry import query
@@ -22,17 +19,6 @@ FEATURE_VERSION, SOURCE_STRATEGY, NUM_FEATURES = "feature_vector_v1_38", "A", 45
 METADATA = ("timestamp_ns", "source_strategy", "feature_version")
 #: Decimals of a report's numbers.
 DECIMALS = {"duration_secs": 3, "final_pnl": 6, "realized_pnl": 6, "unrealized_pnl": 6, "rolling_sharpe": 6, "max_drawdown": 6, "win_rate": 4}
-_OWN: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tickloom-"))
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def run_summary(t: DataFrame, quotes: DataFrame, features: int = len(VECTOR)) -> DataFrame:
