@@ -7,7 +7,7 @@ from . import registry
 
 def load() -> None:
     from ..sources import quotes, results, store  # noqa: F401
-    from ..streaming import live  # noqa: F401
+    from ..streaming import feed, live, reader  # noqa: F401
     from ..operators import execution, features, learning, positions, regression, risk, runtime, stateful, stats, validation, vector  # noqa: F401
 
 

@@ -72,14 +72,19 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return x.join(part, ["__file", "__at"]).withColumn("row", F.col("__id") - F.col("__first") + F.col("__before") + 2).drop("__file", "__at", "__id", "__first", "__before")
 
 
-def checked(x: DataFrame) -> DataFrame:
-    """Typed quotes with ``problem``: the first rule that a row breaks, or null. Order is by ``row``."""
+def typed(x: DataFrame) -> DataFrame:
+    """Quotes from text columns, with ``bad``: the first rule that a row breaks by itself, or null."""
     t = x.select(
         "row", timestamp_ns(F.col("timestamp")).alias("ts_ns"), F.col("bid").try_cast("double").alias("bid"), F.col("ask").try_cast("double").alias("ask"),
         F.coalesce(F.col("bid_volume").try_cast("double"), F.lit(0.0)).alias("bid_size"), F.coalesce(F.col("ask_volume").try_cast("double"), F.lit(0.0)).alias("ask_size"), F.coalesce("symbol", F.lit(DEFAULT_SYMBOL)).alias("symbol"),
     )
     bad = F.when(F.col("ts_ns").isNull(), "timestamp").when(F.col("bid").isNull() | F.col("ask").isNull(), "number").when(F.col("bid") >= F.col("ask"), "crossed")
-    t = t.withColumns({"bad": bad, "chunk": F.floor(F.col("row") / ROWS)}).withColumn("fine", F.when(F.col("bad").isNull(), F.col("ts_ns")))
+    return t.withColumn("bad", bad)
+
+
+def checked(x: DataFrame) -> DataFrame:
+    """Typed quotes with ``problem``: the first rule that a row breaks, or null. Order is by ``row``."""
+    t = typed(x).withColumns({"chunk": F.floor(F.col("row") / ROWS)}).withColumn("fine", F.when(F.col("bad").isNull(), F.col("ts_ns")))
     w = Window.partitionBy("symbol", "chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     seen = F.greatest(F.max("fine").over(w), F.col("before"))  # the last accepted one is the greatest
     return t.join(carried_max(t, ["symbol"], "fine"), ["symbol", "chunk"]).withColumn("problem", F.coalesce("bad", F.when(F.col("ts_ns") <= seen, "order"))).drop("bad", "fine", "chunk", "before")
@@ -105,27 +110,27 @@ cp AS (SELECT row, coalesce(bad, CASE WHEN t <= max(CASE WHEN bad IS NULL THEN t
 """
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the text rows of a quote file, with faults put in."""
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the text rows of a quote file, with faults put in, and the type of each."""
     e = table(spark, sf_dir, "events")
     i, c = F.col("event_id"), F.round(F.col("value") * 100).cast("bigint")
     ts = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 - F.when(i % 97 == 5, 400_000_000_000_000).otherwise(0)
     return e.select(
         (i + 2).alias("row"), ts.cast("string").alias("timestamp"), F.when(i % 50 == 7, "x").otherwise(c.cast("string")).alias("bid"), (c + F.when(i % 31 == 3, -1).otherwise(2)).cast("string").alias("ask"),
-        F.lit(None).cast("string").alias("bid_volume"), F.lit(None).cast("string").alias("ask_volume"), F.lit(None).cast("string").alias("symbol"),
+        F.lit(None).cast("string").alias("bid_volume"), F.lit(None).cast("string").alias("ask_volume"), F.lit(None).cast("string").alias("symbol"), "event_type",
     )
 
 
 @query(RAW + "SELECT problem, count(*) AS n, min(row) AS first_row FROM cp WHERE problem IS NOT NULL GROUP BY problem")
 def csv_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a strict reader refuses, by rule, with the first of each."""
-    return checked(_raw(spark, sf_dir)).where("problem is not null").groupBy("problem").agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
+    return checked(faulty(spark, sf_dir)).where("problem is not null").groupBy("problem").agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
 
 
 @query(RAW + "SELECT row FROM cp WHERE problem IS NULL")
 def csv_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a lenient reader accepts."""
-    return lenient(_raw(spark, sf_dir)).select("row")
+    return lenient(faulty(spark, sf_dir)).select("row")
 
 
 @query(SQL + "SELECT event_id, ts_ns // 1000000000 * 1000000000 AS seconds, ts_ns AS nanos, ts_ns // 1000000000 * 1000000000 AS iso, ts_ns // 1000000000 * 1000000000 AS gmt, (ts_ns // 1000000000) * 1000000000 AS helsinki FROM base")
