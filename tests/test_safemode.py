@@ -19,7 +19,7 @@ def plain(rows, least, longest, slippage_error, fill_error):
             n += 1
             if filled:
                 hits, s, p = hits + 1, s + slip, p + pred
-            close = hits > 0 and abs(s - p) / hits / max(abs(s / hits), abs(p / hits), 1e-10) < slippage_error and abs(hits / n - fill) < fill_error
+            close = hits > 0 and round(abs(s - p) / hits / max(abs(s / hits), abs(p / hits), 1e-10), 6) < slippage_error and round(abs(hits / n - fill), 9) < fill_error
             safe = not (n >= least and (ts - start >= longest or close))
         on = target is not None and safe
         out.append((seq, on, 0.25 if on else 1.0, 2.0 if on else 1.0, round(min(n / least, 1.0), 9) if on else 1.0))
