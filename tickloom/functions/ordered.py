@@ -65,6 +65,22 @@ def frame_sums(x: DataFrame, w, col: str, rows: tuple[int, ...]) -> DataFrame:
     return x.withColumns(out).drop("__mid", "__n", "__s", "__q", *[f"__{c}_{r}" for r in rows for c in "nsq"])
 
 
+def frame_slopes(x: DataFrame, w, col: str, rows: tuple[int, ...]) -> DataFrame:
+    """Least-squares slope of ``col`` against the row number ``n`` over the last rows of each frame size: col_slope_r, null where fewer than two have a value.
+
+    From moments of the number and of its product with the value, both taken
+    from the chunk's middle, so sums stay small.
+    """
+    all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mid, i = F.coalesce(F.avg(col).over(all_of), F.lit(0.0)), (F.col("n") - F.avg("n").over(all_of)).cast("double")
+    x = x.withColumns({"__base": mid, "__i": F.when(F.col(col).isNotNull(), i)})
+    x = x.withColumns({"__y": F.col(col) - F.col("__base"), "__z": F.col("__i") * (F.col(col) - F.col("__base"))})
+    for c in ("__i", "__y", "__z"):
+        x = frame_sums(x, w, c, rows)
+    out = {f"{col}_slope_{r}": F.when(F.col(f"__i_count_{r}") > 1, F.try_divide((F.col(f"__z_mean_{r}") - F.col(f"__i_mean_{r}") * F.col(f"__y_mean_{r}")) * F.col(f"__i_count_{r}"), F.col(f"__i_m2_{r}"))) for r in rows}
+    return x.withColumns(out).drop("__base", "__i", "__y", "__z", *[f"__{c}_{m}_{r}" for c in "iyz" for m in ("count", "mean", "m2") for r in rows])
+
+
 def carried_max(rows: DataFrame, keys: list[str], col: str) -> DataFrame:
     """(keys, chunk, before): the greatest ``col`` of earlier chunks; a row for each chunk."""
     each = rows.groupBy(*keys, "chunk").agg(F.max(col).alias("__m"))
