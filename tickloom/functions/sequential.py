@@ -319,18 +319,3 @@ def project_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             state[s] = [pos, entry, real]
             rows.append((s, seq, pos, entry, real))
         yield pd.DataFrame(rows, columns=["strategy", "seq", "position", "entry", "realized"])
-
-
-def ema_fold(alpha: float):
-    """An exponential mean in order, a day's rows at a time with the state carried over."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[str, float] = {}
-        for f in frames:
-            out = np.empty(len(f))
-            for i, (key, x) in enumerate(zip(f["lp_id"], f["x"], strict=True)):
-                state[key] = state.get(key, 0.8) + alpha * (x - state.get(key, 0.8))
-                out[i] = state[key]
-            yield f.assign(ema=out)[["lp_id", "seq", "ema"]]
-
-    return run

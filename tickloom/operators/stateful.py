@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import asof, frame_sums, haloed, numbered, recent, running, running_max
-from ..functions.sequential import ema_fold
+from ..functions.ordered import asof, ema, frame_sums, haloed, numbered, recent, running, running_max
 from ..plans.registry import query, settled, settled_sql
 from ..sources.views import SQL, decisions, ticks, trades
 
@@ -148,12 +147,12 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twice.groupBy("seq").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("kept"))
 
 
-@query()
+@query(SQL + """, r AS (SELECT lp_id, seq, CASE WHEN k < 90 THEN CAST(1 AS DOUBLE) ELSE 0 END AS x, row_number() OVER (PARTITION BY lp_id ORDER BY seq) AS n FROM trades)
+SELECT a.lp_id, a.seq, """ + settled_sql("0.8 * pow(CAST(0.9 AS DOUBLE), a.n) + sum(0.1 * pow(CAST(0.9 AS DOUBLE), a.n - b.n) * b.x)", 8) + """ AS ema FROM r a JOIN r b ON a.lp_id = b.lp_id AND b.n BETWEEN a.n - 299 AND a.n GROUP BY a.lp_id, a.seq, a.n""")
 def exec_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential mean of a provider's fills, from 0.8: a streaming fold over rows sorted within the provider's partition."""
-    t = trades(spark, sf_dir).select("lp_id", "ts_ns", "seq", (F.col("k") < 90).cast("double").alias("x"))
-    x = t.repartition("lp_id").sortWithinPartitions("lp_id", "ts_ns", "seq")
-    return x.mapInPandas(ema_fold(0.1), "lp_id string, seq bigint, ema double").withColumn("ema", F.round("ema", 9))
+    """Exponential mean of a provider's fills, from 0.8, in the order of their numbers."""
+    t = numbered(trades(spark, sf_dir).select("lp_id", "seq", (F.col("k") < 90).cast("double").alias("x")), ["lp_id"])
+    return ema(t, ["lp_id"], {"ema": ("x", 0.8)}, 0.1).select("lp_id", "seq", settled(F.col("ema"), 8).alias("ema"))
 
 
 @query(SQL + """, g AS (SELECT symbol, seq, seq - lag(seq) OVER (PARTITION BY symbol ORDER BY seq) - 1 AS gap FROM ticks) SELECT symbol, seq, max(CASE WHEN gap >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) = 1 AS halted FROM g""")
