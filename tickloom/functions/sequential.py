@@ -280,26 +280,6 @@ def simulate_rows(runs: list[tuple[str, int, str]]):
     return work
 
 
-def adwin_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    state: dict[str, Windowed] = {}
-    for f in frames:
-        rows = [(s, q, r) for s, q, v in zip(f["symbol"], f["seq"], f["mid"], strict=True) if (r := state.setdefault(s, Windowed()).push(v)) > 1]
-        yield pd.DataFrame(rows, columns=["symbol", "seq", "score"])
-
-
-def train_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    state: dict[str, list] = {}
-    for f in frames:
-        names = [c for c in f.columns if c not in ("symbol", "seq")]
-        for s, *x in zip(f["symbol"], *(f[c] for c in names), strict=True):
-            w, n = state.setdefault(s, [np.random.default_rng(42).normal(0, 0.01, (4, len(names))), 0])
-            x = np.nan_to_num(np.array(x, float))
-            p = softmax(w @ x)
-            w += 0.01 * np.outer(np.eye(4)[p.argmax()] - p, x)  # winner takes all
-            state[s][1] = n + 1
-    yield pd.DataFrame([(s, i, [round(float(v), 9) for v in w[i]], n) for s, (w, n) in state.items() for i in range(4)], columns=["symbol", "regime", "weights", "n"])
-
-
 def project_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Average cost: add to a position at the weighted mean, close against it; a flip keeps the old entry."""
     state: dict[str, list[float]] = {}

@@ -1,4 +1,4 @@
-"""Sequential models: Bayesian regression, Thompson policy, regime training, online change points, and the simulator that uses them.
+"""Sequential models: Bayesian regression, Thompson policy, and the simulator that uses them.
 
 A run (symbol, seed, settings) is sequential by nature, as fills change later
 decisions. Runs are independent, so the grid of runs is what scales: a run's
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequential import COLUMNS, adwin_rows, simulate_rows, train_rows
+from ..functions.sequential import COLUMNS, simulate_rows
 from ..plans.registry import query
 from ..sources.views import ticks
 from .features import features, regimes, triggers
@@ -50,18 +50,3 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     folds = F.array(*[F.when(F.col("third") == k - 1, F.struct(F.lit(k).alias("fold"), F.lit(False).alias("test"))) for k in (1, 2)], *[F.when(F.col("third") == k, F.struct(F.lit(k).alias("fold"), F.lit(True).alias("test"))) for k in (1, 2)])
     t = t.withColumn("f", F.explode(F.array_compact(folds))).withColumns({"symbol": F.concat_ws("#", "symbol", F.col("f.fold").cast("string")), "test": F.col("f.test")}).drop("n", "all", "third", "f")
     return simulate(t, [(s, 42, mode) for s in "ABC" for mode in ("cold", "warm", "frozen")])
-
-
-@query()
-def adwin_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change points of the mid price as quotes pass."""
-    x = ticks(spark, sf_dir).select("symbol", "seq", ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
-    return x.repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(adwin_rows, "symbol string, seq bigint, score double").withColumn("score", F.round("score", 9))
-
-
-@query()
-def train_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regime weights by one pass of online gradients in order of time."""
-    x = features(ticks(spark, sf_dir)).select("symbol", "seq", "spread_z", "obi", "delta_obi", "depth_change_rate", "rv", "volatility_ratio", "volatility_decay", "dynamic_cost", "p_revert", "p_continue", "p_trend", "z_x_rv", "obi_x_rv")
-    return x.repartition("symbol").sortWithinPartitions("symbol", "seq").mapInPandas(train_rows, "symbol string, regime bigint, weights array<double>, n bigint")
-

@@ -8,7 +8,7 @@ from . import registry
 def load() -> None:
     from ..sources import quotes, results, store  # noqa: F401
     from ..streaming import feed, live, reader  # noqa: F401
-    from ..operators import drift, execution, features, learning, positions, regression, risk, runtime, safemode, stateful, stats, validation, vector  # noqa: F401
+    from ..operators import adaptive, drift, execution, features, learning, positions, regression, risk, runtime, safemode, stateful, stats, sticky, validation, vector  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
