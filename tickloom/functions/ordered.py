@@ -137,20 +137,42 @@ def _scanned(x: DataFrame, keys: list[str], then, move, start: Column, fan: int,
     return out.select(*keys, F.col("__z.__rows.n").alias("n"), F.col("__z.__rows.__row").alias("__row"), F.col("__z.__from").alias("before"), F.col("__z.__to").alias("after"))
 
 
-def recent(left: DataFrame, right: DataFrame, sums: dict[str, Column], span: int, ts: str = "ts_ns") -> DataFrame:
-    """Left rows with sums over the right rows of the last ``span`` nanoseconds (both ends included).
+def recent(left: DataFrame, right: DataFrame, sums: dict[str, Column], span: int, ts: str = "ts_ns", by: Sequence[str] = ()) -> DataFrame:
+    """Left rows with sums over the right rows of their key ``by`` of the last ``span`` nanoseconds (both ends included).
 
     A right row goes to its own span of time and to the next, so windows are
     over spans, not over all time.
     """
-    at = F.floor(F.col(ts) / span)
+    at, by = F.floor(F.col(ts) / span), list(by)
     u = left.withColumns({"__at": at, "__kind": F.lit(1), **{c: F.lit(None).cast("double") for c in sums}})
-    v = right.select(ts, F.explode(F.array(at, at + 1)).alias("__at"), F.lit(0).alias("__kind"), *[e.cast("double").alias(c) for c, e in sums.items()])
-    w = Window.partitionBy("__at").orderBy(ts).rangeBetween(-span, 0)
+    v = right.select(*by, ts, F.explode(F.array(at, at + 1)).alias("__at"), F.lit(0).alias("__kind"), *[e.cast("double").alias(c) for c, e in sums.items()])
+    w = Window.partitionBy(*by, "__at").orderBy(ts).rangeBetween(-span, 0)
     x = u.unionByName(v, allowMissingColumns=True).withColumns({c: F.coalesce(F.sum(c).over(w), F.lit(0.0)) for c in sums})
     return x.where("__kind = 1").select(*left.columns, *sums)
 
 
+def lagged(df: DataFrame, keys: list[str], cols: dict[str, Column]) -> DataFrame:
+    """Numbered rows with values of their key's row before (null at the first)."""
+    x = haloed(df.withColumns({f"__x_{o}": c for o, c in cols.items()}), halo=1)
+    w = Window.partitionBy(*keys, "chunk").orderBy("n")
+    return x.withColumns({o: F.lag(f"__x_{o}").over(w) for o in cols}).where("own").drop("chunk", "own", *[f"__x_{o}" for o in cols])
+
+
+def runs(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Numbered rows with ``begin``, the number of the first row of their run of equal values."""
+    x = lagged(df.withColumn("__v", value), keys, {"__before": F.col("__v")})
+    new = F.when((F.col("n") == 1) | ~F.col("__v").eqNullSafe(F.col("__before")), F.col("n"))
+    return running_max(x.withColumn("__new", new), keys, "__new", "begin").drop("__v", "__before", "__new")
+
+
+def tiled(df: DataFrame, keys: list[str], groups: int, out: str) -> DataFrame:
+    """Numbered rows in ``groups`` contiguous groups per key, as equal as can be (the first ones longer), from numbers and counts."""
+    x = df.join(df.groupBy(*keys).agg(F.max("n").alias("__rows")), keys)
+    each, more = F.floor(F.col("__rows") / groups), F.col("__rows") % groups
+    long, at = more * (each + 1), F.col("n") - 1
+    return x.withColumn(out, F.when(at < long, F.floor(at / (each + 1)) + 1).otherwise(more + F.floor((at - long) / F.greatest(each, F.lit(1))) + 1).cast("int")).drop("__rows")
+
+
 def ema(df: DataFrame, keys: list[str], cols: dict[str, tuple[str, float]], alpha: float, block: int | None = None) -> DataFrame:
     """Exponential means e += alpha (x - e) of numbered rows: name -> (column, start); alpha between 0 and 1.
 

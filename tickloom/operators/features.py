@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import carried_max, frame_sums, haloed, numbered
+from ..functions.ordered import carried_max, frame_sums, haloed, numbered, recent
 from ..plans.registry import query, settled, settled_sql
 from ..sources.views import SQL, ticks, trades
 
@@ -134,8 +134,9 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + "SELECT strategy, seq, count(*) OVER w AS n_60s, CAST(sum(CASE WHEN direction = 'Buy' THEN lots ELSE -lots END) OVER w AS BIGINT) AS signed_volume FROM trades WINDOW w AS (PARTITION BY strategy ORDER BY ts_ns RANGE BETWEEN 60000000000 PRECEDING AND CURRENT ROW)")
 def trade_intensity_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills of the last minute and their signed volume."""
-    w = Window.partitionBy("strategy").orderBy("ts_ns").rangeBetween(-60_000_000_000, 0)
-    return trades(spark, sf_dir).select("strategy", "seq", F.count("*").over(w).alias("n_60s"), F.sum(F.when(F.col("direction") == "Buy", F.col("lots")).otherwise(-F.col("lots"))).over(w).alias("signed_volume"))
+    t = trades(spark, sf_dir).select("strategy", "seq", "ts_ns", F.when(F.col("direction") == "Buy", F.col("lots")).otherwise(-F.col("lots")).alias("signed"))
+    x = recent(t.drop("signed"), t, {"n_60s": F.lit(1), "signed_volume": F.col("signed")}, 60_000_000_000, by=["strategy"])
+    return x.select("strategy", "seq", F.col("n_60s").cast("bigint").alias("n_60s"), F.col("signed_volume").cast("bigint").alias("signed_volume"))
 
 
 @query(FEATURES + """, pos AS (SELECT *, (seq % 5 - 2) * 1000 AS pos, seq % 700 AS hold FROM f)

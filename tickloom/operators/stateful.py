@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import asof, ema, frame_sums, haloed, numbered, recent, running, running_max
+from ..functions.ordered import asof, ema, frame_sums, haloed, lagged, numbered, recent, running, running_max, runs
 from ..plans.registry import query, settled, settled_sql
 from ..sources.views import SQL, decisions, ticks, trades
-
-
-def order():
-    return Window.partitionBy("symbol").orderBy("seq")
+from .stats import equity
 
 
 @query(SQL + """, g AS (SELECT symbol, seq, seq - lag(seq) OVER (PARTITION BY symbol ORDER BY seq) - 1 AS gap FROM ticks)
 SELECT symbol, seq, gap, CASE WHEN gap >= 3 THEN 'Severe' ELSE 'Minor' END AS severity FROM g WHERE gap >= 1""")
 def seq_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps in the sequence: three or more missing are severe."""
-    x = ticks(spark, sf_dir).select("symbol", "seq", (F.col("seq") - F.lag("seq").over(order()) - 1).alias("gap")).where("gap >= 1")
+    x = lagged(numbered(ticks(spark, sf_dir).select("symbol", "seq"), ["symbol"]), ["symbol"], {"before": F.col("seq")})
+    x = x.select("symbol", "seq", (F.col("seq") - F.col("before") - 1).alias("gap")).where("gap >= 1")
     return x.withColumn("severity", F.when(F.col("gap") >= 3, "Severe").otherwise("Minor"))
 
 
@@ -47,9 +45,8 @@ def net_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT lp_id, island, count(*) AS run FROM n WHERE rejected GROUP BY ALL) SELECT lp_id, max(run) AS longest, count(*) FILTER (run >= 5) AS adversarial_runs FROM r GROUP BY lp_id""")
 def consecutive_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of rejections by provider; five in a row are adversarial."""
-    t = trades(spark, sf_dir).withColumn("rejected", F.col("k") >= 90)
-    island = F.row_number().over(Window.partitionBy("lp_id").orderBy("ts_ns", "seq")) - F.row_number().over(Window.partitionBy("lp_id", "rejected").orderBy("ts_ns", "seq"))
-    r = t.withColumn("island", island).where("rejected").groupBy("lp_id", "island").agg(F.count("*").alias("run"))
+    t = numbered(trades(spark, sf_dir).select("lp_id", "seq", (F.col("k") >= 90).alias("rejected")), ["lp_id"])
+    r = runs(t, ["lp_id"], F.col("rejected")).where("rejected").groupBy("lp_id", "begin").agg(F.count("*").alias("run"))
     return r.groupBy("lp_id").agg(F.max("run").alias("longest"), F.count_if(F.col("run") >= 5).alias("adversarial_runs"))
 
 
@@ -76,8 +73,7 @@ def anomaly_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = t.unpivot(["strategy", "ts_ns", "seq"], [x[0] for x in THRESHOLDS], "metric", "v")
     x = m.join(F.broadcast(spark.createDataFrame(list(THRESHOLDS), "metric string, warn double, crit double")), "metric").withColumns({"bad": F.col("v") >= F.col("warn") - 1e-9, "worst": F.col("v") >= F.col("crit") - 1e-9})
     by = ["strategy", "metric"]
-    island = F.row_number().over(Window.partitionBy(*by).orderBy("ts_ns", "seq")) - F.row_number().over(Window.partitionBy(*by, "bad").orderBy("ts_ns", "seq"))
-    r = x.withColumn("island", island).where("bad").withColumn("run", F.row_number().over(Window.partitionBy(*by, "island").orderBy("ts_ns", "seq"))).where("run >= 3")
+    r = runs(numbered(x.select(*by, "seq", "bad", "worst"), by), by, F.col("bad")).where("bad and n - begin >= 2")
     return r.groupBy(*by).agg(F.count_if("worst").alias("critical"), F.count_if(~F.col("worst")).alias("warning"))
 
 
@@ -107,10 +103,8 @@ p AS (SELECT *, coalesce(max(equity_c) OVER (PARTITION BY strategy ORDER BY ts_n
 SELECT strategy, seq, round(pnl_c / 1000000.0 - 0.1 * pow(seq % 3, 2) * pow(k / CAST(1000 AS DOUBLE), 2) - 0.5 * least(greatest(greatest(peak, 0) - equity_c, 0) / 1000000.0, 100), 8) AS reward FROM p""")
 def episode_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profit less a tenth of the variance of the position held (here seq mod 3 units) and half the fall from the peak before."""
-    o = Window.partitionBy("strategy").orderBy("ts_ns", "seq")
-    e = trades(spark, sf_dir).withColumn("equity_c", F.sum("pnl_c").over(o.rowsBetween(Window.unboundedPreceding, 0)))
-    peak = F.greatest(F.coalesce(F.max("equity_c").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
-    e = e.withColumn("fall", F.least(F.greatest(peak - F.col("equity_c"), F.lit(0)) / 1000000.0, F.lit(100.0)))
+    e = equity(trades(spark, sf_dir))  # below a peak the one before is the same; at one there is no fall
+    e = e.withColumn("fall", F.least(F.col("drawdown_c") / 1000000.0, F.lit(100.0)))
     return e.select("strategy", "seq", F.round(F.col("pnl_c") / 1000000.0 - 0.1 * F.pow(F.col("seq") % 3, F.lit(2)) * F.pow(F.col("k") / 1000.0, F.lit(2)) - 0.5 * F.col("fall"), 8).alias("reward"))
 
 

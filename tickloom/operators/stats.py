@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import numbered, running, running_max
-from ..plans.registry import query
+from ..functions.ordered import frame_sums, haloed, lagged, numbered, running, running_max, runs
+from ..plans.registry import ORACLES, query
 from ..sources.views import SQL, decisions, trades
 
 YEAR_NS = 31_557_600_000_000_000  # 365.25 days
 BY = ["strategy"]
 
 
-def _order() -> list[str]:
-    return ["ts_ns", "seq"]
-
-
 def summary(t: DataFrame, by: list[str] = BY) -> DataFrame:
     """Totals, win rate, average win and loss, profit factor, execution means; a zero profit is neither win nor loss."""
     p = F.col("pnl_c")
@@ -46,10 +44,10 @@ def strategy_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).groupBy("strategy").agg(F.count("*").alias("n"), F.sum(p).alias("total_pnl_c"), F.round(F.count_if(p > 0) / F.count("*"), 9).alias("win_rate"), F.round(F.avg(p), 6).alias("avg_pnl_c"))
 
 
-def equity(t: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Running equity, its peak (from 0) and the drawdown, in order of ``seq``."""
+def equity(t: DataFrame, by: list[str] = BY, *more: str) -> DataFrame:
+    """Running equity, its peak (from 0) and the drawdown, in order of ``seq``; with the rows' number if ``more`` is ``n``."""
     e = running_max(running(numbered(t, by), by, {"equity_c": F.col("pnl_c")}), by, "equity_c", "peak_c")
-    return e.withColumn("peak_c", F.greatest(F.lit(0), "peak_c")).withColumn("drawdown_c", F.col("peak_c") - F.col("equity_c")).drop("n")
+    return e.withColumn("peak_c", F.greatest(F.lit(0), "peak_c")).withColumn("drawdown_c", F.col("peak_c") - F.col("equity_c")).select(*t.columns, "equity_c", "peak_c", "drawdown_c", *more)
 
 
 EQUITY = SQL + """, eq AS (SELECT *, CAST(sum(pnl_c) OVER w AS BIGINT) AS equity_c FROM trades WINDOW w AS (PARTITION BY strategy ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING)),
@@ -69,11 +67,10 @@ def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawdown_length(t: DataFrame, by: list[str] = BY) -> DataFrame:
     """Longest time from a peak to its recovery, or to the last trade without one; the first trade's time is the first peak's."""
-    order = Window.partitionBy(*by).orderBy(*_order())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    e = equity(t, by).withColumn("at_peak", F.col("equity_c") >= F.greatest(F.lit(0), F.coalesce(F.max("equity_c").over(before), F.lit(0))))
-    first = F.first("ts_ns").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    e = e.withColumn("peak_ts", F.coalesce(F.max(F.when(F.col("at_peak"), F.col("ts_ns"))).over(before), first)).withColumn("was_at_peak", F.coalesce(F.lag("at_peak").over(order), F.lit(True)))
+    e = equity(t, by, "n").withColumn("at_peak", F.col("drawdown_c") == 0)
+    e = running_max(e.withColumn("__ts", F.when(F.col("at_peak") | (F.col("n") == 1), F.col("ts_ns"))), by, "__ts", "__last")
+    e = lagged(e, by, {"peak_ts": F.col("__last"), "was_at_peak": F.col("at_peak")})
+    e = e.withColumns({"peak_ts": F.coalesce("peak_ts", "ts_ns"), "was_at_peak": F.coalesce("was_at_peak", F.lit(True))})
     return e.groupBy(*by).agg(F.coalesce(F.max(F.when(~F.col("at_peak") | ~F.col("was_at_peak"), F.col("ts_ns") - F.col("peak_ts"))), F.lit(0)).alias("longest_drawdown_ns"))
 
 
@@ -120,11 +117,9 @@ def sortino(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def longest_runs(t: DataFrame, by: list[str] = BY) -> DataFrame:
     """Longest runs of wins and of losses; a zero ends both."""
-    w = Window.partitionBy(*by).orderBy(*_order())
-    s = F.signum(F.col("pnl_c").cast("double")).cast("int")
-    x = t.select(*by, *_order(), s.alias("s")).withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy(*by, "s").orderBy(*_order())))
-    runs = x.groupBy(*by, "s", "island").agg(F.count("*").alias("n"))
-    return runs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("s") > 0, F.col("n"))), F.lit(0)).alias("win_streak"), F.coalesce(F.max(F.when(F.col("s") < 0, F.col("n"))), F.lit(0)).alias("loss_streak"))
+    x = numbered(t.select(*by, "seq", F.signum(F.col("pnl_c").cast("double")).cast("int").alias("s")), by)
+    each = runs(x, by, F.col("s")).groupBy(*by, "s", "begin").agg(F.count("*").alias("n"))
+    return each.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("s") > 0, F.col("n"))), F.lit(0)).alias("win_streak"), F.coalesce(F.max(F.when(F.col("s") < 0, F.col("n"))), F.lit(0)).alias("loss_streak"))
 
 
 @query(SQL + """, x AS (SELECT strategy, sign(pnl_c) AS s, row_number() OVER (PARTITION BY strategy ORDER BY ts_ns, seq) - row_number() OVER (PARTITION BY strategy, sign(pnl_c) ORDER BY ts_ns, seq) AS island FROM trades),
@@ -134,6 +129,16 @@ def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest_runs(trades(spark, sf_dir))
 
 
+PARTS = ("trade_summary", "max_drawdown", "drawdown_duration", "sharpe", "sortino", "streaks")
+
+
+@query("SELECT *, total_pnl_c AS realized_pnl_c FROM " + " JOIN ".join(f"({ORACLES[p]}) p{i}" + (" USING (strategy)" if i else "") for i, p in enumerate(PARTS)))
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole summary of each strategy's run, one row for each; every profit of a run is realised."""
+    parts = [f(spark, sf_dir) for f in (trade_summary, max_drawdown, drawdown_duration, sharpe, sortino, streaks)]
+    return reduce(lambda a, b: a.join(b, "strategy"), parts).withColumn("realized_pnl_c", F.col("total_pnl_c"))
+
+
 @query(SQL + """SELECT coalesce(lp_id, 'ALL') AS lp_id, count(*) AS requests, count(*) FILTER (k < 90) AS fills, count(*) FILTER (k >= 90) AS rejections, round(count(*) FILTER (k < 90) / count(*), 9) AS fill_rate,
  round(count(*) FILTER (k >= 90) / count(*), 9) AS rejection_rate, round(avg(abs(slippage)), 9) AS avg_slippage FROM trades GROUP BY ROLLUP (lp_id)""")
 def lp_execution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,12 +183,12 @@ def strategy_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT strategy, seq, cumulative_c, CASE WHEN s > 1e-9 THEN round(m / s * sqrt(252), 6) ELSE 0 END AS rolling_sharpe, round(win, 6) AS win_rate FROM w""")
 def tracker_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live tracker: cumulative profit, Sharpe of the last 100 trades, win rate so far."""
-    a = Window.partitionBy("strategy").orderBy("ts_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    r = Window.partitionBy("strategy").orderBy("ts_ns", "seq").rowsBetween(-99, 0)
-    s = F.stddev_samp("pnl_c").over(r)
-    return trades(spark, sf_dir).select(
-        "strategy", "seq", F.sum("pnl_c").over(a).alias("cumulative_c"), F.when(s > 1e-9, F.round(F.avg("pnl_c").over(r) / s * F.sqrt(F.lit(252.0)), 6)).otherwise(0.0).alias("rolling_sharpe"),
-        F.round(F.avg(F.when(F.col("pnl_c") > 0, 1.0).otherwise(0.0)).over(a), 6).alias("win_rate"),
+    x = running(numbered(trades(spark, sf_dir).select("strategy", "seq", "pnl_c"), BY), BY, {"cumulative_c": F.col("pnl_c"), "wins": (F.col("pnl_c") > 0).cast("int")})
+    x = frame_sums(haloed(x, halo=100), Window.partitionBy("strategy", "chunk").orderBy("n"), "pnl_c", (100,)).where("own")
+    s = F.when(F.col("pnl_c_count_100") > 1, F.sqrt(F.col("pnl_c_m2_100") / (F.col("pnl_c_count_100") - 1)))
+    return x.select(
+        "strategy", "seq", "cumulative_c", F.when(s > 1e-9, F.round(F.col("pnl_c_mean_100") / s * F.sqrt(F.lit(252.0)), 6)).otherwise(0.0).alias("rolling_sharpe"),
+        F.round(F.col("wins") / F.col("n"), 6).alias("win_rate"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.ordered import lagged, tiled
 from ..plans.registry import query
 from ..sources.views import SQL, returns
 
@@ -30,7 +31,7 @@ def splits(r: DataFrame, groups: int = GROUPS, test: int = TEST, gap: int = PURG
     test groups. The splits are a few rows, so the join on the group number
     multiplies observations by their number only.
     """
-    g = r.withColumn("grp", F.ntile(groups).over(Window.partitionBy("strategy").orderBy("obs")))
+    g = tiled(r.withColumn("n", F.col("obs")), ["strategy"], groups, "grp").drop("n")
     bounds = g.groupBy("strategy", "grp").agg(F.min("obs").alias("a"), F.max("obs").alias("b"))
     spark = r.sparkSession
     chosen = [(i, own, list(c)) for i, c in enumerate(combinations(range(1, groups + 1), test)) for own in range(1, groups + 1)]
@@ -108,9 +109,16 @@ def deflated(r: DataFrame) -> DataFrame:
     return m.withColumn("z", F.col("sr") * F.sqrt("n") / F.sqrt(v))
 
 
-@query()
+#: The normal distribution function by Simpson's rule over 2,000 steps.
+DEFLATED = MOMENTS + """, nz AS (SELECT strategy, greatest(-8, least(8, sr * sqrt(n) / sqrt(v))) AS z FROM ds),
+np AS (SELECT strategy, 0.5 + z / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * i / 2000, 2) / 2))) AS p FROM nz),
+nd AS (SELECT strategy, p, exp(ln(greatest(p, 1e-15)) + 9 * ln(greatest(1 - p, 1e-15))) AS dsr FROM np)
+SELECT strategy, round(p, 8) AS p, round(dsr, 8) AS dsr, dsr >= 0.95 AS passed FROM nd"""
+
+
+@query(DEFLATED)
 def dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deflated Sharpe ratio over ten trials; SQL has no normal distribution function."""
+    """Deflated Sharpe ratio over ten trials."""
     p = normal_cdf(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col("z"))))
     x = deflated(returns(spark, sf_dir)).select("strategy", "z", p.alias("p"))
     d = F.exp(F.log(F.greatest(F.col("p"), F.lit(1e-15))) + 9 * F.log(F.greatest(1 - F.col("p"), F.lit(1e-15))))
@@ -137,7 +145,7 @@ def sharpe_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.strategy, round(CASE WHEN abs(a.s) < 1e-12 THEN 0 ELSE greatest(0, (a.s - b.s) / abs(a.s)) END, 6) AS degradation, CASE WHEN abs(a.s) < 1e-12 THEN 0 ELSE greatest(0, (a.s - b.s) / abs(a.s)) END <= 0.3 AS passed FROM s a JOIN s b USING (strategy) WHERE a.half = 1 AND b.half = 2""")
 def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of Sharpe from the first half to the second."""
-    h = returns(spark, sf_dir).withColumn("half", F.ntile(2).over(Window.partitionBy("strategy").orderBy("obs")))
+    h = tiled(returns(spark, sf_dir).withColumnRenamed("obs", "n"), ["strategy"], 2, "half")
     s = lambda i: F.avg(F.when(F.col("half") == i, F.col("ret"))) / F.stddev_samp(F.when(F.col("half") == i, F.col("ret")))
     x = h.groupBy("strategy").agg(s(1).alias("a"), s(2).alias("b"))
     d = F.when(F.abs("a") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), (F.col("a") - F.col("b")) / F.abs("a")))
@@ -148,7 +156,7 @@ def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT strategy, round(CASE WHEN abs(lagged) < 1e-12 THEN 0 ELSE (now - lagged) / abs(lagged) END, 8) AS leak, CASE WHEN abs(lagged) < 1e-12 THEN 0 ELSE (now - lagged) / abs(lagged) END > 0.2 AS leaking FROM m""")
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metric that is much better without the lag looks ahead."""
-    x = returns(spark, sf_dir).withColumn("before", F.lag("ret").over(Window.partitionBy("strategy").orderBy("obs")))
+    x = lagged(returns(spark, sf_dir).withColumnRenamed("obs", "n"), ["strategy"], {"before": F.col("ret")})
     m = x.groupBy("strategy").agg(F.avg(F.when(F.col("before").isNotNull(), F.abs("ret"))).alias("now"), F.avg(F.abs("before")).alias("lagged"))
     v = F.when(F.abs("lagged") < 1e-12, 0.0).otherwise((F.col("now") - F.col("lagged")) / F.abs("lagged"))
     return m.select("strategy", F.round(v, 8).alias("leak"), (v > 0.2).alias("leaking"))
@@ -191,21 +199,22 @@ def _checks(rows: DataFrame, name: str, passed, value) -> DataFrame:
 def _all_checks() -> str:
     from ..plans.registry import ORACLES
 
-    part = {k: ORACLES[k] for k in ("sharpe_ceiling", "degradation", "leakage", "cpcv_scores", "sensitivity", "pbo")}
+    part = {k: ORACLES[k] for k in ("sharpe_ceiling", "dsr", "degradation", "leakage", "cpcv_scores", "sensitivity", "pbo")}
     return f"""SELECT strategy, 'Sharpe Ceiling' AS name, passed, sharpe AS value FROM ({part["sharpe_ceiling"]}) UNION ALL SELECT strategy, 'Complexity Penalty', complexity_passed, adjusted FROM ({part["sharpe_ceiling"]})
 UNION ALL SELECT strategy, 'Live Degradation', passed, degradation FROM ({part["degradation"]}) UNION ALL SELECT strategy, 'Information Leakage', NOT leaking, leak FROM ({part["leakage"]}) UNION ALL SELECT strategy, 'CPCV', mean > 0 AND failure_rate < 0.5, mean FROM ({part["cpcv_scores"]})
-UNION ALL SELECT strategy, 'Reward Sensitivity', bool_and(robust), CAST(bool_and(robust) AS INT) FROM ({part["sensitivity"]}) GROUP BY strategy UNION ALL SELECT 'ALL', 'PBO', passed, pbo FROM ({part["pbo"]})"""
+UNION ALL SELECT strategy, 'Reward Sensitivity', bool_and(robust), CAST(bool_and(robust) AS INT) FROM ({part["sensitivity"]}) GROUP BY strategy UNION ALL SELECT 'ALL', 'PBO', passed, pbo FROM ({part["pbo"]}) UNION ALL SELECT strategy, 'Deflated Sharpe Ratio', passed, dsr FROM ({part["dsr"]})"""
 
 
 @query(_all_checks())
 def validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All checks that SQL can express, as rows (strategy, name, passed, value)."""
+    """All eight checks as rows (strategy, name, passed, value)."""
     c, d, k, v, s, p = (f(spark, sf_dir) for f in (sharpe_ceiling, degradation, leakage, cpcv_scores, sensitivity, pbo))
+    e = dsr(spark, sf_dir)
     robust = s.groupBy("strategy").agg(F.every("robust").alias("robust"))
     parts = [
         _checks(c, "Sharpe Ceiling", F.col("passed"), F.col("sharpe")), _checks(c, "Complexity Penalty", F.col("complexity_passed"), F.col("adjusted")), _checks(d, "Live Degradation", F.col("passed"), F.col("degradation")),
         _checks(k, "Information Leakage", ~F.col("leaking"), F.col("leak")), _checks(v, "CPCV", (F.col("mean") > 0) & (F.col("failure_rate") < 0.5), F.col("mean")), _checks(robust, "Reward Sensitivity", F.col("robust"), F.col("robust").cast("int")),
-        _checks(p.withColumn("strategy", F.lit("ALL")), "PBO", F.col("passed"), F.col("pbo")),
+        _checks(p.withColumn("strategy", F.lit("ALL")), "PBO", F.col("passed"), F.col("pbo")), _checks(e, "Deflated Sharpe Ratio", F.col("passed"), F.col("dsr")),
     ]
     return reduce(DataFrame.unionByName, parts)
 

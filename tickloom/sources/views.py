@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,10 +64,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One return series for each strategy: strategy, obs (from 1, by time), ret."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("strategy").orderBy("ts_ns", "seq")
-    return trades(spark, sf_dir).select("strategy", F.row_number().over(w).alias("obs"), (F.col("pnl_c") / 10000.0).alias("ret"))
+    t = numbered(trades(spark, sf_dir).select("strategy", "seq", "pnl_c"), ["strategy"])
+    return t.select("strategy", F.col("n").alias("obs"), (F.col("pnl_c") / 10000.0).alias("ret"))
 
 
 #: The same views for DuckDB.
