@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import carried_last, frame_sums, haloed, lagged, numbered, running, runs
 from ..plans.registry import query
 from ..sources.views import SQL, decisions, ticks, trades
 
@@ -91,16 +92,44 @@ def staleness_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("seq", "ms", F.round(b["multiplier"], 9).alias("multiplier"), b["status"].alias("status"), b["lot"].alias("lot"), (b["lot"] >= 1000).alias("allowed"))
 
 
-@query(SQL + """, r AS (SELECT seq, strategy, ts_ns // 3600000000000 AS hour, q_sampled, row_number() OVER (PARTITION BY ts_ns // 3600000000000 ORDER BY abs(q_sampled) DESC, strategy, seq) - 1 AS rank, (k % 12) AS used FROM decisions),
-l AS (SELECT *, CASE WHEN used / 10.0 < 0.7 OR rank = 0 THEN 100000 ELSE CAST(floor(100000 * pow(0.5, rank)) AS BIGINT) END AS lot FROM r)
-SELECT seq, rank, lot, CASE WHEN used > 10 THEN 'over_limit' WHEN lot < 1000 THEN 'lot_too_small' ELSE 'ok' END AS outcome FROM l""")
+#: Units that all strategies may hold together, the share from which lower ranks get less, the size of a unit, the least lot.
+GLOBAL_LIMIT, SOFT_CAP, UNIT, LEAST_LOT = 10.0, 0.7, 100_000.0, 1000.0
+FILLED = "triggered AND direction IS NOT NULL AND skip_reason IS NULL"
+
+
+@query(SQL + f""", r AS (SELECT seq, strategy, direction, lots, CASE WHEN direction = 'Buy' THEN lots ELSE -lots END / {UNIT} AS delta, coalesce(sum(CASE WHEN {FILLED} THEN CASE WHEN direction = 'Buy' THEN lots ELSE -lots END / {UNIT} ELSE 0 END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position, abs(q_sampled) AS q,
+ {", ".join(f"last_value(CASE WHEN strategy = '{x}' THEN abs(q_sampled) END IGNORE NULLS) OVER (ORDER BY seq ROWS UNBOUNDED PRECEDING) AS q{x}" for x in "ABC")} FROM decisions),
+k AS (SELECT *, {" + ".join(f"CASE WHEN q{x} > q OR (q{x} = q AND '{x}' < strategy) THEN 1 ELSE 0 END" for x in "ABC")} AS rank FROM r WHERE direction IS NOT NULL),
+l AS (SELECT *, lots * CASE WHEN rank = 0 OR abs(position) / {GLOBAL_LIMIT} < {SOFT_CAP} THEN 1 ELSE pow(0.5, rank) END AS lot, abs(position + delta) > {GLOBAL_LIMIT} OR abs(position) > {GLOBAL_LIMIT} AS over FROM k)
+SELECT seq, CAST(position AS DOUBLE) AS position, CAST(rank AS BIGINT) AS rank, CASE WHEN over OR lot < {LEAST_LOT} THEN 0 ELSE CAST(floor(lot) AS BIGINT) END AS lot, CASE WHEN over THEN 'over_limit' WHEN lot < {LEAST_LOT} THEN 'lot_too_small' ELSE 'ok' END AS outcome FROM l""")
 def global_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position limit over all strategies: orders rank by action value, later ones get halved lots when it is nearly used."""
-    d = decisions(spark, sf_dir).withColumn("hour", F.expr("ts_ns div 3600000000000"))
-    w = Window.partitionBy("hour").orderBy(F.desc(F.abs("q_sampled")), "strategy", "seq")
-    x = d.select("seq", (F.row_number().over(w) - 1).cast("bigint").alias("rank"), (F.col("k") % 12).alias("used"))
-    lot = F.when((F.col("used") / 10.0 < 0.7) | (F.col("rank") == 0), 100000).otherwise(F.floor(100000 * F.pow(F.lit(0.5), F.col("rank")))).cast("bigint")
-    return x.select("seq", "rank", lot.alias("lot"), F.when(F.col("used") > 10, "over_limit").when(lot < 1000, "lot_too_small").otherwise("ok").alias("outcome"))
+    """Position limit over all strategies, for each order."""
+    return limited(decisions(spark, sf_dir)).select("seq", "position", "rank", "lot", "outcome")
+
+
+def limited(d: DataFrame, limit: float = GLOBAL_LIMIT, soft: float = SOFT_CAP) -> DataFrame:
+    """Orders against what all strategies hold together, from the fills before them: ``position``, ``rank``, ``lot``, ``outcome``.
+
+    An order that would pass the limit, or that comes while it is passed, is
+    blocked. Where most of the limit is used, a strategy gets half the lot for
+    each one whose last action value is greater (ties by name); too small a
+    lot is blocked as well.
+    """
+    signed = F.when(F.col("direction") == "Buy", F.col("lots")).otherwise(-F.col("lots")) / UNIT
+    q, s = F.abs("q_sampled"), F.col("strategy")
+    x = running(numbered(d.withColumn("__fill", F.when(F.expr(FILLED), signed).otherwise(0.0)), []), [], {"position": F.col("__fill")})
+    x = x.withColumn("position", F.col("position") - F.col("__fill"))
+    rank = F.lit(0)
+    for name in "ABC":
+        x = carried_last(x.withColumn(f"__{name}", F.when(s == name, q)), [], f"__{name}", f"__q{name}")
+        rank += F.coalesce(((F.col(f"__q{name}") > q) | ((F.col(f"__q{name}") == q) & (F.lit(name) < s))).cast("int"), F.lit(0))
+    x = x.where("direction is not null").withColumn("rank", rank.cast("bigint"))
+    lot = F.col("lots") * F.when((F.col("rank") == 0) | (F.abs("position") / limit < soft), 1.0).otherwise(F.pow(F.lit(0.5), F.col("rank")))
+    over = (F.abs(F.col("position") + signed) > limit) | (F.abs("position") > limit)
+    return x.select(
+        *d.columns, "position", "rank", F.when(over | (lot < LEAST_LOT), 0).otherwise(F.floor(lot)).cast("bigint").alias("lot"),
+        F.when(over, "over_limit").when(lot < LEAST_LOT, "lot_too_small").otherwise("ok").alias("outcome"),
+    )
 
 
 @query(SQL + """SELECT seq, CAST(floor(least(lots * m * b, b * 100000)) AS BIGINT) AS lot FROM (SELECT seq, lots, CASE WHEN k < 25 THEN CAST(0.25 AS DOUBLE) ELSE 1 END AS m, (event % 4) / CAST(4 AS DOUBLE) AS b FROM (SELECT seq, lots, k, seq AS event FROM trades))""")
@@ -120,13 +149,13 @@ def lifecycle_culling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def culled(t: DataFrame, threshold: float = -1.0, yearly: float = 252.0, episodes: int = 100, row: int = 5, strict: float = 1.5, unknown: Column | None = None) -> DataFrame:
     """When a strategy dies: at so many poor rolling Sharpe ratios (of 50 trades, by the year) in a row, once it has enough episodes; in an unknown regime the threshold is further off."""
-    o = Window.partitionBy("strategy").orderBy("ts_ns", "seq")
-    r = o.rowsBetween(-49, 0)
     least = F.lit(threshold) if unknown is None else F.when(unknown, threshold * strict).otherwise(threshold)
-    x = t.withColumns({"i": F.row_number().over(o), "s": F.avg("pnl_c").over(r) / F.greatest(F.stddev_samp("pnl_c").over(r), F.lit(1e-10)) * F.sqrt(F.lit(yearly)), "least": least})
-    x = x.withColumn("bad", F.coalesce((F.col("i") >= episodes) & (F.col("s") < F.col("least")), F.lit(False)))
-    x = x.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("strategy", "bad").orderBy("ts_ns", "seq"))).where("bad")
-    x = x.withColumn("run", F.row_number().over(Window.partitionBy("strategy", "island").orderBy("ts_ns", "seq"))).where(F.col("run") >= row)
+    x = haloed(numbered(t.select("strategy", "seq", "ts_ns", "pnl_c", least.alias("least")), ["strategy"]), halo=50)
+    x = frame_sums(x, Window.partitionBy("strategy", "chunk").orderBy("n"), "pnl_c", (50,)).where("own")
+    deviation = F.when(F.col("pnl_c_count_50") > 1, F.sqrt(F.col("pnl_c_m2_50") / (F.col("pnl_c_count_50") - 1)))
+    sharpe = F.col("pnl_c_mean_50") / F.greatest(deviation, F.lit(1e-10)) * F.sqrt(F.lit(yearly))
+    x = x.select("strategy", "seq", "ts_ns", "n", F.coalesce((F.col("n") >= episodes) & (sharpe < F.col("least")), F.lit(False)).alias("bad"))
+    x = runs(x, ["strategy"], F.col("bad")).where(F.col("bad") & (F.col("n") - F.col("begin") + 1 >= row))
     return x.groupBy("strategy").agg(F.min("ts_ns").alias("dead_ts_ns"), F.count("*").alias("n_bad"))
 
 
@@ -139,9 +168,8 @@ def weekend_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weekend_gaps(t: DataFrame, least_ns: int = 43_200_000_000_000) -> DataFrame:
     """First quotes of a Monday after a long gap since a weekday, by the trading day's zone."""
-    w = Window.partitionBy("symbol").orderBy("seq")
     local = lambda c: F.weekday(F.from_utc_timestamp(F.timestamp_micros(F.floor(F.col(c) / 1000)), ZONE))
-    x = t.select("symbol", "seq", "ts_ns", F.lag("ts_ns").over(w).alias("before"))
+    x = lagged(numbered(t.select("symbol", "seq", "ts_ns"), ["symbol"]), ["symbol"], {"before": F.col("ts_ns")})
     return x.where((local("before") <= 4) & (local("ts_ns") == 0) & (F.col("ts_ns") - F.col("before") >= least_ns)).select("symbol", "seq", (F.col("ts_ns") - F.col("before")).alias("gap_ns"))
 
 

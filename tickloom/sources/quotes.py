@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import carried_max
+from ..functions.ordered import carried_last, carried_max, lagged, numbered
 from ..plans.registry import query
 from .views import SQL, table, ticks
 
@@ -161,9 +161,8 @@ def replay_from_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SQL + ", n AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY seq) - 1 AS i FROM ticks) SELECT symbol, seq, max(CASE WHEN i % 10 = 0 THEN seq END) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS base_seq FROM n")
 def delta_base_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full record that a delta record starts from: every tenth one is full."""
-    o = Window.partitionBy("symbol").orderBy("seq")
-    n = ticks(spark, sf_dir).select("symbol", "seq", (F.row_number().over(o) - 1).alias("i"))
-    return n.select("symbol", "seq", F.last(F.when(F.col("i") % 10 == 0, F.col("seq")), True).over(o.rowsBetween(Window.unboundedPreceding, 0)).alias("base_seq"))
+    x = numbered(ticks(spark, sf_dir).select("symbol", "seq"), ["symbol"]).withColumn("full", F.when((F.col("n") - 1) % 10 == 0, F.col("seq")))
+    return carried_last(x, ["symbol"], "full", "base_seq").select("symbol", "seq", "base_seq")
 
 
 @query(SQL + ", m AS (SELECT max(ts_ns) AS b FROM ticks) SELECT symbol, count(*) FILTER (ts_ns >= b - 86400000000000) AS live, count(*) FILTER (ts_ns < b - 86400000000000) AS archived FROM ticks, m GROUP BY symbol")
@@ -178,7 +177,8 @@ def ttl_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT symbol, count(*) AS n, round(CASE WHEN count(*) > 1 THEN (max(ts_ns) - min(ts_ns)) / CAST(count(*) - 1 AS DOUBLE) / 1000000 ELSE 0 END, 6) AS mean_gap_ms, max(ts_ns - b) // 1000000 AS longest_gap_ms, coalesce(count(*) FILTER (ts_ns - b > 600000000000), 0) AS unhealthy FROM g GROUP BY symbol""")
 def feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and longest gap of a feed, and how often it was unhealthy (over ten minutes)."""
-    g = ticks(spark, sf_dir).withColumn("gap", F.col("ts_ns") - F.lag("ts_ns").over(Window.partitionBy("symbol").orderBy("seq")))
+    t = numbered(ticks(spark, sf_dir).select("symbol", "seq", "ts_ns"), ["symbol"])
+    g = lagged(t, ["symbol"], {"before": F.col("ts_ns")}).withColumn("gap", F.col("ts_ns") - F.col("before"))
     n = F.count("*")
     return g.groupBy("symbol").agg(
         n.alias("n"), F.when(n > 1, F.round((F.max("ts_ns") - F.min("ts_ns")) / (n - 1) / 1000000, 6)).otherwise(0.0).alias("mean_gap_ms"), F.expr("max(gap) div 1000000").alias("longest_gap_ms"), F.count_if(F.col("gap") > 600_000_000_000).alias("unhealthy")
