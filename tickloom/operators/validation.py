@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.ordered import lagged, tiled
+from ..functions.ordered import lagged, numbered, tiled
 from ..plans.registry import query
 from ..sources.views import SQL, returns
 
@@ -31,7 +31,7 @@ def splits(r: DataFrame, groups: int = GROUPS, test: int = TEST, gap: int = PURG
     test groups. The splits are a few rows, so the join on the group number
     multiplies observations by their number only.
     """
-    g = tiled(r.withColumn("n", F.col("obs")), ["strategy"], groups, "grp").drop("n")
+    g = tiled(numbered(r, ["strategy"], "obs"), ["strategy"], groups, "grp").drop("n")
     bounds = g.groupBy("strategy", "grp").agg(F.min("obs").alias("a"), F.max("obs").alias("b"))
     spark = r.sparkSession
     chosen = [(i, own, list(c)) for i, c in enumerate(combinations(range(1, groups + 1), test)) for own in range(1, groups + 1)]
