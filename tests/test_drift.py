@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.ordered import frame_slopes, haloed
-from tickloom.operators.drift import BINS, divergence, histograms, softmax_entropy
+from tickloom.functions import ordered
+from tickloom.functions.ordered import frame_slopes, frame_sums, haloed
+from tickloom.operators.drift import BINS, divergence, histograms, metric_slopes, model_metrics, softmax_entropy
 
 
 def test_slopes_over_chunks_and_nulls(spark):
@@ -59,3 +60,20 @@ def test_one_value_and_none(spark):
     assert [(r["t"], r["kl"], r["l2"]) for r in divergence(histograms(x, ["k"], "t", "v", first), ["k"], "t", first).orderBy("t").collect()] == [(0, 0.0, 0.0), (1, 0.0, 0.0)]
     none = x.where("t > 5")
     assert divergence(histograms(none, ["k"], "t", "v", first), ["k"], "t", first).count() == 0
+
+
+def test_metrics_and_trends_share_a_few_windows_that_hold_plain_rows(spark):
+    d = spark.createDataFrame([("A", i, "Buy", 100000, i % 11 / 1e4, i % 20 / 10, i % 100, i % 7 / 10) for i in range(50)], "strategy string, seq bigint, direction string, lots bigint, slippage double, latency_ms double, k bigint, q_sampled double")
+    for f in (metric_slopes, model_metrics):
+        plan = f(d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Window [") <= 12  # a final and an initial plan may both be shown; each trend had ten of its own
+    assert ordered.CHUNK + ordered.HALO <= ordered.HELD <= int(spark.conf.get("spark.sql.windowExec.buffer.in.memory.threshold"))
+
+
+def test_columns_together_equal_columns_alone(spark):
+    rng = np.random.default_rng(8)
+    x = haloed(spark.createDataFrame([("a", i + 1, float(rng.normal(9, 2)), None if i % 7 == 0 else float(i % 5)) for i in range(200)], "k string, n bigint, y double, z double"), chunk=64, halo=20)
+    w = Window.partitionBy("k", "chunk").orderBy("n")
+    for f in (frame_sums, frame_slopes):
+        both, alone = f(x, w, ("y", "z"), (10, 20)), f(f(x, w, "y", (10, 20)), w, "z", (10, 20))
+        assert sorted(map(str, both.select(*alone.columns).collect())) == sorted(map(str, alone.collect()))

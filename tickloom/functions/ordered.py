@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .stored import stored
 
-#: Sequence numbers of a bucket that is numbered at once; rows of a chunk and of the halo before it; nanoseconds of a stretch of an as-of join; rows of a block of an exponential mean.
-BUCKET, CHUNK, HALO, STRETCH, BLOCK = 1 << 16, 4096, 640, 86_400_000_000_000, 256
+#: Rows that each of Spark's windows keeps as plain rows; one row more, and every window of a task takes a page of up to 64 MB.
+HELD = 4096
+#: Sequence numbers of a bucket that is numbered at once; rows of a chunk and of the halo before it, together HELD; nanoseconds of a stretch of an as-of join; rows of a block of an exponential mean.
+BUCKET, CHUNK, HALO, STRETCH, BLOCK = 1 << 16, HELD - 640, 640, 86_400_000_000_000, 256
 #: Steps of a chunk that is composed and replayed as an array; longest block of an exponential mean; what is left of a block that doubles no longer see, and the largest power they hold, as logarithms.
 FAN, LONGEST, UNSEEN, LARGEST = 128, 1 << 16, 39.0, 600.0
 
@@ -43,42 +45,56 @@ def haloed(df: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
     return df.withColumn("__c", F.explode(copies)).select(*df.columns, "__c.chunk", "__c.own")
 
 
-def frame_sums(x: DataFrame, w, col: str, rows: tuple[int, ...]) -> DataFrame:
+def frame_sums(x: DataFrame, w, col: str | Sequence[str], rows: tuple[int, ...]) -> DataFrame:
     """Moments of ``col`` (nulls left out) over the last rows of each frame size: col_count_r, col_mean_r, col_m2_r (sum of squares about the mean).
 
     Running sums and their lag, centred on the chunk's mean, in place of a sum
-    over each row's frame.
+    over each row's frame. Several columns share the three windows, each of
+    which holds a chunk in memory.
     """
+    cols = [col] if isinstance(col, str) else list(col)
     all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = F.col(col) - F.col("__mid")
-    x = x.withColumns({"__mid": F.coalesce(F.avg(col).over(all_of), F.lit(0.0))})
-    x = x.withColumns({"__n": F.count(col).over(running), "__s": F.coalesce(F.sum(d).over(running), F.lit(0.0)), "__q": F.coalesce(F.sum(d * d).over(running), F.lit(0.0))})
-    x = x.withColumns({f"__{c}_{r}": F.col(f"__{c}") - F.coalesce(F.lag(f"__{c}", r).over(w), F.lit(0)) for r in rows for c in "nsq"})
+    x = x.withColumns({f"__mid_{c}": F.coalesce(F.avg(c).over(all_of), F.lit(0.0)) for c in cols})
+    own = {}
+    for c in cols:
+        d = F.col(c) - F.col(f"__mid_{c}")
+        own |= {f"__n_{c}": F.count(c).over(running), f"__s_{c}": F.coalesce(F.sum(d).over(running), F.lit(0.0)), f"__q_{c}": F.coalesce(F.sum(d * d).over(running), F.lit(0.0))}
+    x = x.withColumns(own)
+    x = x.withColumns({f"{o}_{r}": F.col(o) - F.coalesce(F.lag(o, r).over(w), F.lit(0)) for o in own for r in rows})
     out = {}
-    for r in rows:
-        n, s, q = (F.col(f"__{c}_{r}") for c in "nsq")
-        out[f"{col}_count_{r}"] = n
-        out[f"{col}_mean_{r}"] = F.when(n > 0, F.col("__mid") + s / n)
-        m2 = q - s * s / n
-        out[f"{col}_m2_{r}"] = F.when(n > 0, F.when(m2 > 1e-13 * F.col("__q"), m2).otherwise(0.0))  # below, the difference of running sums is rounding
-    return x.withColumns(out).drop("__mid", "__n", "__s", "__q", *[f"__{c}_{r}" for r in rows for c in "nsq"])
+    for c in cols:
+        for r in rows:
+            n, s, q = (F.col(f"__{k}_{c}_{r}") for k in "nsq")
+            out[f"{c}_count_{r}"] = n
+            out[f"{c}_mean_{r}"] = F.when(n > 0, F.col(f"__mid_{c}") + s / n)
+            m2 = q - s * s / n
+            out[f"{c}_m2_{r}"] = F.when(n > 0, F.when(m2 > 1e-13 * F.col(f"__q_{c}"), m2).otherwise(0.0))  # below, the difference of running sums is rounding
+    return x.withColumns(out).drop(*[f"__mid_{c}" for c in cols], *own, *[f"{o}_{r}" for o in own for r in rows])
 
 
-def frame_slopes(x: DataFrame, w, col: str, rows: tuple[int, ...]) -> DataFrame:
+def frame_slopes(x: DataFrame, w, col: str | Sequence[str], rows: tuple[int, ...]) -> DataFrame:
     """Least-squares slope of ``col`` against the row number ``n`` over the last rows of each frame size: col_slope_r, null where fewer than two have a value.
 
     From moments of the number and of its product with the value, both taken
-    from the chunk's middle, so sums stay small.
+    from the chunk's middle, so sums stay small. Several columns share the
+    windows.
     """
+    cols = [col] if isinstance(col, str) else list(col)
     all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mid, i = F.coalesce(F.avg(col).over(all_of), F.lit(0.0)), (F.col("n") - F.avg("n").over(all_of)).cast("double")
-    x = x.withColumns({"__base": mid, "__i": F.when(F.col(col).isNotNull(), i)})
-    x = x.withColumns({"__y": F.col(col) - F.col("__base"), "__z": F.col("__i") * (F.col(col) - F.col("__base"))})
-    for c in ("__i", "__y", "__z"):
-        x = frame_sums(x, w, c, rows)
-    out = {f"{col}_slope_{r}": F.when(F.col(f"__i_count_{r}") > 1, F.try_divide((F.col(f"__z_mean_{r}") - F.col(f"__i_mean_{r}") * F.col(f"__y_mean_{r}")) * F.col(f"__i_count_{r}"), F.col(f"__i_m2_{r}"))) for r in rows}
-    return x.withColumns(out).drop("__base", "__i", "__y", "__z", *[f"__{c}_{m}_{r}" for c in "iyz" for m in ("count", "mean", "m2") for r in rows])
+    i = (F.col("n") - F.avg("n").over(all_of)).cast("double")
+    x = x.withColumns({"__at": i, **{f"__base_{c}": F.coalesce(F.avg(c).over(all_of), F.lit(0.0)) for c in cols}})
+    parts = {}
+    for c in cols:
+        y = F.col(c) - F.col(f"__base_{c}")
+        parts |= {f"__i_{c}": F.when(F.col(c).isNotNull(), F.col("__at")), f"__y_{c}": y, f"__z_{c}": F.col("__at") * y}
+    x = frame_sums(x.withColumns(parts), w, list(parts), rows)
+    out = {}
+    for c in cols:
+        for r in rows:
+            of = lambda k, m: F.col(f"__{k}_{c}_{m}_{r}")  # noqa: B023, E731
+            out[f"{c}_slope_{r}"] = F.when(of("i", "count") > 1, F.try_divide((of("z", "mean") - of("i", "mean") * of("y", "mean")) * of("i", "count"), of("i", "m2")))
+    return x.withColumns(out).drop("__at", *[f"__base_{c}" for c in cols], *parts, *[f"{p}_{m}_{r}" for p in parts for m in ("count", "mean", "m2") for r in rows])
 
 
 def carried_max(rows: DataFrame, keys: list[str], col: str) -> DataFrame:

@@ -38,8 +38,7 @@ def observed(d: DataFrame) -> DataFrame:
 def model_metrics(d: DataFrame) -> DataFrame:
     """After each decision of a strategy, over its last 256: share of adjusted values, mean error of costs, deviations of latency and of slippage; and the entropy of the policy now."""
     w, x = Window.partitionBy("strategy", "chunk").orderBy("n"), observed(d)
-    for c in ("adjusted", "cost_error", "latency_ms", "slippage"):
-        x = frame_sums(x, w, c, (FRAME,))
+    x = frame_sums(x, w, ("adjusted", "cost_error", "latency_ms", "slippage"), (FRAME,))
     n, m2 = F.col(f"latency_ms_count_{FRAME}"), F.col(f"latency_ms_m2_{FRAME}")
     return x.where("own").withColumns({
         "q_value_adjustment_frequency": F.col(f"adjusted_mean_{FRAME}"), "dynamic_cost_estimate_error": F.col(f"cost_error_mean_{FRAME}"),
@@ -50,9 +49,7 @@ def model_metrics(d: DataFrame) -> DataFrame:
 def metric_slopes(d: DataFrame) -> DataFrame:
     """Slopes of latency, slippage and error of costs over a strategy's last 256 decisions, for each decision; null for its first."""
     w, x = Window.partitionBy("strategy", "chunk").orderBy("n"), observed(d)
-    for c in TRENDS:
-        x = frame_slopes(x, w, c, (FRAME,))
-    return x.where("own")
+    return frame_slopes(x, w, TRENDS, (FRAME,)).where("own")
 
 
 OBSERVED = SQL + f""", ob AS (SELECT *, row_number() OVER o AS n, CASE WHEN round(abs(q_sampled - lag(q_sampled) OVER o) / greatest(abs(lag(q_sampled) OVER o), {LEAST_VALUE}), 9) > {ADJUSTED} THEN CAST(1 AS DOUBLE) ELSE 0 END AS adjusted,
