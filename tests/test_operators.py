@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +196,32 @@ def test_rows_of_a_split_file_are_numbered_in_order(spark, tmp_path):
         assert quotes.lenient(raw).count() == 3000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def folds_input(spark):
+    rng = random.Random(6)
+    rows = [(s, 3 * i + (i > 40), None if i % 19 == 0 else rng.gauss(0.1, 1) if s != "c" else 0.5) for s, n in (("a", 130), ("b", 97), ("c", 60)) for i in range(n)]
+    return spark.createDataFrame(rows, "strategy string, obs bigint, ret double").repartition(4)
+
+
+def test_sums_by_split_equal_sums_over_copies(spark):
+    r = folds_input(spark)
+    got = validation.split_sums(r).groupBy("strategy", "split", "role").agg(F.sum("n").alias("n"), F.sum("sum_obs").alias("s"))
+    want = validation.splits(r).groupBy("strategy", "split", "role").agg(F.count("*").alias("n"), F.sum("obs").alias("s"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert validation.zones(r).count() == 287  # no observation is copied
+
+
+def test_scores_by_sums_equal_scores_over_copies(spark):
+    r, sd = folds_input(spark), F.stddev_samp("ret")
+    want = validation.splits(r).where("role <> 'purged'").groupBy("strategy", "split", "role").agg(F.when(sd > 1e-12, F.avg("ret") / sd).otherwise(0.0).alias("sharpe"))
+    got = {x[:3]: x[3] for x in map(tuple, validation.scores(r).collect())}
+    want = {x[:3]: x[3] for x in map(tuple, want.collect())}
+    assert got.keys() == want.keys() and len(got) == 90
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want) and all(v == 0 for k, v in got.items() if k[0] == "c")
+
+
+def test_no_join_deals_observations_out_by_strategy(spark):
+    r = folds_input(spark).withColumn("n", F.col("obs"))
+    for x in (validation.splits(r), validation.scores(r), validation.degraded(r), validation.deflated(r)):
+        assert "SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString()

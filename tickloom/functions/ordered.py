@@ -182,8 +182,12 @@ def runs(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
 
 
 def tiled(df: DataFrame, keys: list[str], groups: int, out: str) -> DataFrame:
-    """Numbered rows in ``groups`` contiguous groups per key, as equal as can be (the first ones longer), from numbers and counts."""
-    x = df.join(df.groupBy(*keys).agg(F.max("n").alias("__rows")), keys)
+    """Numbered rows in ``groups`` contiguous groups per key, as equal as can be (the first ones longer), from numbers and counts.
+
+    A key's count, one row for each key, goes to the rows: rows that were
+    dealt out by few keys would be as few tasks.
+    """
+    x = df.join(F.broadcast(df.groupBy(*keys).agg(F.max("n").alias("__rows"))), keys)
     each, more = F.floor(F.col("__rows") / groups), F.col("__rows") % groups
     long, at = more * (each + 1), F.col("n") - 1
     return x.withColumn(out, F.when(at < long, F.floor(at / (each + 1)) + 1).otherwise(more + F.floor((at - long) / F.greatest(each, F.lit(1))) + 1).cast("int")).drop("__rows")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.ordered import lagged, numbered, tiled
+from ..functions.stored import stored
 from ..plans.registry import query
 from ..sources.views import SQL, returns
 
@@ -24,22 +25,46 @@ def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)) if v == v else None)
 
 
-def splits(r: DataFrame, groups: int = GROUPS, test: int = TEST, gap: int = PURGE + EMBARGO) -> DataFrame:
-    """Each observation's role in each split: test, purged (within ``gap`` of a test group) or train.
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The return series, written once, with their row numbers ``n`` (those of ``returns`` have no gaps)."""
+    return stored(returns(spark, sf_dir), "returns").withColumn("n", F.col("obs"))
+
 
-    Groups are contiguous and as equal as can be; splits are all choices of
-    test groups. The splits are a few rows, so the join on the group number
-    multiplies observations by their number only.
+def zones(r: DataFrame, groups: int = GROUPS, gap: int = PURGE + EMBARGO) -> DataFrame:
+    """Observations with their group ``grp`` and ``near``, the groups that they are within ``gap`` of.
+
+    Groups are contiguous and as equal as can be. What is known of a strategy's
+    groups is one row, which goes to the observations.
     """
-    g = tiled(numbered(r, ["strategy"], "obs"), ["strategy"], groups, "grp").drop("n")
+    g = tiled(r if "n" in r.columns else numbered(r, ["strategy"], "obs"), ["strategy"], groups, "grp").drop("n")
     bounds = g.groupBy("strategy", "grp").agg(F.min("obs").alias("a"), F.max("obs").alias("b"))
-    spark = r.sparkSession
-    chosen = [(i, own, list(c)) for i, c in enumerate(combinations(range(1, groups + 1), test)) for own in range(1, groups + 1)]
-    plan = spark.createDataFrame(chosen, "split int, grp int, tests array<int>")
     per = bounds.groupBy("strategy").agg(F.map_from_entries(F.collect_list(F.struct("grp", F.struct("a", "b")))).alias("at"))  # one entry for each group
-    x = g.join(plan, "grp").join(per, "strategy")
-    near = F.exists("tests", lambda t: (F.col("obs") >= F.col("at")[t]["a"] - gap) & (F.col("obs") <= F.col("at")[t]["b"] + gap))
-    return x.select("strategy", "split", "obs", "ret", F.when(F.array_contains("tests", F.col("grp")), "test").when(near, "purged").otherwise("train").alias("role"))
+    near = F.filter(F.sequence(F.lit(1), F.lit(groups)), lambda t: (F.col("obs") >= F.col("at")[t]["a"] - gap) & (F.col("obs") <= F.col("at")[t]["b"] + gap))
+    return g.join(F.broadcast(per), "strategy").withColumn("near", near).drop("at")
+
+
+def dealt(x: DataFrame, groups: int = GROUPS, test: int = TEST) -> DataFrame:
+    """Each row of ``zones``, or sums of them by group and ``near``, once for each split (all choices of test groups) with its role: test, purged (near a test group) or train."""
+    chosen = [(i, own, list(c)) for i, c in enumerate(combinations(range(1, groups + 1), test)) for own in range(1, groups + 1)]
+    plan = x.sparkSession.createDataFrame(chosen, "split int, grp int, tests array<int>")
+    role = F.when(F.array_contains("tests", F.col("grp")), "test").when(F.arrays_overlap("tests", "near"), "purged").otherwise("train")
+    return x.join(F.broadcast(plan), "grp").withColumn("role", role).drop("tests")
+
+
+def splits(r: DataFrame, groups: int = GROUPS, test: int = TEST, gap: int = PURGE + EMBARGO) -> DataFrame:
+    """Each observation's role in each split: as many rows as observations times splits."""
+    return dealt(zones(r, groups, gap), groups, test).select("strategy", "split", "obs", "ret", "role")
+
+
+def split_sums(r: DataFrame, groups: int = GROUPS, test: int = TEST, gap: int = PURGE + EMBARGO) -> DataFrame:
+    """(strategy, split, role) in parts with n, sum_obs, and k, mean and m2 (sum of squares about the mean) of the known returns.
+
+    Observations are added up by group and ``near`` before they meet the
+    splits, so none of them is copied.
+    """
+    k = F.count("ret")
+    x = zones(r, groups, gap).groupBy("strategy", "grp", "near").agg(F.count("*").alias("n"), F.sum("obs").alias("sum_obs"), k.alias("k"), F.avg("ret").alias("mean"), (F.var_pop("ret") * k).alias("m2"))
+    return dealt(x, groups, test)
 
 
 SPLITS = SQL + f""", g AS (SELECT *, ntile({GROUPS}) OVER (PARTITION BY strategy ORDER BY obs) AS grp FROM rets), bd AS (SELECT strategy, grp, min(obs) AS a, max(obs) AS b FROM g GROUP BY ALL),
@@ -51,7 +76,7 @@ sp AS (SELECT g.strategy, split, obs, ret, CASE WHEN g.grp IN (x, y) THEN 'test'
 
 @query(SPLITS + "SELECT strategy, CAST(split AS INT) AS split, role, count(*) AS n, CAST(sum(obs) AS BIGINT) AS sum_obs FROM sp GROUP BY ALL")
 def cpcv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits(returns(spark, sf_dir)).groupBy("strategy", "split", "role").agg(F.count("*").alias("n"), F.sum("obs").cast("bigint").alias("sum_obs"))
+    return split_sums(series(spark, sf_dir)).groupBy("strategy", "split", "role").agg(F.sum("n").alias("n"), F.sum("sum_obs").cast("bigint").alias("sum_obs"))
 
 
 def scores(r: DataFrame) -> DataFrame:
