@@ -81,8 +81,11 @@ def cpcv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(r: DataFrame) -> DataFrame:
     """Sharpe of each strategy, split and role."""
-    sd = F.stddev_samp("ret")
-    return splits(r).where("role <> 'purged'").groupBy("strategy", "split", "role").agg(F.when(sd > 1e-12, F.avg("ret") / sd).otherwise(0.0).alias("sharpe"))
+    own = Window.partitionBy("strategy", "split", "role")  # a few parts
+    x = split_sums(r).where("role <> 'purged'").withColumn("all", F.sum(F.col("k") * F.col("mean")).over(own) / F.sum("k").over(own))
+    x = x.groupBy("strategy", "split", "role", "all").agg(F.sum("k").alias("k"), F.sum(F.col("m2") + F.col("k") * (F.col("mean") - F.col("all")) ** 2).alias("m2"))
+    sd = F.sqrt(F.try_divide(F.col("m2"), F.col("k") - 1))
+    return x.select("strategy", "split", "role", F.when(sd > 1e-12, F.col("all") / sd).otherwise(0.0).alias("sharpe"))
 
 
 SCORES = SPLITS + ", sc AS (SELECT strategy, split, role, CASE WHEN stddev_samp(ret) > 1e-12 THEN avg(ret) / stddev_samp(ret) ELSE 0 END AS sharpe FROM sp WHERE role <> 'purged' GROUP BY ALL)\n"
@@ -90,8 +93,13 @@ SCORES = SPLITS + ", sc AS (SELECT strategy, split, role, CASE WHEN stddev_samp(
 
 @query(SCORES + "SELECT strategy, round(avg(sharpe), 8) AS mean, round(stddev_samp(sharpe), 8) AS std, round(min(sharpe), 8) AS low, round(max(sharpe), 8) AS high, round(avg(CASE WHEN sharpe <= 0 THEN 1.0 ELSE 0.0 END), 8) AS failure_rate FROM sc WHERE role = 'test' GROUP BY strategy")
 def cpcv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_scores(scores(series(spark, sf_dir)))
+
+
+def fold_scores(sharpes: DataFrame) -> DataFrame:
+    """How the Sharpes of a strategy's test parts lie."""
     s = F.col("sharpe")
-    return scores(returns(spark, sf_dir)).where("role = 'test'").groupBy("strategy").agg(
+    return sharpes.where("role = 'test'").groupBy("strategy").agg(
         F.round(F.avg(s), 8).alias("mean"), F.round(F.stddev_samp(s), 8).alias("std"), F.round(F.min(s), 8).alias("low"), F.round(F.max(s), 8).alias("high"), F.round(F.avg(F.when(s <= 0, 1.0).otherwise(0.0)), 8).alias("failure_rate")
     )
 
