@@ -108,7 +108,11 @@ def fold_scores(sharpes: DataFrame) -> DataFrame:
 SELECT count(*) AS splits, round(avg(CASE WHEN rank >= 1 THEN 1.0 ELSE 0.0 END), 8) AS pbo, avg(CASE WHEN rank >= 1 THEN 1.0 ELSE 0.0 END) <= 0.1 AS passed FROM tr JOIN te USING (split, strategy) WHERE i = 1""")
 def pbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of backtest overfitting: how often the best in training is in the lower half of the test ranks."""
-    s = scores(returns(spark, sf_dir))
+    return overfitting(scores(series(spark, sf_dir)))
+
+
+def overfitting(s: DataFrame) -> DataFrame:
+    """The same of given Sharpes (strategy, split, role, sharpe)."""
     rank = F.row_number().over(Window.partitionBy("split").orderBy(F.desc("sharpe"), "strategy"))
     best = s.where("role = 'train'").withColumn("i", rank).where("i = 1").select("split", "strategy")
     te = s.where("role = 'test'").select("split", "strategy", (rank - 1).alias("rank"))
