@@ -123,7 +123,7 @@ def overfitting(s: DataFrame) -> DataFrame:
 def moments(r: DataFrame) -> DataFrame:
     """Mean, sample deviation, skewness and excess kurtosis by the sample deviation's powers."""
     m = r.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
-    x = r.join(m, "strategy")
+    x = r.select("strategy", "ret").join(F.broadcast(m), "strategy")  # a row for each strategy
     z = F.when(F.col("sd") > 1e-12, F.try_divide(F.col("ret") - F.col("mean"), F.col("sd"))).otherwise(0.0)
     return x.groupBy("strategy", "n", "mean", "sd").agg(F.avg(z * z * z).alias("skew"), (F.avg(z * z * z * z) - 3).alias("kurtosis"))
 
@@ -156,8 +156,13 @@ SELECT strategy, round(p, 8) AS p, round(dsr, 8) AS dsr, dsr >= 0.95 AS passed F
 @query(DEFLATED)
 def dsr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deflated Sharpe ratio over ten trials."""
+    return deflation(returns(spark, sf_dir))
+
+
+def deflation(r: DataFrame) -> DataFrame:
+    """The same of given series."""
     p = normal_cdf(F.greatest(F.lit(-8.0), F.least(F.lit(8.0), F.col("z"))))
-    x = deflated(returns(spark, sf_dir)).select("strategy", "z", p.alias("p"))
+    x = deflated(r).select("strategy", "z", p.alias("p"))
     d = F.exp(F.log(F.greatest(F.col("p"), F.lit(1e-15))) + 9 * F.log(F.greatest(1 - F.col("p"), F.lit(1e-15))))
     return x.select("strategy", F.round("p", 8).alias("p"), F.round(d, 8).alias("dsr"), (d >= 0.95).alias("passed"))
 
@@ -173,16 +178,26 @@ def _yearly(c: str = "ret"):
 @query(SQL + f"SELECT strategy, {YEARLY} AS sharpe, {YEARLY} <= 1.5 AS passed, round({YEARLY} / sqrt(38), 6) AS adjusted, {YEARLY} / sqrt(38) > 0 OR {YEARLY} <= 0 AS complexity_passed FROM rets GROUP BY strategy")
 def sharpe_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A yearly Sharpe that is too good fails; the complexity penalty divides by the root of the features."""
+    return ceilings(returns(spark, sf_dir))
+
+
+def ceilings(r: DataFrame) -> DataFrame:
+    """The same of given series."""
     s = F.round(_yearly(), 7)
     a = s / F.sqrt(F.lit(38.0))
-    return returns(spark, sf_dir).groupBy("strategy").agg(s.alias("sharpe"), (s <= 1.5).alias("passed"), F.round(a, 6).alias("adjusted"), ((a > 0) | (s <= 0)).alias("complexity_passed"))
+    return r.groupBy("strategy").agg(s.alias("sharpe"), (s <= 1.5).alias("passed"), F.round(a, 6).alias("adjusted"), ((a > 0) | (s <= 0)).alias("complexity_passed"))
 
 
 @query(SQL + """, h AS (SELECT strategy, ntile(2) OVER (PARTITION BY strategy ORDER BY obs) AS half, ret FROM rets), s AS (SELECT strategy, half, avg(ret) / stddev_samp(ret) AS s FROM h GROUP BY ALL)
 SELECT a.strategy, round(CASE WHEN abs(a.s) < 1e-12 THEN 0 ELSE greatest(0, (a.s - b.s) / abs(a.s)) END, 6) AS degradation, CASE WHEN abs(a.s) < 1e-12 THEN 0 ELSE greatest(0, (a.s - b.s) / abs(a.s)) END <= 0.3 AS passed FROM s a JOIN s b USING (strategy) WHERE a.half = 1 AND b.half = 2""")
 def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of Sharpe from the first half to the second."""
-    h = tiled(returns(spark, sf_dir).withColumnRenamed("obs", "n"), ["strategy"], 2, "half")
+    return degraded(series(spark, sf_dir))
+
+
+def degraded(r: DataFrame) -> DataFrame:
+    """The same of given numbered series."""
+    h = tiled(r, ["strategy"], 2, "half")
     s = lambda i: F.avg(F.when(F.col("half") == i, F.col("ret"))) / F.stddev_samp(F.when(F.col("half") == i, F.col("ret")))
     x = h.groupBy("strategy").agg(s(1).alias("a"), s(2).alias("b"))
     d = F.when(F.abs("a") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), (F.col("a") - F.col("b")) / F.abs("a")))
@@ -193,7 +208,12 @@ def degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT strategy, round(CASE WHEN abs(lagged) < 1e-12 THEN 0 ELSE (now - lagged) / abs(lagged) END, 8) AS leak, CASE WHEN abs(lagged) < 1e-12 THEN 0 ELSE (now - lagged) / abs(lagged) END > 0.2 AS leaking FROM m""")
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A metric that is much better without the lag looks ahead."""
-    x = lagged(returns(spark, sf_dir).withColumnRenamed("obs", "n"), ["strategy"], {"before": F.col("ret")})
+    return leaks(returns(spark, sf_dir).withColumnRenamed("obs", "n"))
+
+
+def leaks(r: DataFrame) -> DataFrame:
+    """The same of given numbered series."""
+    x = lagged(r, ["strategy"], {"before": F.col("ret")})
     m = x.groupBy("strategy").agg(F.avg(F.when(F.col("before").isNotNull(), F.abs("ret"))).alias("now"), F.avg(F.abs("before")).alias("lagged"))
     v = F.when(F.abs("lagged") < 1e-12, 0.0).otherwise((F.col("now") - F.col("lagged")) / F.abs("lagged"))
     return m.select("strategy", F.round(v, 8).alias("leak"), (v > 0.2).alias("leaking"))
@@ -208,9 +228,14 @@ v AS (SELECT strategy, param, factor, avg(CASE param WHEN 'cost' THEN abs(ret) -
 SELECT strategy, param, round(min(perf / base), 6) AS worst, bool_and(perf / base >= 0.5) AS robust FROM v GROUP BY ALL""")
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One parameter at a time by six factors: robust where no result falls under half the base. One pass, no copies of the returns."""
+    return sensitivities(returns(spark, sf_dir))
+
+
+def sensitivities(r: DataFrame) -> DataFrame:
+    """The same of given series."""
     a = F.abs("ret")
     value = {"cost": lambda f: a - 0.01 * f, "scale": lambda f: a * f, "cap": lambda f: F.least(a, F.lit(0.4 * f))}
-    m = returns(spark, sf_dir).groupBy("strategy").agg(*[F.avg(g(f)).alias(f"{p}_{i}") for p, g in value.items() for i, f in enumerate((1.0, *FACTORS))])
+    m = r.groupBy("strategy").agg(*[F.avg(g(f)).alias(f"{p}_{i}") for p, g in value.items() for i, f in enumerate((1.0, *FACTORS))])
     parts = []
     for p in value:
         ratio = [F.col(f"{p}_{i + 1}") / F.col(f"{p}_0") for i in range(len(FACTORS))]
@@ -244,9 +269,10 @@ UNION ALL SELECT strategy, 'Reward Sensitivity', bool_and(robust), CAST(bool_and
 
 @query(_all_checks())
 def validation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All eight checks as rows (strategy, name, passed, value)."""
-    c, d, k, v, s, p = (f(spark, sf_dir) for f in (sharpe_ceiling, degradation, leakage, cpcv_scores, sensitivity, pbo))
-    e = dsr(spark, sf_dir)
+    """All eight checks as rows (strategy, name, passed, value), over series that are written once."""
+    r = series(spark, sf_dir)
+    folds = stored(scores(r), "sharpes")
+    c, d, k, v, s, p, e = ceilings(r), degraded(r), leaks(r), fold_scores(folds), sensitivities(r), overfitting(folds), deflation(r)
     robust = s.groupBy("strategy").agg(F.every("robust").alias("robust"))
     parts = [
         _checks(c, "Sharpe Ceiling", F.col("passed"), F.col("sharpe")), _checks(c, "Complexity Penalty", F.col("complexity_passed"), F.col("adjusted")), _checks(d, "Live Degradation", F.col("passed"), F.col("degradation")),
