@@ -165,3 +165,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.csv(str(tmp_path / "r/performance_summary"), header=True).count() == 7
     (tmp_path / "x.json").write_text('{"returns": [1.0]}')
     assert cli.main(["check", str(tmp_path / "x.json")]) == 1
+
+
+def test_several_right_sides_in_one_pass_equal_one_after_another(spark):
+    rng = random.Random(9)
+    times = lambda n: [(i, rng.randrange(400), float(i)) for i in range(n)]
+    a, b, c = (spark.createDataFrame(times(n), f"seq long, ts_ns long, {v} double") for n, v in ((90, "x"), (40, "u"), (30, "v")))
+    c = c.where("ts_ns > 150")
+    both = ordered.asof_all(a, [(b, ["u"]), (c, ["v"])], stretch=35, times=a.select("ts_ns"))
+    alone = ordered.asof(ordered.asof(a, b, ["u"], stretch=1000), c, ["v"], stretch=1000)
+    assert sorted(map(str, both.collect())) == sorted(map(str, alone.collect()))
+    assert both.where("v is null").count() > 0
+
+
+def test_sums_of_a_span_are_carried_on(spark):
+    x = spark.range(20).select(F.col("id").alias("seq"), (F.col("id") * 3).alias("ts_ns"), F.lit(1.0).alias("v"))
+    plan = ordered.recent(x.select("seq", "ts_ns"), x, {"s": F.col("v")}, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$()" in plan and "RangeFrame, -50" not in plan
+
+
+@needs_tables
+def test_flattening_does_not_join_with_itself(spark):
+    import re
+
+    assert not re.search(r"Join \[symbol#\d+, seq#", vector.flatten_unflatten(spark, SF)._jdf.queryExecution().executedPlan().toString())

@@ -22,7 +22,7 @@ from .stored import stored
 #: Rows that each of Spark's windows keeps as plain rows; one row more, and every window of a task takes a page of up to 64 MB.
 HELD = 4096
 #: Sequence numbers of a bucket that is numbered at once; rows of a chunk and of the halo before it, together HELD; nanoseconds of a stretch of an as-of join; rows of a block of an exponential mean.
-BUCKET, CHUNK, HALO, STRETCH, BLOCK = 1 << 16, HELD - 640, 640, 86_400_000_000_000, 256
+BUCKET, CHUNK, HALO, STRETCH, BLOCK = 1 << 16, HELD - 640, 640, 3_600_000_000_000, 256
 #: Steps of a chunk that is composed and replayed as an array; longest block of an exponential mean; what is left of a block that doubles no longer see, and the largest power they hold, as logarithms.
 FAN, LONGEST, UNSEEN, LARGEST = 128, 1 << 16, 39.0, 600.0
 
@@ -45,14 +45,14 @@ def haloed(df: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
     return df.withColumn("__c", F.explode(copies)).select(*df.columns, "__c.chunk", "__c.own")
 
 
-def frame_sums(x: DataFrame, w, col: str | Sequence[str], rows: tuple[int, ...]) -> DataFrame:
+def frame_sums(x: DataFrame, w, col: str | Sequence[str] | dict[str, tuple[int, ...]], rows: tuple[int, ...] = ()) -> DataFrame:
     """Moments of ``col`` (nulls left out) over the last rows of each frame size: col_count_r, col_mean_r, col_m2_r (sum of squares about the mean).
 
     Running sums and their lag, centred on the chunk's mean, in place of a sum
     over each row's frame. Several columns share the three windows, each of
-    which holds a chunk in memory.
+    which holds a chunk in memory; a dict gives each column its frame sizes.
     """
-    cols = [col] if isinstance(col, str) else list(col)
+    cols = col if isinstance(col, dict) else {c: rows for c in ([col] if isinstance(col, str) else col)}
     all_of = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumns({f"__mid_{c}": F.coalesce(F.avg(c).over(all_of), F.lit(0.0)) for c in cols})
@@ -61,16 +61,16 @@ def frame_sums(x: DataFrame, w, col: str | Sequence[str], rows: tuple[int, ...])
         d = F.col(c) - F.col(f"__mid_{c}")
         own |= {f"__n_{c}": F.count(c).over(running), f"__s_{c}": F.coalesce(F.sum(d).over(running), F.lit(0.0)), f"__q_{c}": F.coalesce(F.sum(d * d).over(running), F.lit(0.0))}
     x = x.withColumns(own)
-    x = x.withColumns({f"{o}_{r}": F.col(o) - F.coalesce(F.lag(o, r).over(w), F.lit(0)) for o in own for r in rows})
+    x = x.withColumns({f"__{k}_{c}_{r}": F.col(f"__{k}_{c}") - F.coalesce(F.lag(f"__{k}_{c}", r).over(w), F.lit(0)) for c in cols for k in "nsq" for r in cols[c]})
     out = {}
     for c in cols:
-        for r in rows:
+        for r in cols[c]:
             n, s, q = (F.col(f"__{k}_{c}_{r}") for k in "nsq")
             out[f"{c}_count_{r}"] = n
             out[f"{c}_mean_{r}"] = F.when(n > 0, F.col(f"__mid_{c}") + s / n)
             m2 = q - s * s / n
             out[f"{c}_m2_{r}"] = F.when(n > 0, F.when(m2 > 1e-13 * F.col(f"__q_{c}"), m2).otherwise(0.0))  # below, the difference of running sums is rounding
-    return x.withColumns(out).drop(*[f"__mid_{c}" for c in cols], *own, *[f"{o}_{r}" for o in own for r in rows])
+    return x.withColumns(out).drop(*[f"__mid_{c}" for c in cols], *own, *[f"__{k}_{c}_{r}" for c in cols for k in "nsq" for r in cols[c]])
 
 
 def frame_slopes(x: DataFrame, w, col: str | Sequence[str], rows: tuple[int, ...]) -> DataFrame:
@@ -104,22 +104,35 @@ def carried_max(rows: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 
 def asof(left: DataFrame, right: DataFrame, cols: list[str], ts: str = "ts_ns", seq: str = "seq", stretch: int = STRETCH, by: Sequence[str] = ()) -> DataFrame:
-    """Left rows with the columns ``cols`` of the last right row of their key ``by`` at or before them (null if none).
+    """Left rows with the columns ``cols`` of the last right row of their key ``by`` at or before them (null if none)."""
+    return asof_all(left, [(right, cols)], ts, seq, stretch, by)
+
+
+def asof_all(left: DataFrame, rights: Sequence[tuple[DataFrame, list[str]]], ts: str = "ts_ns", seq: str = "seq", stretch: int = STRETCH, by: Sequence[str] = (), times: DataFrame | None = None) -> DataFrame:
+    """The same for several right sides, each with its columns, in one pass over the left rows.
 
-    Both sides meet by key and stretch of time; what a stretch begins with is
+    All sides meet by key and stretch of time; what a stretch begins with is
     the last state of the key's earlier stretches, one row for each of them.
+    ``times`` are the left rows' keys and times, if they come cheaper than from
+    the left rows themselves.
     """
     by, day = list(by), F.floor(F.col(ts) / stretch)
-    state = F.struct(*cols)
-    u = left.withColumns({"__day": day, "__kind": F.lit(1), "__state": F.lit(None).cast(right.select(state.alias("s")).schema["s"].dataType)})
-    v = right.select(*by, F.col(ts), F.col(seq), day.alias("__day"), F.lit(0).alias("__kind"), state.alias("__state"))
-    ends = v.groupBy(*by, "__day").agg(F.max_by("__state", F.struct(ts, seq)).alias("__end"))
-    days = left.select(*by, day.alias("__day")).distinct().join(ends, [*by, "__day"], "full")
-    days = days.select(*by, "__day", F.last("__end", True).over(Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    x = u.unionByName(v, allowMissingColumns=True)
-    x = x.withColumn("__own", F.last("__state", True).over(Window.partitionBy(*by, "__day").orderBy(ts, "__kind", seq).rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.where("__kind = 1").join(days, [*by, "__day"], "left").withColumn("__at", F.coalesce("__own", "__before"))
-    return x.select(*left.columns, *[F.col(f"__at.{c}").alias(c) for c in cols])
+    places = range(len(rights))
+    states = [F.struct(*cols) for _, cols in rights]
+    none = {f"__state{i}": F.lit(None).cast(r.select(s.alias("s")).schema["s"].dataType) for i, ((r, _), s) in enumerate(zip(rights, states, strict=True))}
+    x = left.withColumns({"__day": day, "__kind": F.lit(1), **none})
+    days = (left if times is None else times).select(*by, day.alias("__day")).distinct()
+    for i, (right, _) in enumerate(rights):
+        v = right.select(*by, F.col(ts), F.col(seq), day.alias("__day"), F.lit(0).alias("__kind"), states[i].alias(f"__state{i}"))
+        days = days.join(v.groupBy(*by, "__day").agg(F.max_by(f"__state{i}", F.struct(ts, seq)).alias(f"__end{i}")), [*by, "__day"], "full")
+        x = x.unionByName(v, allowMissingColumns=True)
+    before = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*by, "__day", *[F.last(f"__end{i}", True).over(before).alias(f"__before{i}") for i in places])
+    own = Window.partitionBy(*by, "__day").orderBy(ts, "__kind", seq).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({f"__own{i}": F.last(f"__state{i}", True).over(own) for i in places})
+    x = x.where("__kind = 1").join(days, [*by, "__day"], "left")
+    at = [F.coalesce(f"__own{i}", f"__before{i}") for i in places]
+    return x.select(*left.columns, *[at[i][c].alias(c) for i, (_, cols) in enumerate(rights) for c in cols])
 
 
 def scan(df: DataFrame, keys: list[str], step: Column, then: Callable[[Column, Column], Column], move: Callable[[Column, Column], Column], start: Column, fan: int = FAN) -> DataFrame:
@@ -157,13 +170,16 @@ def recent(left: DataFrame, right: DataFrame, sums: dict[str, Column], span: int
     """Left rows with sums over the right rows of their key ``by`` of the last ``span`` nanoseconds (both ends included).
 
     A right row goes to its own span of time and to the next, so windows are
-    over spans, not over all time.
+    over spans, not over all time. A sum is that of all rows so far less that
+    of the rows before the frame, both of which are carried on from row to
+    row, however many rows a span holds; so values must be finite.
     """
     at, by = F.floor(F.col(ts) / span), list(by)
     u = left.withColumns({"__at": at, "__kind": F.lit(1), **{c: F.lit(None).cast("double") for c in sums}})
     v = right.select(*by, ts, F.explode(F.array(at, at + 1)).alias("__at"), F.lit(0).alias("__kind"), *[e.cast("double").alias(c) for c, e in sums.items()])
-    w = Window.partitionBy(*by, "__at").orderBy(ts).rangeBetween(-span, 0)
-    x = u.unionByName(v, allowMissingColumns=True).withColumns({c: F.coalesce(F.sum(c).over(w), F.lit(0.0)) for c in sums})
+    w = Window.partitionBy(*by, "__at").orderBy(ts)
+    so_far, gone = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(Window.unboundedPreceding, -span - 1)
+    x = u.unionByName(v, allowMissingColumns=True).withColumns({c: F.coalesce(F.sum(c).over(so_far), F.lit(0.0)) - F.coalesce(F.sum(c).over(gone), F.lit(0.0)) for c in sums})
     return x.where("__kind = 1").select(*left.columns, *sums)
 
 

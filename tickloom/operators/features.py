@@ -43,8 +43,7 @@ def features(t: DataFrame) -> DataFrame:
         "delta_obi": F.col("obi") - F.coalesce(F.lag("obi").over(w), F.col("obi")),
         "depth_change_rate": F.when(before_depth > 0, (F.col("depth") - before_depth) / before_depth).otherwise(0.0), "opens": F.when(new, F.col("ts_ns")),
     })
-    x = frame_sums(x, w, "spread", (SPREAD_WINDOW,))
-    x = frame_sums(x, w, "ret", (VOL_SHORT, VOL_LONG))
+    x = frame_sums(x, w, {"spread": (SPREAD_WINDOW,), "ret": (VOL_SHORT, VOL_LONG)})
     deviation = lambda c, r, less: F.sqrt(F.col(f"{c}_m2_{r}") / (F.col(f"{c}_count_{r}") - less))
     x = x.withColumn("spread_sd", F.when(F.col(f"spread_count_{SPREAD_WINDOW}") > 1, deviation("spread", SPREAD_WINDOW, 1)))
     x = x.withColumns({

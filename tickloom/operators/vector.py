@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordered import asof, ema, numbered, recent
+from ..functions.ordered import asof_all, ema, numbered, recent
+from ..functions.stored import stored
 from ..plans.registry import query, settled, settled_sql
 from ..sources.views import ticks, trades
 from .features import FEATURES, SESSIONS, features, sanitise
@@ -43,8 +44,7 @@ def executions(t: DataFrame) -> DataFrame:
 def vector(t: DataFrame, own: DataFrame, fills: DataFrame) -> DataFrame:
     """Quotes with the 38 features. ``own``: states of the strategy's position, ``fills``: executions with their means."""
     x = features(t)
-    x = asof(x, own, ["size", "entry", "unrealized", "opened_ns"])
-    x = asof(x, fills, ["fill_ema", "slip_ema", "reject_ema", "drift_ema"])
+    x = asof_all(x, [(own, ["size", "entry", "unrealized", "opened_ns"]), (fills, ["fill_ema", "slip_ema", "reject_ema", "drift_ema"])], times=t)
     x = recent(x, fills, {"trade_intensity": F.col("fill"), "signed_volume": F.col("signed")}, FRAME_NS)
     first = fills.where("n = 1").select(F.col("ts_ns").alias("first_ns"))  # one row
     x = x.join(F.broadcast(first), F.lit(True), "left")
@@ -67,8 +67,13 @@ def vector(t: DataFrame, own: DataFrame, fills: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded(spark, sf_dir, ticks(spark, sf_dir))
+
+
+def loaded(spark: SparkSession, sf_dir: str, quotes: DataFrame) -> DataFrame:
+    """The features of given quotes, whose further columns stay; executions are read several times and written once."""
     t = trades(spark, sf_dir)
-    return vector(ticks(spark, sf_dir), positions(t.where("strategy = 'A'")), executions(t))
+    return vector(quotes, positions(t.where("strategy = 'A'")), stored(executions(t).select("seq", "ts_ns", "n", "fill", "signed", "fill_ema", "slip_ema", "reject_ema", "drift_ema"), "executions"))
 
 
 #: The same in SQL: the means by their plain weighted sums over the last 600 outcomes, the fills by a range join.
@@ -131,10 +136,9 @@ def for_model(at: str = "vector") -> Column:
 def flatten_unflatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature vector to array and back; an array of another length gives nulls."""
     x = flatten(load(spark, sf_dir)).select("symbol", "seq", for_model().alias("vector"), F.slice("vector", 1, 2).alias("short"))
-    short = unflatten(x.select("symbol", "seq", "short"), at="short")
-    back = unflatten(x.select("symbol", "seq", "vector"))
-    names = VECTOR[:9] + VECTOR[19:32]
-    return back.join(short.select("symbol", "seq", F.col("spread").isNull().alias("short_is_null")), ["symbol", "seq"]).select("symbol", "seq", F.size("vector").cast("bigint").alias("dim"), *rounded(back, names), "short_is_null")
+    x = unflatten(x, at="short").select("symbol", "seq", "vector", F.col("spread").isNull().alias("short_is_null"))
+    names, back = VECTOR[:9] + VECTOR[19:32], unflatten(x)
+    return back.select("symbol", "seq", F.size("vector").cast("bigint").alias("dim"), *rounded(back, names), "short_is_null")
 
 
 def extras(x: DataFrame) -> DataFrame:
