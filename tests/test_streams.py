@@ -106,3 +106,19 @@ def test_state_outlives_batches(spark):
     assert len({g["batch"] for g in found}) >= 5 and len(want) == len(rows) - 6  # 10, 13, 17, 20, 41, 60
     with pytest.raises(ValueError):
         follow(x, 0)
+
+
+def test_state_has_no_more_partitions_than_cores(spark, monkeypatch):
+    from tickloom.streaming import reader as lenient
+
+    key, seen = "spark.sql.shuffle.partitions", []
+    had = spark.conf.get(key)
+    x = spark.createDataFrame([], "row bigint, timestamp string, bid string, ask string, bid_volume string, ask_volume string, symbol string")
+    monkeypatch.setattr(lenient, "follow", lambda x, window: x)
+    monkeypatch.setattr(lenient, "drained", lambda x, name: seen.append(int(spark.conf.get(key))))
+    try:
+        spark.conf.set(key, "200")
+        lenient.read_along(x)
+        assert seen == [spark.sparkContext.defaultParallelism] and spark.conf.get(key) == "200"
+    finally:
+        spark.conf.set(key, had)

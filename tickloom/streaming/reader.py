@@ -16,8 +16,9 @@ from ..sources.quotes import faulty, typed
 from ..sources.views import SQL
 from .feed import drained, record, stream
 
-#: Quotes of a symbol that are kept; rows of a slice of a recorded file.
-WINDOW, SLICE = 50, 1 << 18
+#: Quotes of a symbol that are kept; rows of a micro-batch, and slices that it is read in at once.
+WINDOW, SLICE, READERS = 50, 1 << 18, 8
+PARTITIONS = "spark.sql.shuffle.partitions"
 STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FIELDS = ["row", "ts_ns", "bid", "ask", "bid_size", "ask_size"]
 QUOTE = "row bigint, ts_ns bigint, bid double, ask double, bid_size double, ask_size double"
@@ -75,14 +76,20 @@ def follow(x: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def read_along(x: DataFrame, name: str = "lenient", window: int = WINDOW) -> DataFrame:
-    """``follow`` until the end of a recorded feed; this kind of state needs the RocksDB store, which is set for that long."""
+    """``follow`` until the end of a recorded feed; this kind of state needs the RocksDB store, which is set for that long.
+
+    Every micro-batch opens and commits a store for each partition, so there
+    are no more of them than cores.
+    """
     conf = x.sparkSession.conf
-    had = conf.get(STORE)
+    had = {k: conf.get(k) for k in (STORE, PARTITIONS)}
     conf.set(STORE, ROCKS)
+    conf.set(PARTITIONS, str(min(int(had[PARTITIONS]), max(x.sparkSession.sparkContext.defaultParallelism, 2))))
     try:
         return drained(follow(x, window), name)
     finally:
-        conf.set(STORE, had)
+        for k, v in had.items():
+            conf.set(k, v)
 
 
 @query(SQL + """, raw AS (SELECT event_type AS symbol, event_id + 2 AS row, ts_ns - CASE WHEN event_id % 97 = 5 THEN 400000000000000 ELSE 0 END AS t, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE CAST(c AS VARCHAR) END AS b, c + CASE WHEN event_id % 31 = 3 THEN -1 ELSE 2 END AS a FROM base),
@@ -94,5 +101,5 @@ def stream_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw.agg(F.max("row")).first()[0]
     if rows is None:
         return spark.createDataFrame([], "symbol string, row bigint, ts_ns bigint, held bigint, mean_mid double")
-    r = record(raw, scratch(spark, "rows"), "row", min(SLICE, rows // 4 + 1))
-    return read_along(stream(spark, r, most=1)).select("symbol", "row", "ts_ns", "held", F.round("mean_mid", 6).alias("mean_mid"))
+    r = record(raw, scratch(spark, "rows"), "row", -(-min(SLICE, rows // 4 + 1) // READERS))
+    return read_along(stream(spark, r, most=READERS)).select("symbol", "row", "ts_ns", "held", F.round("mean_mid", 6).alias("mean_mid"))
