@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators.adaptive import changes
-from tickloom.operators.sticky import EACH, RATE, STICKY, backward, forward, standard, train, transitions
+from tickloom.operators.sticky import EACH, RATE, STICKY, backward, chunked, forward, scales, standard, train, train_chunks, transitions
 
 NAMES = ["p0", "p1", "p2"]
 
@@ -79,6 +79,26 @@ def test_training_equals_plain_rounds(spark):
     assert np.allclose(w, plain, atol=1e-10) and np.allclose(t, pt, atol=1e-10)
 
 
+def test_training_over_small_chunks_moves_no_vectors(spark, monkeypatch):
+    from tickloom.operators import sticky
+
+    rng = np.random.default_rng(3)
+    x = {s: rng.normal(2, 3, size=(n, 3)) * [1, 5, 0] for s, n in (("a", 201), ("b", 40), ("c", 1))}
+    df = spark.createDataFrame([(s, i + 1, r.tolist()) for s, v in x.items() for i, r in enumerate(v)], "s string, n bigint, vector array<double>").repartition(3)
+    small = chunked(df, ["s"], 40)
+    assert small.count() == 6 + 1 + 1
+    scale = scales(small, 3)
+    every = np.concatenate(list(x.values()))
+    assert np.allclose(scale[0], every.mean(0)) and np.allclose(scale[1], [1 / every[:, 0].std(), 1 / every[:, 1].std(), 0])
+    want = train(standard(df, 3), ["s"], 3, k=4, rounds=2)
+    kept = []
+    monkeypatch.setattr(sticky, "scan", lambda x, *more: kept.append(x.columns) or sticky.__dict__["_scan"](x, *more), raising=True)
+    monkeypatch.setattr(sticky, "_scan", __import__("tickloom.functions.ordered", fromlist=["scan"]).scan, raising=False)
+    got = train_chunks(small, ["s"], 3, k=4, rounds=2, scale=scale)
+    assert got[2] == want[2] == 242 and np.allclose(got[0], want[0], atol=1e-10) and np.allclose(got[1], want[1], atol=1e-10)
+    assert len(kept) == 4 and not any(c in ("vector", "values") for cols in kept for c in cols)
+
+
 def test_standard_places(spark):
     rows = [(1, [1.0, 5.0, None]), (2, [3.0, 5.0, float("nan")]), (3, [None, 5.0, float("inf")])]
     got = [r["vector"] for r in standard(spark.createDataFrame(rows, "n bigint, vector array<double>"), 3).orderBy("n").collect()]

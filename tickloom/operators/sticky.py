@@ -11,10 +11,11 @@ the driver has the size of the model.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import numbered, scan
@@ -22,10 +23,13 @@ from ..functions.stored import stored
 from ..plans.registry import query
 from ..sources.views import ticks
 from .features import REGIME, REGIMES, features, regimes
-from .vector import VECTOR, flatten, for_model, load
+from .vector import VECTOR, flatten, for_model, loaded
 
 #: Chance that a regime stays, at the start; rounds of training; step of the scores' weights; prior counts of each transition and, besides, of staying.
 STAY, ROUNDS, RATE, EACH, STICKY = 0.7, 3, 0.5, 1.0, 50.0
+#: Rows of a chunk whose vectors are kept together, and of a block of it that numpy follows beside the others.
+SPAN, BLOCK = 1024, 32
+Scale = tuple[np.ndarray, np.ndarray] | None
 
 
 def transitions(k: int = len(REGIMES), stay: float = STAY) -> np.ndarray:
@@ -89,56 +93,151 @@ def _settled(x: DataFrame, likely: Sequence[str]) -> tuple[DataFrame, list[Colum
     return x, [F.col(f"__p{i}") for i in range(len(likely))]
 
 
-def expected(k: int, d: int, t: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A task's sums (i, v) over rows (n, vector, p, before, after, later): transitions, then scores' slopes, then rows."""
+def chunked(x: DataFrame, keys: list[str], chunk: int = SPAN) -> DataFrame:
+    """Numbered rows with a ``vector`` as rows of (keys, chunk, rows): as many as ``chunk`` in the order of ``n``, written once. All rounds read them where they lie."""
+    at = F.floor((F.col("n") - 1) / chunk).alias("chunk")
+    return stored(x.groupBy(*keys, at).agg(F.array_sort(F.collect_list(F.struct("n", "vector"))).alias("rows")), "chunks").select(*keys, "chunk", F.col("rows.n").alias("n"), F.flatten("rows.vector").alias("values"))
+
+
+@contextmanager
+def _few(spark: SparkSession) -> Iterator[None]:
+    """Chunks go to Python a few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, had)
+
+
+def _softmax(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    s = x @ weights[:, :-1].T + weights[:, -1]
+    p = np.exp(s - s.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def _steps(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The steps of a chunk's rows in blocks, (blocks, BLOCK, k, k); the last block is filled with steps that change nothing."""
+    k = t.shape[0]
+    known = np.isfinite(p).all(1, keepdims=True)
+    full = np.tile(np.eye(k), (-(-len(p) // BLOCK) * BLOCK, 1, 1))
+    full[: len(p)] = t[None] * np.where(known, p, 1.0)[:, None, :]
+    return full.reshape(-1, BLOCK, k, k)
+
+
+def _products(steps: np.ndarray) -> np.ndarray:
+    """Each block's steps as one, up to a factor."""
+    m = steps[:, 0]
+    for j in range(1, steps.shape[1]):
+        m = m @ steps[:, j]
+        m = m / m.max((1, 2), keepdims=True)
+    return m
+
+
+def passes(p: np.ndarray, t: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Before, after and later of a chunk's rows, from the state before its first row and how likely what follows its last one is."""
+    steps = _steps(p, t)
+    blocks, k = len(steps), t.shape[0]
+    whole = _products(steps)
+    begin, end = np.empty((blocks, k)), np.empty((blocks, k))
+    for i in range(blocks):
+        begin[i] = first
+        first = first @ whole[i]
+        first = first / first.sum()
+    for i in range(blocks - 1, -1, -1):
+        end[i] = last
+        last = whole[i] @ last
+        last = last / last.sum()
+    before, after, later = (np.empty((blocks, BLOCK, k)) for _ in range(3))
+    for j in range(BLOCK):
+        before[:, j] = begin
+        begin = np.einsum("bi,bij->bj", begin, steps[:, j])
+        begin /= begin.sum(1, keepdims=True)
+        after[:, j] = begin
+    for j in range(BLOCK - 1, -1, -1):
+        later[:, j] = end
+        end = np.einsum("bij,bj->bi", steps[:, j], end)
+        end /= end.sum(1, keepdims=True)
+    return tuple(v.reshape(-1, k)[: len(p)] for v in (before, after, later))
+
+
+def composed(weights: np.ndarray, t: np.ndarray, keys: list[str], scale: Scale) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows of ``chunked`` as (keys, n, step): the number of the chunk, and its steps as one."""
+
+    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for v in f["values"]:
+                m = np.eye(len(t))
+                for one in _products(_steps(_softmax(_standard(v, weights.shape[1] - 1, scale), weights), t)):
+                    m = m @ one
+                    m = m / m.max()
+                out.append(m.ravel())
+            yield f[keys].assign(n=f["chunk"] + 1, step=out)
+
+    return steps
+
+
+def _standard(values: np.ndarray, d: int, scale: Scale) -> np.ndarray:
+    x = np.asarray(values, float).reshape(-1, d)
+    return x if scale is None else (x - scale[0]) * scale[1]
+
+
+def expected(weights: np.ndarray, t: np.ndarray, scale: Scale) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task's sums (i, v) over rows of ``chunked`` with the states at their ends, ``first`` and ``last``: transitions, then scores' slopes, then rows."""
+    k, d = weights.shape[0], weights.shape[1] - 1
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         moves, slopes, rows = np.zeros((k, k)), np.zeros((k, d + 1)), 0
         for f in frames:
-            if not len(f):
-                continue
-            x, p, before, after, later = (np.array(f[c].tolist(), float) for c in ("vector", "p", "before", "after", "later"))
-            gamma = after * later
-            gamma /= gamma.sum(1, keepdims=True)
-            slopes += (gamma - p).T @ np.hstack([x, np.ones((len(x), 1))])
-            xi = before[:, :, None] * t[None] * (p * later)[:, None, :]
-            xi /= xi.sum((1, 2), keepdims=True)
-            moves += xi[f["n"].to_numpy() > 1].sum(0)
-            rows += len(f)
+            for n, values, first, last in zip(f["n"], f["values"], f["first"], f["last"], strict=True):
+                x = _standard(values, d, scale)
+                p = _softmax(x, weights)
+                before, after, later = passes(p, t, np.asarray(first, float), np.asarray(last, float))
+                gamma = after * later
+                gamma /= gamma.sum(1, keepdims=True)
+                slopes += (gamma - p).T @ np.hstack([x, np.ones((len(x), 1))])
+                xi = before[:, :, None] * t[None] * (p * later)[:, None, :]
+                xi /= xi.sum((1, 2), keepdims=True)
+                moves += xi[np.asarray(n) > 1].sum(0)
+                rows += len(x)
         v = np.concatenate([moves.ravel(), slopes.ravel(), [rows]])
         yield pd.DataFrame({"i": np.arange(len(v)), "v": v})
 
     return sums
 
 
-def scored(x: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Rows with a column ``vector`` and the softmax of its scores: ``p``, an array, and p0, p1, ..."""
-    s = [_dot(w) for w in weights]
-    x = x.withColumn("__s", F.array(*s)).withColumn("__s", F.transform("__s", lambda v: F.exp(v - F.array_max("__s"))))
-    x = x.withColumn("p", F.transform("__s", lambda v: v / _sum(F.col("__s")))).drop("__s")
-    return x.withColumns({f"p{i}": F.col("p")[i] for i in range(len(weights))})
-
-
-def _dot(w: np.ndarray) -> Column:
-    each = F.zip_with("vector", F.array(*[F.lit(float(v)) for v in w[:-1]]), lambda a, b: a * b)
-    return F.aggregate(each, F.lit(float(w[-1])), lambda a, v: a + v)
+def train(x: DataFrame, keys: list[str], d: int, k: int = len(REGIMES), rounds: int = ROUNDS, rate: float = RATE, seed: int = 42) -> tuple[np.ndarray, np.ndarray, int]:
+    """Weights (k rows of d and a constant), transitions and the count of rows, from numbered rows with a ``vector`` of d standard values."""
+    return train_chunks(chunked(x, keys), keys, d, k, rounds, rate, seed)
 
 
-def train(x: DataFrame, keys: list[str], d: int, k: int = len(REGIMES), rounds: int = ROUNDS, rate: float = RATE, seed: int = 42) -> tuple[np.ndarray, np.ndarray, int]:
-    """Weights (k rows of d and a constant), transitions and the count of rows, from numbered rows with a ``vector`` of d standard values.
+def train_chunks(x: DataFrame, keys: list[str], d: int, k: int = len(REGIMES), rounds: int = ROUNDS, rate: float = RATE, seed: int = 42, scale: Scale = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The same from rows of ``chunked``, whose values are brought to ``scale`` (means, factors) as they are read.
 
     A round's forward and backward pass give each row's regimes in the light
     of the whole history; transitions are their expected counts with a prior
-    that favours staying, and scores go a step towards them. Without rows the
-    start is returned.
+    that favours staying, and scores go a step towards them. A round reads the
+    vectors twice and moves a matrix for each chunk only: chunks are composed,
+    those steps are scanned both ways, and chunks are replayed from the states
+    at their ends. Without rows the start is returned.
     """
     weights = np.hstack([np.random.default_rng(seed).normal(0, 0.01, (k, d)), np.zeros((k, 1))])
     t, rows = transitions(k), 0
-    names = [f"p{i}" for i in range(k)]
+    start = F.array(*[F.lit(1.0 / k)] * k)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*keys).schema)
+    last = F.max("n").over(Window.partitionBy(*keys))  # of chunks
     for _ in range(rounds):
-        s = stored(scored(x, weights).select(*keys, "n", "vector", "p", *names), "scored")
-        both = forward(s, keys, names, t).join(backward(s.select(*keys, "n", *names), keys, names, t).select(*keys, "n", "later"), [*keys, "n"])
-        got = both.select("n", "vector", "p", "before", "after", "later").mapInPandas(expected(k, d, t), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        with _few(x.sparkSession):
+            steps = stored(x.select(*keys, "chunk", "values").mapInPandas(composed(weights, t, keys, scale), f"{kinds}, n bigint, step array<double>"), "steps")
+        ahead = scan(steps, keys, F.col("step"), _then(k), _move(k), start).select(*keys, "n", F.col("before").alias("first"))
+        turned = steps.withColumns({"at": F.col("n"), "n": last + 1 - F.col("n"), "step": F.array(*[F.col("step")[j * k + i] for i in range(k) for j in range(k)])})
+        behind = scan(turned, keys, F.col("step"), _then(k), _move(k), start).select(*keys, F.col("at").alias("n"), F.col("before").alias("last"))
+        ends = ahead.join(behind, [*keys, "n"]).select(*keys, (F.col("n") - 1).alias("chunk"), "first", "last")
+        both = x.join(F.broadcast(ends), [*keys, "chunk"]).select("n", "values", "first", "last")
+        with _few(x.sparkSession):
+            got = both.mapInPandas(expected(weights, t, scale), "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         v = np.zeros(k * k + k * (d + 1) + 1)
         for r in got:  # the model's size
             v[r["i"]] = r["v"]
@@ -151,6 +250,27 @@ def train(x: DataFrame, keys: list[str], d: int, k: int = len(REGIMES), rounds:
     return weights, t, rows
 
 
+def scales(x: DataFrame, d: int) -> Scale:
+    """Means and factors that bring each place of rows of ``chunked`` to mean 0 and deviation 1; the factor of a place that doesn't vary is 0."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for values in f["values"]:
+                v = np.asarray(values, float).reshape(-1, d)
+                mean = v.mean(0)
+                yield pd.DataFrame({"pos": np.arange(d), "n": len(v), "mean": mean, "m2": ((v - mean) ** 2).sum(0), "low": v.min(0), "high": v.max(0)})
+
+    with _few(x.sparkSession):
+        parts = stored(x.select("values").mapInPandas(sums, "pos int, n bigint, mean double, m2 double, low double, high double"), "places")
+    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    whole = F.broadcast(parts.groupBy("pos").agg(mean.alias("mid")))  # one row for each place
+    square = F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("mid")) ** 2)
+    out = np.zeros((2, d))
+    for r in parts.join(whole, "pos").groupBy("pos").agg(F.first("mid").alias("mid"), F.sqrt(square / n).alias("sd"), (F.min("low") < F.max("high")).alias("varies")).collect():
+        out[:, r["pos"]] = r["mid"], 1 / r["sd"] if r["varies"] and r["sd"] > 1e-12 else 0.0
+    return out[0], out[1]
+
+
 def standard(x: DataFrame, d: int) -> DataFrame:
     """The column ``vector`` with mean 0 and deviation 1 in each place; places that don't vary are 0, as are values that no model can take."""
     m = x.select(F.posexplode(for_model())).groupBy("pos").agg(F.avg("col").alias("mean"), F.stddev_pop("col").alias("sd")).collect()  # one row for each place
@@ -186,8 +306,9 @@ def regime_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def train_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of the 38 standard features, constant and transitions of each regime, trained on all symbols."""
-    x = numbered(standard(flatten(load(spark, sf_dir)).select("symbol", "seq", "vector"), len(VECTOR)), ["symbol"])
-    weights, t, rows = train(stored(x.select("symbol", "n", "vector"), "vectors"), ["symbol"], len(VECTOR))
+    quotes = numbered(ticks(spark, sf_dir), ["symbol"]).withColumnRenamed("n", "place")  # numbered while they are narrow
+    x = chunked(flatten(loaded(spark, sf_dir, quotes)).select("symbol", F.col("place").alias("n"), for_model().alias("vector")), ["symbol"])
+    weights, t, rows = train_chunks(x, ["symbol"], len(VECTOR), scale=scales(x, len(VECTOR)))
     six = lambda v: [round(float(u), 6) + 0.0 for u in v]
     out = [(j, six(weights[j, :-1]), round(float(weights[j, -1]), 6), six(t[j]), rows) for j in K]
     return spark.createDataFrame(out, "regime int, weights array<double>, bias double, transitions array<double>, n bigint")
