@@ -228,6 +228,26 @@ def check_raked(spark, cells, goals, rounds, most):
         assert rest <= 1e-6 and all(abs(got[k] * scale / want[k] - 1) < 1e-5 for k in cells)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_of_raking_do_not_grow_with_its_margins(spark, monkeypatch):
+    plans, write = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, tag: (plans.append(plan_of(df)), write(df, tag))[1])
+    cells = spark.createDataFrame([(a, b, c, 1 + len(a + b + c)) for a in ("p", "qq") for b in ("r", "ss") for c in ("t", "uuu")], "source string, lang string, topic string, tokens long")
+    mixing.rake(cells, {m: mixing.targets(cells, m) for m in mixing.MARGINS})
+    assert max(p.count("Join") for p in plans) == 1
+
+
+def test_pairs_meet_their_sets_once_a_side(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "src long, dst long")
+    sets = spark.createDataFrame([(i, [10, 20, 30 + (i == 3) + 2 * (i == 5)], [1, 1, 1]) for i in range(1, 6)], "doc_id long, sh array<long>, n array<int>")
+    got = neardup._verify(pairs, sets, 0.8)
+    assert plan_of(got).count("Join") == 6
+    assert {(r["src"], r["dst"]): r["same"] for r in got.collect()} == {(1, 2): True, (1, 3): False, (4, 5): False}
+
+
 def test_values_without_target_keep_their_share(spark):
     cells = spark.createDataFrame([("a", "x", 50), ("b", "x", 20), ("c", "y", 30), ("d", "y", 0)], "s string, l string, tokens long")
     goals = {"s": spark.createDataFrame([("a", 0.2), ("b", 0.2), ("nowhere", 0.6)], "s string, target double")}

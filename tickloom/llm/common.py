@@ -25,16 +25,19 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], spread: list[str], count: str = "n", how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], spread: list[str], count: str = "n", how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Join of rows (all, if ``how`` is left) with a frame of one row a key, in which ``count`` is the number of the key's rows.
 
     A key with more than 1 / ``HOT`` of all rows is dealt over as many parts
     as its share needs, by the hash of the columns ``spread``. There are fewer
-    than ``HOT`` such keys, so the list of them is broadcast.
+    than ``HOT`` such keys, so the list of them is broadcast. ``counts``, the
+    keys and counts of ``keyed`` by themselves, spares a second copy of its
+    plan where it is not a written table.
     """
-    total = int(keyed.agg(F.sum(count)).first()[0] or 0)
+    counts = keyed if counts is None else counts
+    total = int(counts.agg(F.sum(count)).first()[0] or 0)
     parts = F.ceil(F.col(count) * HOT / F.lit(max(total, 1))).cast("int")
-    hot = keyed.where(F.col(count) * HOT > total).select(*on, parts.alias("__parts"))
+    hot = counts.where(F.col(count) * HOT > total).select(*on, parts.alias("__parts"))
     dealt = keyed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.when(F.col(count) * HOT > total, parts).otherwise(1) - 1)))
     part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__parts")).cast("int"), F.lit(0))
     return rows.join(F.broadcast(hot), on, "left").withColumn("__part", part).drop("__parts").join(dealt, [*on, "__part"], how).drop("__part")

@@ -65,15 +65,18 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], tolerance: float = TOLER
     raking, which rounds only lower, is no higher than without it. Sums of
     margin factors stay such sums, so the limit is that of plain raking.
     """
-    now = cells.withColumn("live", F.col("tokens") > 0)
-    for margin, goal in goals.items():
-        own = now.where("live").groupBy(margin).agg(F.sum("tokens").cast("double").alias("t")).join(goal, margin, "left")
+    now = materialize(cells.withColumn("live", F.col("tokens") > 0), "rake")
+    for margin, goal in goals.items():  # each is written, as the next one's plan reads it twice
+        own = materialize(now.where("live").groupBy(margin).agg(F.sum("tokens").cast("double").alias("t")).join(goal, margin, "left"), "rake")
         total, free, aims = own.agg(F.sum("t"), F.sum(F.when(F.col("target").isNull(), F.col("t"))), F.sum("target")).first()
         free, aims = float(free or 0) / float(total or 1), float(aims or 0)
         aim = F.when(F.col("target").isNull(), F.col("t") / F.lit(float(total or 1))).otherwise(F.col("target") * F.lit((1 - free) / aims if aims else 0.0))
-        now = now.join(own.select(margin, aim.alias(f"target_{margin}")), margin, "left").withColumn("live", F.col("live") & (F.coalesce(f"target_{margin}", F.lit(0.0)) > 0))
+        old, now = now, materialize(now.join(own.select(margin, aim.alias(f"target_{margin}")), margin, "left").withColumn("live", F.col("live") & (F.coalesce(f"target_{margin}", F.lit(0.0)) > 0)), "rake")
+        for x in (own, old):
+            discard(x)
     every = float(now.where("live").agg(F.sum("tokens")).first()[0] or 0)  # each step brings the weighted total to it
-    now = materialize(now.withColumn("log", F.lit(0.0)), "rake")
+    path, now = now._tickloom_path, now.withColumn("log", F.lit(0.0))
+    now._tickloom_path = path
     mass = F.when(F.col("live"), F.col("tokens") * F.exp("log")).otherwise(0.0)
 
     def sweep(at: DataFrame) -> tuple[DataFrame, float, float, bool]:

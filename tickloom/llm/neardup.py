@@ -173,8 +173,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     both = pairs
     for side, i in (("src", 1), ("dst", 2)):  # a leader stands in as many pairs as its buckets have texts
-        own = pairs.groupBy(side).agg(F.count("*").alias("times")).join(sets.select(F.col("doc_id").alias(side), F.col("sh").alias(f"sh{i}"), F.col("n").alias(f"n{i}")), side)
-        both = join_hot(both, own, [side], ["src", "dst"], "times").drop("times")
+        times = materialize(pairs.groupBy(side).agg(F.count("*").alias("times")), "dup-times")
+        own = times.join(sets.select(F.col("doc_id").alias(side), F.col("sh").alias(f"sh{i}"), F.col("n").alias(f"n{i}")), side)
+        both = join_hot(both, own, [side], ["src", "dst"], "times", counts=times).drop("times")
     return map_arrow(both.select("src", "dst", "sh1", "n1", "sh2", "n2"), run, "src bigint, dst bigint, same boolean")
 
 
