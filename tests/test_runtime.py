@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import random
 
@@ -127,6 +128,30 @@ def test_feature_dump_is_checked(spark, tmp_path):
         results.apply_scales(x, scales.withColumn("feature_version", F.lit("other")))
 
 
+def test_dump_and_scales_are_compiled(spark, tmp_path):
+    inf, rng = float("inf"), random.Random(3)
+    rows = [(i, *[rng.choice([rng.uniform(-9, 9), rng.uniform(-1e9, 1e9), 0.0, float("nan"), inf, -inf, None]) for _ in range(38)]) for i in range(50)]
+    x = spark.createDataFrame(rows, "ts_ns long, " + ", ".join(f"{n} double" for n in vector.VECTOR))
+    results.dump_features(x, str(tmp_path / "f"))
+    dump = results.read_features(spark, str(tmp_path / "f"))
+    want = {r["ts_ns"]: r["m"] for r in vector.flatten(x).select("ts_ns", vector.for_model().alias("m")).collect()}
+    assert {r[0]: list(r[3:]) for r in dump.collect()} == want
+    some = dump.withColumns({vector.VECTOR[4]: F.when(F.col("timestamp_ns") > 30, F.col(vector.VECTOR[4])), vector.VECTOR[37]: F.lit(None).cast("double")})
+    got = {r["feature"]: (r["mean"], r["scale"]) for r in results.fit_scales(some).collect()}
+    assert list(got) == list(vector.VECTOR) and got[vector.VECTOR[37]] == (None, 1.0)
+    for i, n in enumerate(vector.VECTOR[:37]):
+        own = [v[i] for k, v in want.items() if i != 4 or k > 30]
+        mean = math.fsum(own) / len(own)
+        assert got[n] == pytest.approx((mean, max(1.0, math.sqrt(math.fsum((y - mean) ** 2 for y in own) / len(own)))), rel=1e-9)
+    assert [tuple(r)[:3] for r in results.fit_scales(dump.limit(0)).collect()] == [(n, None, 1.0) for n in vector.VECTOR]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its plans show what is compiled only once they ran
+    try:
+        plan = results.fit_scales(dump)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "HashAggregate" in plan and all("*(" in line for line in plan.splitlines() if "HashAggregate" in line)
+
+
 def test_results_of_either_form(spark, tmp_path):
     for name, doc, want in (("a", {"returns": [1.0, 2.5], "num_features": 38}, [1.0, 2.5]), ("b", {"trades": [{"pnl": 3.0}, {"x": 1}]}, [3.0]), ("c", {"x": 1}, [])):
         (tmp_path / name).write_text(json.dumps(doc, indent=1))

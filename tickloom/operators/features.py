@@ -115,7 +115,7 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sanitise(c: Column, low: float | None = None, high: float | None = None, cap: float = 0.0) -> Column:
     """Non-finite values become ``cap``, others are clamped."""
     c = c.cast("double")
-    x = F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(cap)).otherwise(c)
+    x = F.when(F.abs(c) < F.lit(float("inf")), c).otherwise(F.lit(cap))  # NaN exceeds infinity, and null is no yes
     x = F.greatest(x, F.lit(low)) if low is not None else x
     return F.least(x, F.lit(high)) if high is not None else x
 

@@ -132,6 +132,12 @@ def for_model(at: str = "vector") -> Column:
     return F.transform(at, lambda x, i: F.when(i == CAPPED, sanitise(x, 0.0, DAY_MS, DAY_MS)).when(i.isin(*TIMES), sanitise(x, 0.0)).otherwise(sanitise(x)))
 
 
+def columns_for_model(names: tuple[str, ...] = VECTOR) -> Column:
+    """The same array from columns: times by themselves, then one short rule for every place, which none of those values breaks."""
+    own = [sanitise(F.col(n), 0.0, DAY_MS, DAY_MS) if i == CAPPED else sanitise(F.col(n), 0.0) if i in TIMES else F.col(n).cast("double") for i, n in enumerate(names)]
+    return F.transform(F.array(*own), lambda v: sanitise(v))
+
+
 @query(VECTOR_SQL + f"SELECT symbol, seq, CAST(38 AS BIGINT) AS dim, {_rounded(VECTOR[:9] + VECTOR[19:32])}, true AS short_is_null FROM v")
 def flatten_unflatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature vector to array and back; an array of another length gives nulls."""

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.stored import scratch
 from ..operators.stats import decision_diagnostics, strategy_funnel
-from ..operators.vector import VECTOR, flatten, for_model, load
+from ..operators.vector import VECTOR, columns_for_model, load
 from ..plans.registry import query
 from .views import SQL, ticks, trades
 
 FEATURE_VERSION, SOURCE_STRATEGY, NUM_FEATURES = "feature_vector_v1_38", "A", 45
 METADATA = ("timestamp_ns", "source_strategy", "feature_version")
-#: Decimals of a report's numbers.
+#: Features of a part of a row, which are aggregated together; decimals of a report's numbers.
+PART = 10
 DECIMALS = {"duration_secs": 3, "final_pnl": 6, "realized_pnl": 6, "unrealized_pnl": 6, "rolling_sharpe": 6, "max_drawdown": 6, "win_rate": 4}
 
 
@@ -107,7 +108,7 @@ def read_checks(spark: SparkSession, path: str) -> DataFrame:
 
 def dump_features(x: DataFrame, to: str) -> None:
     """Vectors fit for a model as CSV: time, strategy, version, 38 columns."""
-    v = flatten(x).select("ts_ns", for_model().alias("v"))
+    v = x.select("ts_ns", columns_for_model().alias("v"))
     v.select(F.col("ts_ns").alias("timestamp_ns"), F.lit(SOURCE_STRATEGY).alias("source_strategy"), F.lit(FEATURE_VERSION).alias("feature_version"), *[F.col("v")[i].alias(n) for i, n in enumerate(VECTOR)]).write.csv(to, header=True)
 
 
@@ -124,9 +125,17 @@ def read_features(spark: SparkSession, path: str, version: str = FEATURE_VERSION
 
 
 def fit_scales(x: DataFrame, least: float = 1.0) -> DataFrame:
-    """(feature, mean, scale) of a feature dump; a scale is the population deviation, at least ``least``."""
-    stats = x.agg(*[F.struct(F.lit(n).alias("feature"), F.avg(n).alias("mean"), F.greatest(F.stddev_pop(n), F.lit(least)).alias("scale")).alias(n) for n in VECTOR])
-    return stats.select(F.inline(F.array(*VECTOR))).withColumn("feature_version", F.lit(FEATURE_VERSION))
+    """(feature, mean, scale) of a feature dump; a scale is the population deviation, at least ``least``.
+
+    A row's features go to one aggregate in parts of ``PART``: the state of all
+    at once is more than Spark compiles. The mean of no values is null.
+    """
+    parts = [VECTOR[i : i + PART] for i in range(0, len(VECTOR), PART)]
+    rows = [F.struct(F.lit(k).alias("part"), *[(F.col(p[i]).cast("double") if i < len(p) else F.lit(None).cast("double")).alias(f"f{i}") for i in range(PART)]) for k, p in enumerate(parts)]
+    stats = x.select(F.inline(F.array(*rows))).groupBy("part").agg(*[F.struct(F.avg(f"f{i}").alias("mean"), F.stddev_pop(f"f{i}").alias("deviation")).alias(f"f{i}") for i in range(PART)])
+    stats = stats.select("part", F.posexplode(F.array(*[f"f{i}" for i in range(PART)])).alias("at", "s")).select((F.col("part") * PART + F.col("at")).alias("place"), "s.*")
+    names = x.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, VECTOR))).alias("place", "feature"))  # all, even of an empty dump
+    return names.join(stats, "place", "left").select("feature", "mean", F.greatest("deviation", F.lit(least)).alias("scale"), F.lit(FEATURE_VERSION).alias("feature_version"))
 
 
 def apply_scales(x: DataFrame, scales: DataFrame) -> DataFrame:
